@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The pipeline being re-implemented is batch only: it has no stream source or
+sink, watermark, time window or stateful operator. Its one append-only table
+(the work-event log) is written by batch append (``sources.io.append_events``).
+This package is kept empty on purpose.
+"""
