@@ -8,6 +8,10 @@ directory and reused by the scoring queries.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -35,23 +39,47 @@ def _splits(spark, d, v2: bool = True):
     return split.take_split(s, "TRAIN"), split.take_split(s, "TEST")
 
 
-def _model(spark, d, name: str):
+def _fingerprint(d: str, name: str) -> str:
+    """Input files (size, mtime) + the training parameters of ``name``."""
+    h = hashlib.sha1(name.encode())
+    h.update(repr((C.SPEC_V2, C.SPEC_LR_V1, C.LR_V1, C.LR_BALANCED, C.BoostedParams())).encode())
+    for t in ("orders", "customer", "lineitem", "part", "nation"):
+        try:
+            st = os.stat(f"{d.rstrip('/')}/{t}.parquet")
+            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
+        except OSError:
+            h.update(f"{d}/{t}".encode())
+    return h.hexdigest()[:16]
+
+
+def _fit(spark, d, name: str) -> PipelineModel:
+    if name == "lr_v1":
+        train, _ = _splits(spark, d, v2=False)
+        return ml.train_lr(train, C.SPEC_LR_V1, C.LR_V1)
+    if name == "lr_balanced":
+        train, _ = _splits(spark, d, v2=False)
+        return ml.train_lr(train, C.SPEC_LR_BALANCED, C.LR_BALANCED)
+    if name == "lr_collapsed":
+        train, _ = _splits(spark, d)
+        return ml.train_lr(train, C.SPEC_V2, C.LR_BALANCED)
+    if name == "boosted":
+        train, _ = _splits(spark, d)
+        return ml.train_boosted(train, C.SPEC_V2, C.BoostedParams())
+    raise KeyError(name)
+
+
+def _model(spark, d, name: str) -> PipelineModel:
+    """Fitted model, reused within a session and across sessions: it is saved
+    under the shared checkpoint folder, keyed by input fingerprint and params."""
     key = (id(spark), d, name)
     if key not in _MODELS:
-        if name == "lr_v1":
-            train, _ = _splits(spark, d, v2=False)
-            _MODELS[key] = ml.train_lr(train, C.SPEC_LR_V1, C.LR_V1)
-        elif name == "lr_balanced":
-            train, _ = _splits(spark, d, v2=False)
-            _MODELS[key] = ml.train_lr(train, C.SPEC_LR_BALANCED, C.LR_BALANCED)
-        elif name == "lr_collapsed":
-            train, _ = _splits(spark, d)
-            _MODELS[key] = ml.train_lr(train, C.SPEC_V2, C.LR_BALANCED)
-        elif name == "boosted":
-            train, _ = _splits(spark, d)
-            _MODELS[key] = ml.train_boosted(train, C.SPEC_V2, C.BoostedParams())
-        else:
-            raise KeyError(name)
+        path = f"{checkpoint_dir(spark).rstrip('/')}/models/{slug(d)}/{name}-{_fingerprint(d, name)}"
+        try:
+            _MODELS[key] = PipelineModel.load(path)
+        except Exception:  # noqa: BLE001 - not saved yet
+            model = _fit(spark, d, name)
+            model.write().overwrite().save(path)
+            _MODELS[key] = model
     return _MODELS[key]
 
 
@@ -299,12 +327,10 @@ def _batch_infer(spark, d):
     return infer.batch_infer(prompts, "llm_prompt", infer.field_echo_model, batch_size=16, keep=["dispute_id"])
 
 
-def save_models(spark, d) -> dict[str, str]:
-    """Persist both scoring models under the shared checkpoint folder."""
-    root = checkpoint_dir(spark).rstrip("/")
+def model_paths(spark, d) -> dict[str, str]:
+    """Where the two scoring models are saved (fitting them if needed)."""
     out = {}
     for name in ("lr_collapsed", "boosted"):
-        path = f"{root}/models/{slug(d)}/{name}"
-        _model(spark, d, name).write().overwrite().save(path)
-        out[name] = path
+        _model(spark, d, name)
+        out[name] = f"{checkpoint_dir(spark).rstrip('/')}/models/{slug(d)}/{name}-{_fingerprint(d, name)}"
     return out
