@@ -42,3 +42,28 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame
     if size is not None and size <= limit:
         return F.broadcast(df)
     return df
+
+
+def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], max_bytes: int | None = None) -> DataFrame:
+    """LEFT JOIN ``lookup`` USING ``keys`` (join keys appear once, left's values kept).
+
+    A lookup under the size bound is broadcast: no shuffle of ``df``. Above
+    it the join is sort-merge, and rows of ``df`` with a NULL key (which can
+    never match) would all hash to one shuffle partition; their key is
+    replaced by a deterministic salt that cannot match a lookup key, so
+    they spread over all partitions. Hot non-NULL keys are split by AQE's
+    skew-join handling.
+    """
+    small = broadcast_if_small(lookup, max_bytes)
+    if small is not lookup or len(keys) != 1 or not _is_string(df, keys[0]) or not _is_string(lookup, keys[0]):
+        return df.join(small, keys, "left")
+    k = keys[0]
+    salt = F.concat(F.lit("\u0000null:"), F.xxhash64(*[F.col(c) for c in df.columns]).cast("string"))
+    left = df.withColumn("_jk", F.when(F.col(k).isNull(), salt).otherwise(F.col(k)))
+    right = lookup.withColumnRenamed(k, "_rk")
+    out = left.join(right, F.col("_jk") == F.col("_rk"), "left")
+    return out.drop("_jk", "_rk").select(k, *[c for c in out.columns if c not in (k, "_jk", "_rk")])
+
+
+def _is_string(df: DataFrame, c: str) -> bool:
+    return df.schema[c].dataType.typeName() == "string"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import broadcast_if_small, contains_any, lower_coalesce, norm_code
+from ..functions.joins import lookup_join
 from ..sources.io import lookup
 
 RULE_COLS = ("payer", "program", "timely_filing_days", "pa_strictness", "appeal_success_bias")
@@ -41,12 +42,12 @@ def enrich_payer(df: DataFrame, rules: DataFrame, normalize_keys: bool = False)
 
 def enrich_ndc(df: DataFrame, ndc: DataFrame) -> DataFrame:
     """LEFT JOIN drug reference USING (ndc11), attributes renamed ndc_*."""
-    return df.join(broadcast_if_small(lookup(ndc, NDC_COLS, NDC_RENAMES)), ["ndc11"], "left")
+    return lookup_join(df, lookup(ndc, NDC_COLS, NDC_RENAMES), ["ndc11"])
 
 
 def enrich_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
     """LEFT JOIN plan reference USING (plan_id)."""
-    return df.join(broadcast_if_small(lookup(plan, PLAN_COLS)), ["plan_id"], "left")
+    return lookup_join(df, lookup(plan, PLAN_COLS), ["plan_id"])
 
 
 def delta_exprs() -> dict:

@@ -43,19 +43,104 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
     return df.select(F.explode(arr).alias("kv")).select("kv.feature", "kv.value")
 
 
-def fit_median(train: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: int = 1_000_000) -> DataFrame:
+def fit_median(train: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: int = 10_000,
+               bins: int = 4096, max_collect: int = 50_000) -> DataFrame:
     """Median per numeric column over non-NULL values: (feature, median).
 
-    ``exact`` uses ``percentile`` (interpolated, equal to numpy's median); its
-    buffer holds one entry per distinct value, fine for flags, days and
-    amounts in cents but not bounded in general. ``exact=False`` uses
-    ``percentile_approx`` with a fixed-size sketch per column (rank error
-    1/accuracy), the setting for unbounded-cardinality columns at scale.
+    ``exact`` (numpy's median: mean of the two middle values) runs a
+    distributed rank selection with bounded memory: each pass is one scan
+    and one grouping into at most ``bins`` buckets per column, narrowing the
+    value range that holds the middle ranks, until that range holds at most
+    ``max_collect`` values (or a single distinct value); only those values
+    reach one task. No task ever holds all distinct values of a column.
+    ``exact=False`` is one pass of ``percentile_approx`` (rank error 1/accuracy).
     """
-    one = train.select(*[(F.percentile(F.col(c).cast("double"), 0.5) if exact else
-                          F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).cast("double")).alias(c)
-                         for c in cols])
-    return _long(one, cols, "double").withColumnRenamed("value", "median")
+    spark = train.sparkSession
+    if not exact:
+        one = train.select(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).cast("double").alias(c)
+                             for c in cols])
+        return _long(one, cols, "double").withColumnRenamed("value", "median")
+    medians = exact_medians(_long(train, cols, "double"), list(cols), bins, max_collect)
+    return spark.createDataFrame([(c, medians.get(c)) for c in cols], "feature string, median double")
+
+
+def exact_medians(long: DataFrame, cols: list[str], bins: int = 4096, max_collect: int = 50_000) -> dict:
+    """{feature: median} from (feature, value) rows by histogram refinement.
+
+    A target is one middle rank of one feature with the value range known
+    to hold it and the count of values below that range. Each pass groups
+    the open ranges into ``bins`` buckets (per-bucket count, min, max) and
+    keeps the bucket holding the rank; ranges with at most ``max_collect``
+    values are collected and the rank read off directly. lo and hi fall in
+    different buckets, so every pass shrinks a range; passes ~ log_bins of
+    the value spread.
+    """
+    vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    first = {r["feature"]: r for r in vals.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    targets: dict[tuple[str, int], dict] = {}
+    for c in cols:
+        r = first.get(c)
+        if r is None or r["n"] == 0:
+            continue
+        for k in sorted({(r["n"] - 1) // 2, r["n"] // 2}):
+            targets[(c, k)] = {"lo": r["lo"], "hi": r["hi"], "below": 0, "count": r["n"], "value": None}
+
+    while True:
+        for t in targets.values():
+            if t["value"] is None and t["lo"] == t["hi"]:
+                t["value"] = t["lo"]
+        todo = {key: t for key, t in targets.items() if t["value"] is None}
+        if not todo:
+            break
+        ranges = sorted({(key[0], t["lo"], t["hi"]) for key, t in todo.items()})
+        small = [rg for rg in ranges if any(t["count"] <= max_collect for key, t in todo.items()
+                                            if (key[0], t["lo"], t["hi"]) == rg)]
+        large = [rg for rg in ranges if rg not in small]
+        if small:
+            rows = vals.where(_range_cond(small)).select("feature", "value").collect()
+            for feat, lo, hi in small:
+                vs = sorted(r["value"] for r in rows if r["feature"] == feat and lo <= r["value"] <= hi)
+                for key, t in todo.items():
+                    if (key[0], t["lo"], t["hi"]) == (feat, lo, hi):
+                        t["value"] = vs[key[1] - t["below"]]
+        if large:
+            rid = bucket = None
+            for i, (feat, lo, hi) in enumerate(large):
+                width = (hi - lo) / bins or (hi - lo)
+                b = F.least(F.floor((F.col("value") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+                cond = (F.col("feature") == feat) & F.col("value").between(lo, hi)
+                rid = F.when(cond, F.lit(i)) if rid is None else rid.when(cond, F.lit(i))
+                bucket = F.when(cond, b) if bucket is None else bucket.when(cond, b)
+            hist = (vals.where(_range_cond(large)).select(rid.alias("rid"), bucket.alias("bucket"), "value")
+                    .groupBy("rid", "bucket")
+                    .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+                    .collect())
+            for i, (feat, lo, hi) in enumerate(large):
+                buckets = sorted((r for r in hist if r["rid"] == i), key=lambda r: r["bucket"])
+                for key, t in todo.items():
+                    if (key[0], t["lo"], t["hi"]) != (feat, lo, hi):
+                        continue
+                    acc = t["below"]
+                    for r in buckets:
+                        if acc + r["n"] > key[1]:
+                            t.update(lo=r["lo"], hi=r["hi"], below=acc, count=r["n"])
+                            break
+                        acc += r["n"]
+    out = {}
+    for c in cols:
+        v = [targets[key]["value"] for key in sorted(k for k in targets if k[0] == c)]
+        if v:
+            out[c] = v[0] if len(v) == 1 else (v[0] + v[1]) / 2.0
+    return out
+
+
+def _range_cond(ranges) -> Column:
+    cond = None
+    for feat, lo, hi in ranges:
+        c = (F.col("feature") == feat) & F.col("value").between(lo, hi)
+        cond = c if cond is None else cond | c
+    return cond
 
 
 def fit_mode(train: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -124,3 +124,20 @@ def test_batch_infer_null_prompt(spark):
     out = {r.dispute_id: r.llm_response for r in
            infer.batch_infer(df, "llm_prompt", infer.field_echo_model, batch_size=1, keep=["dispute_id"]).collect()}
     assert out["b"] is None and json.loads(out["a"])["risk_level"] == "high"
+
+
+def test_exact_median_refinement_matches_numpy(spark):
+    import random
+
+    import numpy as np
+    rnd = random.Random(7)
+    xs = [rnd.lognormvariate(3, 2) for _ in range(3001)] + [None, float("nan")]
+    ys = [float(rnd.randint(0, 5)) for _ in range(3003)]
+    zs = [1e300, -1e-300] + [rnd.random() for _ in range(3000)] + [0.5]
+    df = spark.createDataFrame(list(zip(xs, ys, zs)), "x double, y double, z double")
+    got = {r.feature: r.median for r in ml.fit_median(df, ["x", "y", "z"], bins=8, max_collect=20).collect()}
+    for c, v in (("x", xs), ("y", ys), ("z", zs)):
+        clean = [a for a in v if a is not None and a == a]
+        assert got[c] == float(np.median(clean)), c
+    approx = {r.feature: r.median for r in ml.fit_median(df, ["y"], exact=False).collect()}
+    assert approx["y"] in set(ys)
