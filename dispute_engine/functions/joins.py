@@ -67,3 +67,30 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], max_bytes: in
 
 def _is_string(df: DataFrame, c: str) -> bool:
     return df.schema[c].dataType.typeName() == "string"
+
+
+def spread_if_small(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Hash-repartition a small input so CPU-heavy per-row work (model
+    scoring, training) uses every core.
+
+    Only when Catalyst's size estimate says the scan would form fewer
+    partitions than the default parallelism: at scale the input already
+    has many partitions and this is a no-op (no extra shuffle). A numbered
+    repartition is not coalesced back by AQE.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = estimated_size_bytes(df)
+    split = _bytes_conf(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728"))
+    if size is None or size // max(split, 1) + 1 >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)
+
+
+def _bytes_conf(v: str) -> int:
+    s = v.strip().lower()
+    for suffix, mult in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("k", 1 << 10), ("m", 1 << 20),
+                         ("g", 1 << 30), ("b", 1)):
+        if s.endswith(suffix):
+            return int(float(s[: -len(suffix)]) * mult)
+    return int(s)

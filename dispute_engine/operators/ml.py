@@ -16,17 +16,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import (IndexToString, OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel,
                                 VectorAssembler)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import BoostedParams, FeatureSpec, LRParams
 from ..functions import broadcast_if_small, nan_to_null, run_ts
+from ..functions.joins import spread_if_small
 
 
 def select_training(df: DataFrame, spec: FeatureSpec, label_as_string: bool = True) -> DataFrame:
@@ -239,6 +242,18 @@ def prep_transformer(spec: FeatureSpec, prep: Prep) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 
+class Densify(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Sparse -> dense vector (JVM-side). Tree ensembles read every split
+    feature by index; on a dense vector that is a direct array access."""
+
+    def __init__(self, inputCol: str = "features", outputCol: str = "features_dense"):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.getOutputCol(), array_to_vector(vector_to_array(F.col(self.getInputCol()))))
+
+
 def feature_stages(spec: FeatureSpec, prep: Prep) -> list:
     cats = [f"_c_{c}" for c in spec.categorical]
     idx = StringIndexer(inputCols=cats, outputCols=[f"_i_{c}" for c in spec.categorical],
@@ -264,7 +279,7 @@ def with_balanced_weights(train: DataFrame, label: str) -> DataFrame:
 def train_lr(train: DataFrame, spec: FeatureSpec, params: LRParams = C.LR_V1,
              exact_median: bool = True) -> PipelineModel:
     """Multinomial logistic regression, L2 with strength 1/n (scikit-learn's C=1)."""
-    train = train.where(F.col(spec.label).isNotNull())
+    train = spread_if_small(train.where(F.col(spec.label).isNotNull()), spec.id_col)
     prep = fit_prep(train, spec, params.scale, exact_median)
     n = train.count()
     lr = LogisticRegression(family="multinomial", maxIter=params.max_iter, regParam=1.0 / max(n, 1),
@@ -278,17 +293,20 @@ def train_lr(train: DataFrame, spec: FeatureSpec, params: LRParams = C.LR_V1,
 
 
 def train_boosted(train: DataFrame, spec: FeatureSpec, params: BoostedParams = BoostedParams(),
-                  parallelism: int = 4, exact_median: bool = True) -> PipelineModel:
+                  parallelism: int | None = None, exact_median: bool = True) -> PipelineModel:
     """Multi-class boosted trees: one-vs-rest over binary ``GBTClassifier``s
-    (Spark's GBT is binary only); the per-class models train in parallel."""
-    train = train.where(F.col(spec.label).isNotNull())
+    (Spark's GBT is binary only). The per-class models are independent and
+    train concurrently (``parallelism`` defaults to one thread per class)."""
+    train = spread_if_small(train.where(F.col(spec.label).isNotNull()), spec.id_col)
     prep = fit_prep(train, spec, False, exact_median)
+    if parallelism is None:
+        parallelism = max(1, train.select(spec.label).distinct().count())
     gbt = GBTClassifier(maxIter=params.n_estimators, maxDepth=params.max_depth, stepSize=params.learning_rate,
                         subsamplingRate=params.subsample, featureSubsetStrategy=str(params.colsample_bytree),
-                        maxBins=params.max_bins, seed=params.seed, featuresCol="features", labelCol="label")
-    ovr = OneVsRest(classifier=gbt, parallelism=parallelism, featuresCol="features", labelCol="label",
+                        maxBins=params.max_bins, seed=params.seed, featuresCol="features_dense", labelCol="label")
+    ovr = OneVsRest(classifier=gbt, parallelism=parallelism, featuresCol="features_dense", labelCol="label",
                     predictionCol="prediction", rawPredictionCol="rawPrediction")
-    stages = feature_stages(spec, prep) + [label_stage(spec), ovr]
+    stages = feature_stages(spec, prep) + [Densify(), label_stage(spec), ovr]
     return Pipeline(stages=stages).fit(train)
 
 
@@ -310,7 +328,7 @@ def confidence(model_kind: str) -> Column:
 
 
 def predict(model: PipelineModel, df: DataFrame, kind: str, pred_col: str, conf_col: str,
-            label_col: str | None = None) -> DataFrame:
+            label_col: str | None = None, spread: bool = True) -> DataFrame:
     """Transform and decode the class index to its name (IndexToString).
 
     A truth column ``label_col`` is carried through untouched (renamed around
@@ -318,7 +336,8 @@ def predict(model: PipelineModel, df: DataFrame, kind: str, pred_col: str, conf_
     """
     if label_col and label_col in df.columns:
         df = df.withColumnRenamed(label_col, "_truth")
-    out = model.transform(df)
+    id_col = "dispute_id" if "dispute_id" in df.columns else None
+    out = model.transform(spread_if_small(df, id_col) if spread else df)
     labels = model_labels(model)
     dec = IndexToString(inputCol="prediction", outputCol=pred_col, labels=labels)
     out = dec.transform(out).withColumn(conf_col, confidence(kind))
@@ -329,9 +348,10 @@ def score(df: DataFrame, spec: FeatureSpec, lr_model: PipelineModel, boosted_mod
           lr_uri: str = "", boosted_uri: str = "", ts=None) -> DataFrame:
     """Scored table: id + features + both models' label and confidence + metadata."""
     keep = [spec.id_col, *spec.features]
-    base = df.select(*keep)
-    a = predict(lr_model, base, "lr", "pred_reason_lr", "conf_lr").select(*keep, "pred_reason_lr", "conf_lr")
-    b = predict(boosted_model, a, "gbt", "pred_reason_xgb", "conf_xgb")
+    base = spread_if_small(df.select(*keep), spec.id_col)
+    a = predict(lr_model, base, "lr", "pred_reason_lr", "conf_lr", spread=False) \
+        .select(*keep, "pred_reason_lr", "conf_lr")
+    b = predict(boosted_model, a, "gbt", "pred_reason_xgb", "conf_xgb", spread=False)
     stamp = F.date_format(run_ts(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     return b.select(*keep, "pred_reason_lr", "conf_lr", "conf_xgb", "pred_reason_xgb",
                     stamp.alias("scored_at_utc"), F.lit(lr_uri).alias("lr_model_uri"),

@@ -107,9 +107,17 @@ def plan_for(spark: SparkSession, sf_dir: str) -> Plan:
 
 
 def ensure_database(spark: SparkSession, db: str) -> str:
-    """A database whose managed tables live under the shared checkpoint folder."""
+    """A database whose managed tables live under the shared checkpoint folder.
+
+    With the in-memory catalog, tables are forgotten when the session ends
+    while their folders remain; the folder is then scoped by application
+    id so a later session never collides with an old table's location. A
+    persistent (Hive) catalog keeps one stable location per database.
+    """
     root = checkpoint_dir(spark).rstrip("/")
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}/warehouse/{db}.db'")
+    in_memory = spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "in-memory"
+    loc = f"{root}/warehouse/{spark.sparkContext.applicationId}/{db}.db" if in_memory else f"{root}/warehouse/{db}.db"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{loc}'")
     return db
 
 
