@@ -16,8 +16,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from dispute_engine import config as C  # noqa: E402
 from dispute_engine.operators import evidence, ml, queue, split  # noqa: E402
 from dispute_engine.operators.runs import run_metrics  # noqa: E402
@@ -66,7 +64,6 @@ def main() -> None:
         pass
     print(json.dumps({"metric": "dispute_pipeline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf}))
-    del F
 
 
 if __name__ == "__main__":

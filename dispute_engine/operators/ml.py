@@ -23,6 +23,7 @@ from pyspark.ml.feature import (IndexToString, OneHotEncoder, SQLTransformer, St
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -258,9 +259,9 @@ def feature_stages(spec: FeatureSpec, prep: Prep) -> list:
     cats = [f"_c_{c}" for c in spec.categorical]
     idx = StringIndexer(inputCols=cats, outputCols=[f"_i_{c}" for c in spec.categorical],
                         handleInvalid="keep", stringOrderType="alphabetAsc")
-    # dropLast removes only the extra 'unseen' slot: unseen -> all zeros
+    # the indexer's last slot is '__unknown'; dropLast removes it: unseen -> all zeros
     ohe = OneHotEncoder(inputCols=[f"_i_{c}" for c in spec.categorical],
-                        outputCols=[f"_o_{c}" for c in spec.categorical], dropLast=True, handleInvalid="keep")
+                        outputCols=[f"_o_{c}" for c in spec.categorical], dropLast=True)
     asm = VectorAssembler(inputCols=[f"_n_{c}" for c in spec.numeric] + [f"_o_{c}" for c in spec.categorical],
                           outputCol="features")
     return [prep_transformer(spec, prep), idx, ohe, asm]
@@ -276,38 +277,58 @@ def with_balanced_weights(train: DataFrame, label: str) -> DataFrame:
     return train.join(broadcast_if_small(w), F.col(label).cast("string") == F.col("_cls"), "left").drop("_cls")
 
 
+def _training_frame(train: DataFrame, spec: FeatureSpec, spread: bool = True) -> DataFrame:
+    """The projected training columns, persisted (memory, spilling to disk) for
+    the statistics passes and the fit; lost blocks recompute from lineage.
+    A small input is first spread over all cores (no-op at scale)."""
+    cols = [c for c in dict.fromkeys([spec.id_col, *spec.features, spec.label]) if c in train.columns]
+    df = train.where(F.col(spec.label).isNotNull()).select(*cols)
+    if spread:
+        df = spread_if_small(df, spec.id_col)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def train_lr(train: DataFrame, spec: FeatureSpec, params: LRParams = C.LR_V1,
-             exact_median: bool = True) -> PipelineModel:
+             exact_median: bool = True, spread: bool = True) -> PipelineModel:
     """Multinomial logistic regression, L2 with strength 1/n (scikit-learn's C=1)."""
-    train = spread_if_small(train.where(F.col(spec.label).isNotNull()), spec.id_col)
-    prep = fit_prep(train, spec, params.scale, exact_median)
-    n = train.count()
-    lr = LogisticRegression(family="multinomial", maxIter=params.max_iter, regParam=1.0 / max(n, 1),
-                            elasticNetParam=0.0, standardization=False, tol=params.tol, featuresCol="features",
-                            labelCol="label", probabilityCol="probability", predictionCol="prediction")
-    if params.balanced:
-        train = with_balanced_weights(train, spec.label)
-        lr = lr.setWeightCol("weight")
-    stages = feature_stages(spec, prep) + [label_stage(spec), lr]
-    return Pipeline(stages=stages).fit(train)
+    train = _training_frame(train, spec, spread)
+    try:
+        prep = fit_prep(train, spec, params.scale, exact_median)
+        n = train.count()
+        lr = LogisticRegression(family="multinomial", maxIter=params.max_iter, regParam=1.0 / max(n, 1),
+                                elasticNetParam=0.0, standardization=False, tol=params.tol,
+                                featuresCol="features", labelCol="label", probabilityCol="probability",
+                                predictionCol="prediction")
+        data = train
+        if params.balanced:
+            data = with_balanced_weights(train, spec.label)
+            lr = lr.setWeightCol("weight")
+        stages = feature_stages(spec, prep) + [label_stage(spec), lr]
+        return Pipeline(stages=stages).fit(data)
+    finally:
+        train.unpersist()
 
 
 def train_boosted(train: DataFrame, spec: FeatureSpec, params: BoostedParams = BoostedParams(),
-                  parallelism: int | None = None, exact_median: bool = True) -> PipelineModel:
+                  parallelism: int | None = None, exact_median: bool = True, spread: bool = True) -> PipelineModel:
     """Multi-class boosted trees: one-vs-rest over binary ``GBTClassifier``s
     (Spark's GBT is binary only). The per-class models are independent and
     train concurrently (``parallelism`` defaults to one thread per class)."""
-    train = spread_if_small(train.where(F.col(spec.label).isNotNull()), spec.id_col)
-    prep = fit_prep(train, spec, False, exact_median)
-    if parallelism is None:
-        parallelism = max(1, train.select(spec.label).distinct().count())
-    gbt = GBTClassifier(maxIter=params.n_estimators, maxDepth=params.max_depth, stepSize=params.learning_rate,
-                        subsamplingRate=params.subsample, featureSubsetStrategy=str(params.colsample_bytree),
-                        maxBins=params.max_bins, seed=params.seed, featuresCol="features_dense", labelCol="label")
-    ovr = OneVsRest(classifier=gbt, parallelism=parallelism, featuresCol="features_dense", labelCol="label",
-                    predictionCol="prediction", rawPredictionCol="rawPrediction")
-    stages = feature_stages(spec, prep) + [Densify(), label_stage(spec), ovr]
-    return Pipeline(stages=stages).fit(train)
+    train = _training_frame(train, spec, spread)
+    try:
+        prep = fit_prep(train, spec, False, exact_median)
+        if parallelism is None:
+            parallelism = max(1, train.select(spec.label).distinct().count())
+        gbt = GBTClassifier(maxIter=params.n_estimators, maxDepth=params.max_depth, stepSize=params.learning_rate,
+                            subsamplingRate=params.subsample, featureSubsetStrategy=str(params.colsample_bytree),
+                            maxBins=params.max_bins, seed=params.seed, featuresCol="features_dense",
+                            labelCol="label")
+        ovr = OneVsRest(classifier=gbt, parallelism=parallelism, featuresCol="features_dense", labelCol="label",
+                        predictionCol="prediction", rawPredictionCol="rawPrediction")
+        stages = feature_stages(spec, prep) + [Densify(), label_stage(spec), ovr]
+        return Pipeline(stages=stages).fit(train)
+    finally:
+        train.unpersist()
 
 
 def model_labels(model: PipelineModel) -> list[str]:

@@ -41,7 +41,7 @@ def _splits(spark, d, v2: bool = True):
 
 def _fingerprint(d: str, name: str) -> str:
     """Input files (size, mtime) + the training parameters of ``name``."""
-    h = hashlib.sha1(f"{name}:dense-v2".encode())
+    h = hashlib.sha1(f"{name}:dense-v3".encode())
     h.update(repr((C.SPEC_V2, C.SPEC_LR_V1, C.LR_V1, C.LR_BALANCED, C.BoostedParams())).encode())
     for t in ("orders", "customer", "lineitem", "part", "nation"):
         try:
