@@ -10,9 +10,10 @@ def estimated_size_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of df's optimized plan (an upper bound for scans
     and filters), or None when the estimate is unavailable."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     except Exception:  # noqa: BLE001 - e.g. Spark Connect has no JVM handle
         return None
+    return v if isinstance(v, int) else int(v.toString())  # py4j converts Scala BigInt to int
 
 
 def broadcast_threshold(df: DataFrame) -> int:
