@@ -1,8 +1,9 @@
 """The run log: training runs as a table, and the reports read from it.
 
 Canonical schema (``RUN_LOG_SCHEMA``): experiment, run id and name, status,
-start/end time, and metrics/params/tags as maps. Reports are window and
-filter plans over it; nothing is collected.
+start/end time, and metrics/params/tags/artifacts as maps. Reports are
+window and filter plans over it; nothing is collected. Artifact texts are
+rendered from K-row reports and K x K matrices.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ RUN_LOG_SCHEMA = T.StructType([
     T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType())),
     T.StructField("params", T.MapType(T.StringType(), T.StringType())),
     T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("artifacts", T.MapType(T.StringType(), T.StringType())),
 ])
 
 RUN_METRICS_COLUMNS = ("experiment_id", "experiment_name", "run_id", "run_name", "status", "start_time_utc",
@@ -42,12 +44,14 @@ def runs_from_flat(df: DataFrame) -> DataFrame:
         F.create_map().cast("map<string,double>")
     params = F.from_json(F.col("params_json"), "map<string,string>") if "params_json" in df.columns else \
         F.create_map().cast("map<string,string>")
+    artifacts = F.create_map().cast("map<string,string>")
     tags = F.when(F.col("run_name").isNotNull(), F.create_map(F.lit("mlflow.runName"), F.col("run_name"))) \
             .otherwise(F.create_map().cast("map<string,string>"))
     end = F.col("end_time") if "end_time" in df.columns else F.lit(None).cast("timestamp_ntz")
     return df.select("experiment_id", "experiment_name", "run_id", "run_name", "status",
                      F.col("start_time").cast("timestamp_ntz").alias("start_time"), end.alias("end_time"),
-                     metrics.alias("metrics"), params.alias("params"), tags.alias("tags"))
+                     metrics.alias("metrics"), params.alias("params"), tags.alias("tags"),
+                     artifacts.alias("artifacts"))
 
 
 def run_name_expr(tags: str = "tags") -> Column:
@@ -122,10 +126,38 @@ def model_metrics(runs: DataFrame, experiment_id: str | None = None, k: int = C.
 
 
 def run_log_row(spark, *, experiment_id: str, experiment_name: str, run_id: str, run_name: str,
-                status: str, start_time, end_time, metrics: dict, params: dict) -> DataFrame:
+                status: str, start_time, end_time, metrics: dict, params: dict,
+                artifacts: dict | None = None) -> DataFrame:
     """One run-log row with an explicit schema (the only driver-built rows)."""
     return spark.createDataFrame(
         [(experiment_id, experiment_name, run_id, run_name, status, start_time, end_time,
           {k: float(v) for k, v in metrics.items()}, {k: str(v) for k, v in params.items()},
-          {"mlflow.runName": run_name})],
+          {"mlflow.runName": run_name}, dict(artifacts or {}))],
         RUN_LOG_SCHEMA)
+
+
+def report_text(report_rows) -> str:
+    """Fixed-width text of classification-report rows (class, precision,
+    recall, f1_score, support); the accuracy row shows only f1 and support."""
+    width = max([12] + [len(str(r["class"])) for r in report_rows])
+    lines = [f"{'':>{width}} {'precision':>9} {'recall':>9} {'f1-score':>9} {'support':>9}", ""]
+    def f(v):
+        return f"{v:9.2f}" if v is not None else " " * 9
+
+    for r in report_rows:
+        if r["class"] == "accuracy":
+            lines.append("")
+        lines.append(f"{r['class']:>{width}} {f(r['precision'])} {f(r['recall'])} {f(r['f1_score'])} "
+                     f"{r['support']:9d}")
+    return "\n".join(lines) + "\n"
+
+
+def confusion_csv(rows, labels) -> str:
+    """Confusion-matrix rows (true_label + one column per label) as CSV text
+    with the label index, the layout of a labelled matrix written to CSV."""
+    out = ["," + ",".join(labels)]
+    by_label = {r["true_label"]: r for r in rows}
+    for lbl in labels:
+        r = by_label.get(lbl)
+        out.append(lbl + "," + ",".join(str(r[c] if r is not None else 0) for c in labels))
+    return "\n".join(out) + "\n"

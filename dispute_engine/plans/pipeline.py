@@ -171,3 +171,20 @@ def run_pipeline(spark: SparkSession, sf_dir: str, db: str = C.DEFAULT_DB, ts: s
     io.create_dashboard_view(spark, db)
     out["v_queue_dashboard"] = io.qualified(db, "v_queue_dashboard")
     return out
+
+
+def main(argv: list[str] | None = None) -> None:
+    """python -m dispute_engine.plans.pipeline SF_DIR [DB] — build every table."""
+    import sys
+
+    from ..session import get_spark
+    args = sys.argv[1:] if argv is None else argv
+    if not args:
+        raise SystemExit("usage: python -m dispute_engine.plans.pipeline SF_DIR [DB]")
+    spark = get_spark()
+    for name, table in run_pipeline(spark, args[0], db=args[1] if len(args) > 1 else C.DEFAULT_DB).items():
+        print(f"{name}\t{table}")
+
+
+if __name__ == "__main__":
+    main()

@@ -127,3 +127,14 @@ def test_run_name_from_tags(spark):
 def test_require_rows(spark):
     with pytest.raises(RuntimeError):
         io.require_rows(spark.range(0), "empty")
+
+
+def test_artifact_texts(spark):
+    from dispute_engine.operators import metrics
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "y string, p string")
+    rep = metrics.classification_report(df, "y", "p").orderBy("class").collect()
+    txt = runs.report_text([r for r in rep if r["class"] in ("a", "b")] +
+                           [r for r in rep if r["class"] not in ("a", "b")])
+    assert "precision" in txt and "\n\n    accuracy" in txt and txt.endswith("\n")
+    cm = metrics.confusion(df, "y", "p", ["a", "b"]).collect()
+    assert runs.confusion_csv(cm, ["a", "b"]) == ",a,b\na,1,1\nb,0,1\n"
