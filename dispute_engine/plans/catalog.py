@@ -453,7 +453,7 @@ def _fail_if_empty(spark, d):
 # ---------------------------------------------------------------- 2.F aggregations
 
 @register("dq_profile", sel("silver", "count(*) AS rows, count(DISTINCT dispute_id) AS distinct_dispute_id, "
-                                      "sum(CAST(reason_code IS NULL AS INTEGER)) AS null_reason_code"))
+                                      "CAST(sum(CAST(reason_code IS NULL AS INTEGER)) AS BIGINT) AS null_reason_code"))
 def _dq_profile(spark, d):
     return quality.profile(P(spark, d).silver)
 
@@ -462,7 +462,7 @@ NULL_AUDIT = {"delta_amount": "null_delta_amount", "delta_pct": "null_delta_pct"
               "timely_flag": "null_timely_flag"}
 
 
-@register("dq_null_audit", sel("gold", ", ".join(f"sum(CAST({c} IS NULL AS INTEGER)) AS {n}"
+@register("dq_null_audit", sel("gold", ", ".join(f"CAST(sum(CAST({c} IS NULL AS INTEGER)) AS BIGINT) AS {n}"
                                                  for c, n in NULL_AUDIT.items())))
 def _dq_null_audit(spark, d):
     return quality.null_audit(P(spark, d).gold, list(NULL_AUDIT), NULL_AUDIT)
