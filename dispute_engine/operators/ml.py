@@ -31,6 +31,7 @@ from .. import config as C
 from ..config import BoostedParams, FeatureSpec, LRParams
 from ..functions import broadcast_if_small, nan_to_null, run_ts
 from ..functions.joins import spread_if_small
+from ..sources.io import require_columns
 
 
 def select_training(df: DataFrame, spec: FeatureSpec, label_as_string: bool = True) -> DataFrame:
@@ -281,6 +282,7 @@ def _training_frame(train: DataFrame, spec: FeatureSpec, spread: bool = True) ->
     """The projected training columns, persisted (memory, spilling to disk) for
     the statistics passes and the fit; lost blocks recompute from lineage.
     A small input is first spread over all cores (no-op at scale)."""
+    require_columns(train, [spec.label, *spec.features], "TRAIN")
     cols = [c for c in dict.fromkeys([spec.id_col, *spec.features, spec.label]) if c in train.columns]
     df = train.where(F.col(spec.label).isNotNull()).select(*cols)
     if spread:
@@ -369,6 +371,7 @@ def score(df: DataFrame, spec: FeatureSpec, lr_model: PipelineModel, boosted_mod
           lr_uri: str = "", boosted_uri: str = "", ts=None) -> DataFrame:
     """Scored table: id + features + both models' label and confidence + metadata."""
     keep = [spec.id_col, *spec.features]
+    require_columns(df, keep, "scoring input")
     base = spread_if_small(df.select(*keep), spec.id_col)
     a = predict(lr_model, base, "lr", "pred_reason_lr", "conf_lr", spread=False) \
         .select(*keep, "pred_reason_lr", "conf_lr")

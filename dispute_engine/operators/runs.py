@@ -76,6 +76,16 @@ def iso_utc(c: str | Column) -> Column:
                     F.lit("+00:00"))
 
 
+def iso_utc_from_millis(c: str | Column) -> Column:
+    """Epoch milliseconds -> ISO-8601 UTC text (NULL stays NULL), independent
+    of the session time zone: the UTC wall clock is built as a TIMESTAMP_NTZ
+    (epoch + interval) and formatted like ``iso_utc``."""
+    x = F.col(c) if isinstance(c, str) else c
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    wall = epoch + F.make_dt_interval(secs=(x / 1000).cast("decimal(20,6)"))
+    return F.when(x.isNull(), F.lit(None).cast("string")).otherwise(iso_utc(wall))
+
+
 def _newest_first(*extra: str):
     return [F.desc_nulls_last("start_time"), *[F.asc(c) for c in extra]]
 

@@ -185,6 +185,7 @@ def _assemble(spark, d):
 
 def _test_predictions(spark, d, name: str, v2: bool, spec):
     _, test = _splits(spark, d, v2=v2)
+    io.require_columns(test, [spec.label, *spec.features], "TEST")
     model = _model(spark, d, name)
     kind = "gbt" if name == "boosted" else "lr"
     test = test.where(F.col(spec.label).isNotNull()).select(spec.id_col, *spec.features, spec.label)

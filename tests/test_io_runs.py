@@ -138,3 +138,12 @@ def test_artifact_texts(spark):
     assert "precision" in txt and "\n\n    accuracy" in txt and txt.endswith("\n")
     cm = metrics.confusion(df, "y", "p", ["a", "b"]).collect()
     assert runs.confusion_csv(cm, ["a", "b"]) == ",a,b\na,1,1\nb,0,1\n"
+
+
+def test_iso_from_epoch_millis_matches_python(spark):
+    from datetime import datetime, timezone
+    ms = [1704067207179, 1704067200000, 0, None]
+    df = spark.createDataFrame([(m,) for m in ms], "ms long")
+    got = [r.s for r in df.select(runs.iso_utc_from_millis("ms").alias("s")).collect()]
+    want = [datetime.fromtimestamp(m / 1000, tz=timezone.utc).isoformat() if m is not None else None for m in ms]
+    assert got == want
