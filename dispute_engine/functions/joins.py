@@ -16,6 +16,21 @@ def estimated_size_bytes(df: DataFrame) -> int | None:
     return v if isinstance(v, int) else int(v.toString())  # py4j converts Scala BigInt to int
 
 
+def input_size_bytes(df: DataFrame) -> int | None:
+    """Bytes scanned by df: the sum of its leaf relations' sizes. Unlike the
+    estimate of the whole plan (which multiplies through joins without
+    cost-based statistics) this is a sound measure of how big the job is."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            v = leaves.apply(i).stats().sizeInBytes()
+            total += v if isinstance(v, int) else int(v.toString())
+        return total
+    except Exception:  # noqa: BLE001 - no JVM handle
+        return None
+
+
 def broadcast_threshold(df: DataFrame) -> int:
     v = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     try:
@@ -74,14 +89,14 @@ def spread_if_small(df: DataFrame, key: str | None = None) -> DataFrame:
     """Hash-repartition a small input so CPU-heavy per-row work (model
     scoring, training) uses every core.
 
-    Only when Catalyst's size estimate says the scan would form fewer
-    partitions than the default parallelism: at scale the input already
-    has many partitions and this is a no-op (no extra shuffle). A numbered
-    repartition is not coalesced back by AQE.
+    Only when the bytes the job scans would form fewer partitions than the
+    default parallelism: at scale the input already has many partitions and
+    this is a no-op (no extra shuffle). A numbered repartition is not
+    coalesced back by AQE.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = estimated_size_bytes(df)
+    size = input_size_bytes(df)
     split = _bytes_conf(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728"))
     if size is None or size // max(split, 1) + 1 >= cores:
         return df

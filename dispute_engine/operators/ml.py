@@ -278,10 +278,12 @@ def with_balanced_weights(train: DataFrame, label: str) -> DataFrame:
     return train.join(broadcast_if_small(w), F.col(label).cast("string") == F.col("_cls"), "left").drop("_cls")
 
 
-def _training_frame(train: DataFrame, spec: FeatureSpec, spread: bool = True) -> DataFrame:
+def _training_frame(train: DataFrame, spec: FeatureSpec, spread: bool = False) -> DataFrame:
     """The projected training columns, persisted (memory, spilling to disk) for
     the statistics passes and the fit; lost blocks recompute from lineage.
-    A small input is first spread over all cores (no-op at scale)."""
+    ``spread`` first spreads a small input over all cores (a no-op at scale);
+    off by default: measured locally, L-BFGS and boosting rounds are bound by
+    per-job overhead, and more tasks per job make them slower."""
     require_columns(train, [spec.label, *spec.features], "TRAIN")
     cols = [c for c in dict.fromkeys([spec.id_col, *spec.features, spec.label]) if c in train.columns]
     df = train.where(F.col(spec.label).isNotNull()).select(*cols)
@@ -291,7 +293,7 @@ def _training_frame(train: DataFrame, spec: FeatureSpec, spread: bool = True) ->
 
 
 def train_lr(train: DataFrame, spec: FeatureSpec, params: LRParams = C.LR_V1,
-             exact_median: bool = True, spread: bool = True) -> PipelineModel:
+             exact_median: bool = True, spread: bool = False) -> PipelineModel:
     """Multinomial logistic regression, L2 with strength 1/n (scikit-learn's C=1)."""
     train = _training_frame(train, spec, spread)
     try:
@@ -312,7 +314,7 @@ def train_lr(train: DataFrame, spec: FeatureSpec, params: LRParams = C.LR_V1,
 
 
 def train_boosted(train: DataFrame, spec: FeatureSpec, params: BoostedParams = BoostedParams(),
-                  parallelism: int | None = None, exact_median: bool = True, spread: bool = True) -> PipelineModel:
+                  parallelism: int | None = None, exact_median: bool = True, spread: bool = False) -> PipelineModel:
     """Multi-class boosted trees: one-vs-rest over binary ``GBTClassifier``s
     (Spark's GBT is binary only). The per-class models are independent and
     train concurrently (``parallelism`` defaults to one thread per class)."""

@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import os
 
+from pyspark import StorageLevel
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -261,7 +263,14 @@ def log_run(spark, d, model_name: str, run_name: str, params: dict, labels: list
     labels, or all encoder classes when given) and the label mapping. Only
     the K-row report and K x K matrix reach the driver."""
     spec = C.SPEC_V2
-    preds = _test_predictions(spark, d, model_name, True, spec)
+    preds = _test_predictions(spark, d, model_name, True, spec).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _run_row(spark, d, model_name, run_name, params, labels, spec, preds)
+    finally:
+        preds.unpersist()
+
+
+def _run_row(spark, d, model_name, run_name, params, labels, spec, preds):
     rep = metrics.classification_report(preds, spec.label, "prediction_label").collect()
     per_class = [r for r in rep if r["class"] not in ("accuracy", "macro avg", "weighted avg")]
     f1 = sum(r["f1_score"] for r in per_class) / max(len(per_class), 1)
