@@ -199,7 +199,7 @@ class LRParams:
     max_iter: int = 2000
     scale: bool = False
     balanced: bool = False
-    tol: float = 1e-6
+    tol: float = 1e-4  # the classifier library default the original relies on (tol not set)
     extra: dict = field(default_factory=dict)
 
 

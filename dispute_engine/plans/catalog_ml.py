@@ -42,10 +42,18 @@ def _splits(spark, d, v2: bool = True):
     return split.take_split(s, "TRAIN"), split.take_split(s, "TEST")
 
 
+_MODEL_SPECS = {
+    "lr_v1": (C.SPEC_LR_V1, C.LR_V1),
+    "lr_balanced": (C.SPEC_LR_BALANCED, C.LR_BALANCED),
+    "lr_collapsed": (C.SPEC_V2, C.LR_BALANCED),
+    "boosted": (C.SPEC_V2, C.BoostedParams()),
+}
+
+
 def _fingerprint(d: str, name: str) -> str:
     """Input files (size, mtime) + the training parameters of ``name``."""
     h = hashlib.sha1(f"{name}:dense-v3".encode())
-    h.update(repr((C.SPEC_V2, C.SPEC_LR_V1, C.LR_V1, C.LR_BALANCED, C.BoostedParams())).encode())
+    h.update(repr(_MODEL_SPECS[name]).encode())
     for t in ("orders", "customer", "lineitem", "part", "nation"):
         try:
             st = os.stat(f"{d.rstrip('/')}/{t}.parquet")
