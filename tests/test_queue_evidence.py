@@ -174,3 +174,13 @@ def test_created_events(spark):
     r = ev.first()
     assert (r.event_type, r.old_status, r.new_status, r.actor) == ("CREATED", None, "OPEN", "system")
     assert ev.count() == p.queue.count()
+
+
+def test_tie_at_90_variance_vs_kw_340b(spark):
+    ts = dt.datetime(2024, 1, 1)
+    rows = [("d", "KW_340B", "k", 90.0, ts), ("d", "AMOUNT_VARIANCE", "v", 90.0, ts),
+            ("d", "CHANNEL_340B", "c", 88.0, ts), ("d", "KW_DUPLICATE", "u", 85.0, ts)]
+    agg = evidence.aggregate_evidence(evidence.top_evidence(_ev(spark, rows))).first()
+    assert agg.evidence_list == ["[AMOUNT_VARIANCE] v (score=90)", "[KW_340B] k (score=90)",
+                                 "[CHANNEL_340B] c (score=88)"]
+    assert agg.evidence_text_block == "\n".join(agg.evidence_list)
