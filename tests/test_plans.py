@@ -42,3 +42,33 @@ def test_scans_are_pruned(spark):
     p = plan_for(spark, SF)
     plan = physical(queue.payer_kpis(p.queue))
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_extendedprice:double>" in plan
+
+
+def test_null_key_third_spreads_over_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from dispute_engine.functions.joins import lookup_join
+    left = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise((F.col("id") % 1000).cast("string")).alias("k"),
+        F.col("id"))
+    right = spark.range(1000).select(F.col("id").cast("string").alias("k"), F.lit("v").alias("v"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false",
+            "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+
+        def spread(df):
+            sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(
+                F.count(F.lit(1)).alias("n")).collect()]
+            return max(sizes) / (sum(sizes) / len(sizes))
+
+        plain = left.join(right, ["k"], "left")
+        salted = lookup_join(left, right, ["k"], max_bytes=0)
+        assert salted.count() == plain.count() == 30000
+        assert spread(plain) > 2.0  # the NULL third lands in one partition
+        assert spread(salted) < 1.5
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
