@@ -72,3 +72,27 @@ def test_null_key_third_spreads_over_partitions(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_hot_dispute_top3_is_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from dispute_engine.operators import evidence
+    n = 30000
+    cand = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.format_string("D%d", F.col("id") % 5000))
+        .alias("dispute_id"),
+        F.format_string("T%d", F.col("id") % 12).alias("evidence_type"),
+        F.format_string("t%d", F.col("id")).alias("evidence_text"),
+        (F.col("id") % 97).cast("double").alias("evidence_score"),
+        F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("evidence_ts"))
+    top = evidence.top_evidence(cand)
+    plan = physical(top)
+    lines = plan.splitlines()
+    shuffle_at = next(i for i, ln in enumerate(lines) if "Exchange hashpartitioning" in ln)
+    limits = [i for i, ln in enumerate(lines) if "WindowGroupLimit" in ln]
+    assert any(i > shuffle_at for i in limits) and any(i < shuffle_at for i in limits)  # partial below, final above
+    hot = top.where(F.col("dispute_id") == "HOT").orderBy(F.desc("evidence_score"), "evidence_type", "evidence_text")
+    got = [r.evidence_score for r in hot.collect()]
+    assert got == [96.0, 96.0, 96.0]
+    assert evidence.aggregate_evidence(top).where("dispute_id = 'HOT'").first().evidence_list[0].endswith("(score=96)")
