@@ -11,8 +11,6 @@ from __future__ import annotations
 import hashlib
 import os
 
-from pyspark import StorageLevel
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -271,11 +269,12 @@ def log_run(spark, d, model_name: str, run_name: str, params: dict, labels: list
     labels, or all encoder classes when given) and the label mapping. Only
     the K-row report and K x K matrix reach the driver."""
     spec = C.SPEC_V2
-    preds = _test_predictions(spark, d, model_name, True, spec).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _run_row(spark, d, model_name, run_name, params, labels, spec, preds)
-    finally:
-        preds.unpersist()
+    # written once and read back: the reads below plan against a table scan,
+    # not the model lineage (8 x 400 trees), and the scoring runs once
+    db = ensure_database(spark, CHECK_DB)
+    table = f"run_predictions_{model_name}_{slug(d)}"
+    io.write_table(_test_predictions(spark, d, model_name, True, spec), db, table)
+    return _run_row(spark, d, model_name, run_name, params, labels, spec, io.read_table(spark, db, table))
 
 
 def _run_row(spark, d, model_name, run_name, params, labels, spec, preds):
