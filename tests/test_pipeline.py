@@ -35,3 +35,13 @@ def test_bucketed_queue_join_has_no_exchange_on_buckets(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_rerun_overwrites_tables_and_appends_events(spark):
+    out = run_pipeline(spark, SF, db="dispute_ai_rerun", ts=TS, buckets=4)
+    n_queue = spark.table(out["dispute_work_queue"]).count()
+    n_events = spark.table(out["dispute_work_events"]).count()
+    out2 = run_pipeline(spark, SF, db="dispute_ai_rerun", ts=TS, buckets=4)
+    assert spark.table(out2["dispute_work_queue"]).count() == n_queue  # overwrite
+    assert spark.table(out2["dispute_evidence_top3"]).count() == spark.table(out["dispute_evidence_top3"]).count()
+    assert spark.table(out2["dispute_work_events"]).count() == 2 * n_events  # plain append duplicates (D6)
