@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, quality, urls
+from . import binary_output, bpe, exact, packing, quality, urls
+from .shared import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.encode_decode(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"), urls.rules_frame(spark))
 
@@ -19,13 +31,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(spark, _table(spark, sf_dir, "documents"))
 
 
+def op7_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-ids")
+    binary_output.write_ids(_table(spark, sf_dir, "documents"), path)
+    return binary_output.read_ids(spark, path)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_packing": op2_packing,
     "op5_url_filters": op5_url_filters,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_binary_output": op7_binary_output,
     "op10_quality_rules": op10_quality_rules,
 }
 
