@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, bpe, exact, packing, quality, urls
+from . import binary_output, bpe, exact, langid, lm_scoring, packing, quality, toxicity, urls
 from .shared import scratch
 
 
@@ -23,6 +23,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"), urls.rules_frame(spark))
 
@@ -37,6 +45,10 @@ def op7_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read_ids(spark, path)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -44,9 +56,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
+    "op4_language_id": op4_language_id,
     "op5_url_filters": op5_url_filters,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_binary_output": op7_binary_output,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
 }
 
