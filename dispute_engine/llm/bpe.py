@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .shared import text_or_empty
 from .tokens import default_vocab, library, pieces, words
 
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 16 << 20
 _ROW = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 _ROW_SQL = "key long, block long, bucket int, blob binary"
 
@@ -86,7 +86,12 @@ def _split(n_buckets: int):
     """Step 1: documents to one position row and up to ``n_buckets`` word rows for each block."""
 
     def rows(block: int, doc_ids: list, slots: list, listed: list[str]):
-        raw = [w.encode() for w in listed]
+        flat = np.concatenate(slots)
+        # frequent words get small numbers, whose high byte planes then compress away
+        by_count = np.argsort(-np.bincount(flat, minlength=len(listed)), kind="stable")
+        number = np.empty(len(listed), np.uint32)
+        number[by_count] = np.arange(len(listed), dtype=np.uint32)
+        raw = [listed[i].encode() for i in by_count]
         bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in raw), np.int64, len(raw))
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -94,7 +99,7 @@ def _split(n_buckets: int):
         ids = np.array([d or 0 for d in doc_ids], dtype=np.int64)
         position = _pack_arrays(null, (ids & 0xFFFFFFFF).astype(np.uint32), (ids >> 32 & 0xFFFFFFFF).astype(np.uint32),
                                 np.array([len(s) for s in slots], dtype=np.uint32), bucket.astype(np.uint32),
-                                np.concatenate(slots))
+                                number[flat])
         out = [(zlib.crc32(block.to_bytes(8, "little")), block, -1, position)]
         for b in range(n_buckets):
             if cuts[b] < cuts[b + 1]:
