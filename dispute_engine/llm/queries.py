@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, bpe, exact, langid, lm_scoring, packing, quality, toxicity, urls
+from . import binary_output, bpe, exact, jaccard, langid, lm_scoring, packing, quality, toxicity, urls
 from .shared import scratch
 
 
@@ -49,6 +49,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_binary_output": op7_binary_output,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 
