@@ -96,7 +96,8 @@ def _add_up(batches):
 def counts(docs: DataFrame, labels: DataFrame, vocab: str) -> np.ndarray:
     """2 x (UNIGRAMS + BUCKETS) counts: background and target."""
     good = labels.where(F.col("quality") == 1).select("doc_id").distinct().withColumn("good", F.lit(True))
-    rows = docs.select("doc_id", "text").join(good, "doc_id", "left") \
+    # always a sort-merge join: a broadcast that only small label tables get would change the plan with the size
+    rows = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left") \
                .select("text", F.coalesce("good", F.lit(False)).alias("good"))
     slices = rows.mapInArrow(_count(vocab), "slice int, counts binary").repartition("slice") \
                  .sortWithinPartitions("slice").mapInArrow(_add_up, "slice int, counts binary").collect()
