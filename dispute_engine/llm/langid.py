@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,72 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _piece_ids(vocab: str) -> dict[bytes, int]:
-    return {p: i for i, p in enumerate(pieces(vocab)) if 0 < len(p) <= CHUNK}
+class PieceTable:
+    """Ids of byte strings, looked up for whole arrays of them by a 64-bit hash.
+
+    Each table holds the pieces that found a slot of their own; the few that
+    did not go to the next one. A hit is confirmed by the full hash."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, vocab: str):
+        listed = [(i, p) for i, p in enumerate(pieces(vocab)) if 0 < len(p) <= CHUNK]
+        self.size = len(pieces(vocab))
+        self.keys = np.zeros(self.size, np.uint64)
+        by_length = defaultdict(list)
+        for i, p in listed:
+            by_length[len(p)].append((i, p))
+        for n, group in by_length.items():
+            raw = np.frombuffer(b"".join(p for _, p in group), np.uint8).reshape(-1, n)
+            self.keys[[i for i, _ in group]] = self.hashes(raw)(0, n)
+        left, self.tables = np.array([i for i, _ in listed]), []
+        for bits in (20, 16, 16, 16):
+            table = np.zeros(1 << bits, np.int32)
+            slot = self._slot(self.keys[left], len(self.tables), bits)
+            _, first = np.unique(slot, return_index=True)
+            table[slot[first]] = left[first]
+            self.tables.append((bits, table))
+            left = np.delete(left, first)
+            if not len(left):
+                break
+        if len(left):
+            raise ValueError("pieces without a slot")
+
+    @staticmethod
+    def _slot(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
+        return (keys * np.uint64((0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F)[k])
+                >> np.uint64(64 - bits)).astype(np.int64)
+
+    @classmethod
+    def hashes(cls, raw: np.ndarray):
+        """A function of (start, end): the hash of that part of every row of ``raw``."""
+        n = raw.shape[1]
+        up = np.array([pow(cls.BASE, i, 1 << 64) for i in range(n)], dtype=np.uint64)
+        down = np.array([pow(cls.BASE, -i, 1 << 64) for i in range(n)], dtype=np.uint64)
+        total = np.zeros((n + 1, len(raw)), np.uint64)
+        np.cumsum((raw.T.astype(np.uint64) + np.uint64(1)) * up[:, None], axis=0, out=total[1:])
+
+        def part(i: int, j: int) -> np.ndarray:
+            x = (total[j] - total[i]) * down[i] + np.uint64(j - i)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            return x ^ (x >> np.uint64(27))
+
+        return part
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of the keys that are pieces, their ids)."""
+        where, ids = [], []
+        for k, (bits, table) in enumerate(self.tables):
+            piece = table[self._slot(keys, k, bits)]
+            hit = np.flatnonzero(self.keys[piece] == keys)
+            where.append(hit)
+            ids.append(piece[hit])
+        return np.concatenate(where), np.concatenate(ids)
+
+
+@lru_cache(maxsize=2)
+def _piece_table(vocab: str) -> PieceTable:
+    return PieceTable(vocab)
 
 
 def _chunks(word: str) -> list[bytes]:
@@ -65,23 +130,22 @@ def _groups(chunks: list[bytes]):
             yield n, where[i:i + GROUP]
 
 
-def _edges(chunks: list[bytes], n: int, ids: dict[bytes, int]):
+def _edges(chunks: list[bytes], n: int, table: PieceTable):
     """For every start and end: which of the chunks have a piece there, and its id."""
-    get = ids.get
+    part = table.hashes(np.frombuffer(b"".join(chunks), np.uint8).reshape(-1, n))
     for i in range(n):
         for j in range(i + 1, n + 1):
-            piece = np.fromiter([get(c[i:j], -1) for c in chunks], np.int64, len(chunks))
-            k = np.flatnonzero(piece >= 0)
+            k, piece = table.find(part(i, j))
             if len(k):
-                yield i, j, k, piece[k]
+                yield i, j, k, piece
 
 
-def expected_counts(weights: dict[bytes, float], ids: dict[bytes, int], size: int) -> np.ndarray:
+def expected_counts(weights: dict[bytes, float], table: PieceTable) -> np.ndarray:
     """Expected piece counts of weighted chunks over all segmentations, every piece equally likely."""
-    out, listed, p = np.zeros(size), list(weights), 1.0 / size
+    out, listed, p = np.zeros(table.size), list(weights), 1.0 / table.size
     for n, where in _groups(listed):
         group = [listed[k] for k in where]
-        edges = list(_edges(group, n, ids))
+        edges = list(_edges(group, n, table))
         forward, backward = np.zeros((n + 1, len(group))), np.zeros((n + 1, len(group)))
         forward[0], backward[n] = 1.0, 1.0
         for i, j, k, _ in edges:
@@ -94,15 +158,15 @@ def expected_counts(weights: dict[bytes, float], ids: dict[bytes, int], size: in
     return out
 
 
-def log_probabilities(chunks: list[bytes], ids: dict[bytes, int], table: np.ndarray) -> np.ndarray:
-    """log of the sum over all segmentations, for each chunk and language; ``table``: piece x language."""
-    out = np.zeros((len(chunks), table.shape[1]))
+def log_probabilities(chunks: list[bytes], table: PieceTable, p: np.ndarray) -> np.ndarray:
+    """log of the sum over all segmentations, for each chunk and language; ``p``: piece x language."""
+    out = np.zeros((len(chunks), p.shape[1]))
     for n, where in _groups(chunks):
         group = [chunks[k] for k in where]
-        forward = np.zeros((n + 1, len(group), table.shape[1]))
+        forward = np.zeros((n + 1, len(group), p.shape[1]))
         forward[0] = 1.0
-        for i, j, k, piece in _edges(group, n, ids):
-            forward[j, k] += forward[i, k] * table[piece]
+        for i, j, k, piece in _edges(group, n, table):
+            forward[j, k] += forward[i, k] * p[piece]
         out[where] = np.log(forward[n])
     return out
 
@@ -112,7 +176,7 @@ def fit(docs: DataFrame, vocab: str) -> tuple[list[str], np.ndarray, np.ndarray]
     size = len(pieces(vocab))
 
     def expect(batches):
-        ids = _piece_ids(vocab)
+        found = _piece_table(vocab)
         words: dict[str, Counter] = defaultdict(Counter)
         n_docs: Counter = Counter()
 
@@ -122,7 +186,7 @@ def fit(docs: DataFrame, vocab: str) -> tuple[list[str], np.ndarray, np.ndarray]
                 for w, n in counted.items():
                     for c in _chunks(w):
                         weights[c] += n
-                counts = expected_counts(weights, ids, size)
+                counts = expected_counts(weights, found)
                 where = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * (len(where) + 1)), pa.array(np.append(where, -1), pa.int64()),
@@ -164,14 +228,14 @@ def identify(docs: DataFrame, vocab: str | None = None) -> DataFrame:
     langs, prior, table = fit(docs, vocab)
 
     def predict(batches):
-        ids = _piece_ids(vocab)
+        known = _piece_table(vocab)
         at: dict[str, int] = {}
         logs = np.zeros((0, len(langs)))
 
         def learn(new: list[str]):
             nonlocal logs
             chunks = [_chunks(w) for w in new]
-            flat = log_probabilities([c for cs in chunks for c in cs], ids, table)
+            flat = log_probabilities([c for cs in chunks for c in cs], known, table)
             starts = np.cumsum([0] + [len(cs) for cs in chunks])[:-1]
             logs = np.concatenate([logs, np.add.reduceat(flat, starts, axis=0)])
             at.update(zip(new, range(len(at), len(at) + len(new))))
