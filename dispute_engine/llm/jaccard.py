@@ -18,12 +18,13 @@ Verification, in two rounds, each on whole sets:
    distinct over all groups; a star is split by a salt). Families of near
    copies are linked here, in a number of comparisons linear in their size.
 2. Count-vector R-tree: only groups whose members still lie in several
-   components remain. In each, set elements are hashed into GROUPS groups,
-   the group counts are points of an R-tree, and the overlap of a set with a
-   box or a point is at most the sum of the coordinate minima; boxes and points
-   below the needed overlap are skipped, sets already connected too, and the
-   survivors are compared exactly. Groups of over BLOCK members are split into
-   all pairs of blocks, so every pair still meets.
+   components remain. Set elements are hashed into GROUPS groups, the group
+   counts are points of an R-tree, and the overlap of a set with a box or a
+   point is at most the sum of the coordinate minima; boxes and points below the
+   needed overlap are skipped, sets already connected too. Members without a
+   surviving partner leave before any text moves; the others are compared
+   exactly. Groups of over BLOCK members are split into all pairs of blocks, so
+   every pair still meets.
 
 No link between different texts is lost: both rounds together compare every
 candidate pair that is not connected already.
@@ -58,7 +59,7 @@ PERCENT = 75
 SKETCH_BITS = 20
 SLICES = 64
 FLUSH = 1_000_000       # prefix shingles a task holds before it hands them on
-GROUPS = 64             # coordinates of a count vector
+GROUPS = 256            # coordinates of a count vector
 LEAF = 16               # points of an R-tree leaf, and boxes of a node
 BLOCK = 500             # members of a group compared in one piece
 
@@ -128,13 +129,22 @@ def _cell(s: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- features and sketch
 
-_FEATURES = "doc_id long, n long, digest binary, slice int, counts binary"
+_FEATURES = "doc_id long, n long, digest binary, vec binary, slice int, counts binary"
+
+
+def _point(s: np.ndarray) -> np.ndarray:
+    return np.bincount((s >> _U(56)).astype(np.int64), minlength=GROUPS)
+
+
+def _unpack_point(vec: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(vec), "<u4").astype(np.int64)
 
 
 def _features(batches):
     sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), False
+    names = [f.split()[0] for f in _FEATURES.split(", ")]
     for batch in batches:
-        n, digests = [], []
+        n, digests, vecs = [], [], []
         for text in batch.column(1):
             s = shingles(text.as_py())
             if len(s):
@@ -142,17 +152,17 @@ def _features(batches):
                 seen = True
             n.append(len(s))
             digests.append(_digest(s))
+            vecs.append(zlib.compress(_point(s).astype("<u4").tobytes(), 1))
         nothing = [None] * len(n)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-             pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary())], ["doc_id", "n", "digest", "slice", "counts"])
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary()),
+             pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary())], names)
     if seen:
         blobs = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SLICES)]
         nothing = [None] * SLICES
         yield pa.RecordBatch.from_arrays(
             [pa.array(nothing, pa.int64()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.binary()),
-             pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())],
-            ["doc_id", "n", "digest", "slice", "counts"])
+             pa.array(nothing, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names)
 
 
 def _add_up(batches):
@@ -340,40 +350,67 @@ class CountTree:
         return self.order[rows]
 
 
-def _groups_join(batches):
-    """Rows sorted by group: links between members of different components."""
+def _root(parent: dict, c):
+    while parent.get(c, c) != c:
+        parent[c] = parent.get(parent[c], parent[c])
+        c = parent[c]
+    return c
+
 
-    def links(digests: list[bytes], comps: list[bytes], sets: list[np.ndarray]):
-        points = np.stack([np.bincount((s >> _U(64 - 6)).astype(np.int64), minlength=GROUPS) for s in sets])
-        sizes, parent = np.array([len(s) for s in sets]), {}
+def _runs(batches, width: int):
+    """Lists of rows (tuples without their key) of consecutive equal first columns."""
+    current, rows = None, []
+    for batch in batches:
+        for key, *row in zip(*(batch.column(i).to_pylist() for i in range(width))):
+            if key != current and rows:
+                yield rows
+                rows = []
+            current = key
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+_SURVIVORS = "members array<struct<digest: binary, comp: binary, doc: bigint>>"
+
+
+def _prune(batches):
+    """Rows sorted by group: the members that the count vectors cannot part, in lists that hang together.
+
+    Only points move here, not texts. A list holds at least two members of
+    different components; pairs that no list holds together cannot link."""
+    kind = pa.list_(pa.struct([("digest", pa.binary()), ("comp", pa.binary()), ("doc", pa.int64())]))
+    for rows in _runs(batches, 6):
+        rows.sort(key=lambda r: r[0])
+        comps = [r[1] for r in rows]
+        points, sizes = np.stack([_unpack_point(r[4]) for r in rows]), np.array([r[3] for r in rows])
+        tree, parent, kept = CountTree(points, sizes), {}, set()
+        for i in range(len(rows)):
+            for j in tree.search(points[i], int(sizes[i])).tolist():
+                if j < i and comps[i] != comps[j]:
+                    kept |= {i, j}
+                    parent[_root(parent, i)] = _root(parent, j)
+        lists: dict[int, list] = {}
+        for i in sorted(kept):
+            lists.setdefault(_root(parent, i), []).append(
+                {"digest": rows[i][0], "comp": comps[i], "doc": rows[i][2]})
+        if lists:
+            yield pa.RecordBatch.from_arrays([pa.array(list(lists.values()), kind)], ["members"])
 
-        def root(c):
-            while parent.get(c, c) != c:
-                parent[c] = parent.get(parent[c], parent[c])
-                c = parent[c]
-            return c
 
+def _groups_join(batches):
+    """Rows sorted by list: links between members of different components, found in the tree, confirmed on sets."""
+    for rows in _runs(batches, 4):
+        digests, comps, sets = [r[0] for r in rows], [r[1] for r in rows], [_unpack(r[2]) for r in rows]
+        points, sizes, parent = np.stack([_point(x) for x in sets]), np.array([len(x) for x in sets]), {}
         tree, found = CountTree(points, sizes), []
         for i in range(len(sets)):
             for j in tree.search(points[i], int(sizes[i])).tolist():
-                a, b = root(comps[i]), root(comps[j])
+                a, b = _root(parent, comps[i]), _root(parent, comps[j])
                 if j < i and a != b and _links(sets[i], sets[j]):
                     parent[a] = b
                     found.append((digests[i], digests[j]))
-        return found
-
-    current, digests, comps, sets = None, [], [], []
-    for batch in batches:
-        for gid, digest, comp, z in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if gid != current and sets:
-                yield _pair_batch(links(digests, comps, sets))
-                digests, comps, sets = [], [], []
-            current = gid
-            digests.append(digest)
-            comps.append(comp)
-            sets.append(_unpack(z))
-    if sets:
-        yield _pair_batch(links(digests, comps, sets))
+        yield _pair_batch(found)
 
 
 # ---------------------------------------------------------------- components
@@ -413,9 +450,10 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     buckets = max(64, 2 * partitions)
     texts = _texts(docs)
     features = stored(texts.mapInArrow(_features, _FEATURES), "jaccard-features")
-    rows = features.where(F.col("digest").isNotNull()).select("doc_id", "n", "digest")
+    rows = features.where(F.col("digest").isNotNull()).select("doc_id", "n", "digest", "vec")
     classes = stored(rows.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"),
+        F.count("*").alias("copies")), "jaccard-classes")
     known = _with_key(classes)
 
     sketch = _sketch(features)
@@ -425,6 +463,7 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     # round 1: the first member of each group against the others
     side = known.where(F.col("rep").isNotNull()).select("key", "digest", "rep", "n")
+    points = known.where(F.col("rep").isNotNull()).select("key", "digest", "rep", "n", "vec")
     pairs = groups.select(F.col("members")[0].alias("p"), F.explode(F.slice("members", F.lit(2), F.size("members")))
                           .alias("q")).distinct()
     a = side.withColumnsRenamed({"key": "p", "digest": "a", "rep": "a_doc", "n": "a_n"})
@@ -448,7 +487,7 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # round 2: groups whose members lie in several components
     listed = groups.where(F.size("members") > 2).select(
         F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"), F.explode("members").alias("key")) \
-        .join(side, "key").join(labels.withColumnRenamed("node", "digest"), "digest", "left") \
+        .join(points, "key").join(labels.withColumnRenamed("node", "digest"), "digest", "left") \
         .withColumn("comp", F.coalesce("comp", "digest"))
     open_groups = listed.groupBy("g1", "g2").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
                                                  F.count("*").alias("size")).where("low <> high")
@@ -457,12 +496,19 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     placed = listed.join(open_groups.select("g1", "g2", "size"), ["g1", "g2"]) \
                    .withColumn("block", block) \
                    .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))) \
-                   .select(F.struct("g1", "g2", F.least("block", "other").alias("i"),
-                                    F.greatest("block", "other").alias("j")).alias("gid"),
-                           F.col("digest").alias("t_digest"), F.col("rep").alias("t_doc"), "comp")
-    in_group = placed.join(shipped, ["t_doc", "t_digest"]).select(
-        F.to_json("gid").alias("gid"), "t_digest", "comp", "z").repartition("gid").sortWithinPartitions("gid")
-    more = stored(in_group.mapInArrow(_groups_join, "a binary, b binary"), "jaccard-links")
+                   .select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                           "digest", "comp", "rep", "n", "vec")
+    # points first: most groups fall apart without a text being moved, and the rest into few distinct lists
+    lists = placed.select(F.format_string("%d %d %d %d", "g1", "g2", "i", "j").alias("gid"), "digest", "comp", "rep",
+                          "n", "vec").repartition("gid").sortWithinPartitions("gid") \
+                  .mapInArrow(_prune, _SURVIVORS).groupBy("members").agg(F.count("*").alias("times"))
+    listed = stored(lists.select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"),
+                                 F.explode("members").alias("m")), "jaccard-lists")
+    in_list = listed.select(F.format_string("%d %d", "g1", "g2").alias("gid"), F.col("m.digest").alias("t_digest"),
+                            F.col("m.comp").alias("comp"), F.col("m.doc").alias("t_doc")) \
+                    .join(shipped, ["t_doc", "t_digest"]).select("gid", "t_digest", "comp", "z") \
+                    .repartition("gid").sortWithinPartitions("gid")
+    more = stored(in_list.mapInArrow(_groups_join, "a binary, b binary"), "jaccard-links")
     labels = components(links.union(more))
 
     placed_classes = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left") \
@@ -483,7 +529,7 @@ def _with_key(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())],
                                              [*batch.schema.names, "key"])
 
-    return classes.mapInArrow(add, "digest binary, rep long, n long, copies long, key long")
+    return classes.mapInArrow(add, "digest binary, rep long, n long, vec binary, copies long, key long")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
