@@ -378,7 +378,9 @@ def score(df: DataFrame, spec: FeatureSpec, lr_model: PipelineModel, boosted_mod
     a = predict(lr_model, base, "lr", "pred_reason_lr", "conf_lr", spread=False) \
         .select(*keep, "pred_reason_lr", "conf_lr")
     b = predict(boosted_model, a, "gbt", "pred_reason_xgb", "conf_xgb", spread=False)
-    stamp = F.date_format(run_ts(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    # UTC wall time and a fixed offset, whatever the session's zone
+    stamp = F.concat(F.date_format(F.to_utc_timestamp(run_ts(ts), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+                     F.lit("+00:00"))
     return b.select(*keep, "pred_reason_lr", "conf_lr", "conf_xgb", "pred_reason_xgb",
                     stamp.alias("scored_at_utc"), F.lit(lr_uri).alias("lr_model_uri"),
                     F.lit(boosted_uri).alias("xgb_model_uri"))

@@ -36,13 +36,15 @@ def get_spark(master: str | None = None, app: str = "dispute_engine", **conf: st
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) is a fresh
-    scratch folder assigned.
+    Read from the session. Where it is unset, a local session gets a fresh
+    scratch folder; on a cluster executors would not share one, so it raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="dispute-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
