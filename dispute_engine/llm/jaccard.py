@@ -478,7 +478,8 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     centres = stars.select(F.col("a").alias("star"), "salt", F.lit(0).alias("role"), F.col("a").alias("t_digest"),
                            F.col("a_doc").alias("t_doc")).distinct()
     shipped = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_ship, "t_doc long, t_digest binary, z binary")
-    on_star = members.union(centres).join(shipped, ["t_doc", "t_digest"]) \
+    # sort-merge at every size: a broadcast that only few candidates get would change the plan as data grows
+    on_star = members.union(centres).hint("merge").join(shipped, ["t_doc", "t_digest"]) \
                      .select("star", "salt", "role", "t_digest", "z") \
                      .repartition("star", "salt").sortWithinPartitions("star", "salt", "role")
     links = stored(on_star.mapInArrow(_stars, "a binary, b binary"), "jaccard-links")
@@ -506,7 +507,7 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
                                  F.explode("members").alias("m")), "jaccard-lists")
     in_list = listed.select(F.format_string("%d %d", "g1", "g2").alias("gid"), F.col("m.digest").alias("t_digest"),
                             F.col("m.comp").alias("comp"), F.col("m.doc").alias("t_doc")) \
-                    .join(shipped, ["t_doc", "t_digest"]).select("gid", "t_digest", "comp", "z") \
+                    .join(shipped.hint("merge"), ["t_doc", "t_digest"]).select("gid", "t_digest", "comp", "z") \
                     .repartition("gid").sortWithinPartitions("gid")
     more = stored(in_list.mapInArrow(_groups_join, "a binary, b binary"), "jaccard-links")
     labels = components(links.union(more))
