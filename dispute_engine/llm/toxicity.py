@@ -63,7 +63,7 @@ class ToxicityModel:
     scale: float = 1.0       # lambda
     log_k: float = 0.0
     slope: float = 0.0
-    bias: float = -1e9
+    bias: float | None = None   # None: no calibration, every score is 0.0
 
 
 def segments(values: list[float]) -> list[tuple[int, int, float]]:
@@ -238,9 +238,11 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
     """``row`` (the input row), n_words, passages with evidence, score and predicted."""
     x = F.least(F.greatest(_evidence(model), F.lit(SPAN[0])), F.lit(SPAN[1]))
     base = F.lit(model.log_k) + F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
-    found = find_passages(docs, model, text_col).withColumn(
-        "score", F.lit(1.0) / (1 + F.exp(-F.greatest(F.least(F.lit(model.slope) * x + F.lit(model.bias), F.lit(700.0)),
-                                                     F.lit(-700.0)))))
+    probability = F.lit(0.0)
+    if model.bias is not None:
+        logit = F.greatest(F.least(F.lit(model.slope) * x + F.lit(model.bias), F.lit(700.0)), F.lit(-700.0))
+        probability = F.lit(1.0) / (1 + F.exp(-logit))
+    found = find_passages(docs, model, text_col).withColumn("score", probability)
     return found.select("row", "n_words", F.filter("passages", lambda p: F.lit(model.scale) * p["score"] > base)
                         .alias("passages"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
