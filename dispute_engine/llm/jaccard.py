@@ -21,7 +21,9 @@ Verification, in two rounds, each on whole sets:
    components remain. Set elements are hashed into GROUPS groups, the group
    counts are points of an R-tree, and the overlap of a set with a box or a
    point is at most the sum of the coordinate minima; boxes and points below the
-   needed overlap are skipped, sets already connected too. Members without a
+   needed overlap are skipped, sets already connected too. Longer sets have finer
+   points (a coordinate holds about four elements), which fold to the tree's; two
+   points that pass the tree are compared at the finest level both have. Members without a
    surviving partner leave before any text moves; the others are compared
    exactly. Groups of over BLOCK members are split into all pairs of blocks, so
    every pair still meets.
@@ -59,7 +61,8 @@ PERCENT = 75
 SKETCH_BITS = 20
 SLICES = 64
 FLUSH = 1_000_000       # prefix shingles a task holds before it hands them on
-GROUPS = 256            # coordinates of a count vector
+GROUPS = 256            # coordinates of a count vector in the tree
+FINER = (1024, 4096)    # coordinates of the vectors of sets with at least as many elements
 LEAF = 16               # points of an R-tree leaf, and boxes of a node
 BLOCK = 500             # members of a group compared in one piece
 
@@ -129,15 +132,22 @@ def _cell(s: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- features and sketch
 
-_FEATURES = "doc_id long, n long, digest binary, vec binary, slice int, counts binary"
+_FEATURES = "doc_id long, t_hash long, n long, digest binary, vec binary, slice int, counts binary"
 
 
 def _point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> _U(56)).astype(np.int64), minlength=GROUPS)
+    """Counts of the elements by their leading bits; the number of coordinates follows the set's size."""
+    d = max([GROUPS] + [f for f in FINER if len(s) >= f])
+    return np.bincount((s >> _U(65 - d.bit_length())).astype(np.int64), minlength=d).astype(np.int32)
+
+
+def _fold(point: np.ndarray, d: int) -> np.ndarray:
+    """The point with ``d`` coordinates: leading bits make neighbours one coordinate."""
+    return point.reshape(d, -1).sum(axis=1)
 
 
 def _unpack_point(vec: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(vec), "<u4").astype(np.int64)
+    return np.frombuffer(zlib.decompress(vec), "<u4").astype(np.int32)
 
 
 def _features(batches):
@@ -145,7 +155,7 @@ def _features(batches):
     names = [f.split()[0] for f in _FEATURES.split(", ")]
     for batch in batches:
         n, digests, vecs = [], [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             s = shingles(text.as_py())
             if len(s):
                 np.add.at(sketch, _cell(s), 1)
@@ -155,13 +165,13 @@ def _features(batches):
             vecs.append(zlib.compress(_point(s).astype("<u4").tobytes(), 1))
         nothing = [None] * len(n)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary()),
-             pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary())], names)
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
+             pa.array(vecs, pa.binary()), pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary())], names)
     if seen:
         blobs = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SLICES)]
         nothing = [None] * SLICES
         yield pa.RecordBatch.from_arrays(
-            [pa.array(nothing, pa.int64()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.binary()),
+            [*[pa.array(nothing, pa.int64())] * 3, pa.array(nothing, pa.binary()),
              pa.array(nothing, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names)
 
 
@@ -288,17 +298,11 @@ def _unpack(z: bytes) -> np.ndarray:
 
 
 def _ship(batches):
-    """(doc_id, digest, compressed text) of every document with a word."""
+    """(doc_id, hash of the text, compressed text) of every document."""
     for batch in batches:
-        out = ([], [], [])
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py()
-            s = shingles(text)
-            if len(s):
-                for column, v in zip(out, (doc_id, _digest(s), zstandard.compress(text.encode(), 3))):
-                    column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()),
-                                          pa.array(out[2], pa.binary())], ["t_doc", "t_digest", "z"])
+        z = [zstandard.compress(text.as_py().encode(), 3) for text in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())],
+                                         ["t_doc", "t_hash", "z"])
 
 
 def _pair_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -323,7 +327,15 @@ def _stars(batches):
 class CountTree:
     """A packed R-tree over count vectors: boxes hold the largest coordinates and the smallest size below them."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: list[np.ndarray], sizes: np.ndarray):
+        # the rows of the points that have a finer form, by its number of coordinates
+        self.sizes, self.finer = sizes, []
+        for d in FINER:
+            has = np.array([len(p) >= d for p in points])
+            if has.any():
+                self.finer.append((d, np.where(has, np.cumsum(has) - 1, -1),
+                                   np.stack([_fold(p, d) for p in points if len(p) >= d])))
+        points = np.stack([_fold(p, GROUPS) for p in points])
         # neighbours in a leaf should be alike: sort by size, then by the heaviest coordinate within a tile
         order = np.argsort(sizes, kind="stable")
         tile = LEAF * LEAF
@@ -337,17 +349,22 @@ class CountTree:
 
     def search(self, point: np.ndarray, size: int) -> np.ndarray:
         """Positions of the points whose overlap with ``point`` can suffice."""
-        rows = np.arange(len(self.levels[-1][1]))
+        rows, folded = np.arange(len(self.levels[-1][1])), _fold(point, GROUPS)
         for level in range(len(self.levels) - 1, -1, -1):
             high, small = self.levels[level]
-            bound = np.minimum(high[rows], point).sum(axis=1)
+            bound = np.minimum(high[rows], folded).sum(axis=1)
             # overlap / (sizes - overlap) >= p  <=>  (100 + p) * overlap >= p * (sum of sizes)
             rows = rows[(100 + PERCENT) * bound >= PERCENT * (size + small[rows])]
             if level:
                 width = len(self.levels[level - 1][1])
                 rows = (rows[:, None] * LEAF + np.arange(LEAF)).ravel()
                 rows = rows[rows < width]
-        return self.order[rows]
+        found = self.order[rows]
+        for d, at, matrix in self.finer:
+            if len(point) >= d and len(found):
+                bound = np.minimum(matrix[at[found]], _fold(point, d)).sum(axis=1)
+                found = found[(at[found] < 0) | ((100 + PERCENT) * bound >= PERCENT * (size + self.sizes[found]))]
+        return found
 
 
 def _root(parent: dict, c):
@@ -371,7 +388,7 @@ def _runs(batches, width: int):
         yield rows
 
 
-_SURVIVORS = "members array<struct<digest: binary, comp: binary, doc: bigint>>"
+_SURVIVORS = "members array<struct<digest: binary, comp: binary, doc: bigint, t_hash: bigint>>"
 
 
 def _prune(batches):
@@ -379,11 +396,12 @@ def _prune(batches):
 
     Only points move here, not texts. A list holds at least two members of
     different components; pairs that no list holds together cannot link."""
-    kind = pa.list_(pa.struct([("digest", pa.binary()), ("comp", pa.binary()), ("doc", pa.int64())]))
-    for rows in _runs(batches, 6):
+    kind = pa.list_(pa.struct([("digest", pa.binary()), ("comp", pa.binary()), ("doc", pa.int64()),
+                               ("t_hash", pa.int64())]))
+    for rows in _runs(batches, 7):
         rows.sort(key=lambda r: r[0])
         comps = [r[1] for r in rows]
-        points, sizes = np.stack([_unpack_point(r[4]) for r in rows]), np.array([r[3] for r in rows])
+        points, sizes = [_unpack_point(r[5]) for r in rows], np.array([r[4] for r in rows])
         tree, parent, kept = CountTree(points, sizes), {}, set()
         for i in range(len(rows)):
             for j in tree.search(points[i], int(sizes[i])).tolist():
@@ -393,7 +411,7 @@ def _prune(batches):
         lists: dict[int, list] = {}
         for i in sorted(kept):
             lists.setdefault(_root(parent, i), []).append(
-                {"digest": rows[i][0], "comp": comps[i], "doc": rows[i][2]})
+                {"digest": rows[i][0], "comp": comps[i], "doc": rows[i][2], "t_hash": rows[i][3]})
         if lists:
             yield pa.RecordBatch.from_arrays([pa.array(list(lists.values()), kind)], ["members"])
 
@@ -402,7 +420,7 @@ def _groups_join(batches):
     """Rows sorted by list: links between members of different components, found in the tree, confirmed on sets."""
     for rows in _runs(batches, 4):
         digests, comps, sets = [r[0] for r in rows], [r[1] for r in rows], [_unpack(r[2]) for r in rows]
-        points, sizes, parent = np.stack([_point(x) for x in sets]), np.array([len(x) for x in sets]), {}
+        points, sizes, parent = [_point(x) for x in sets], np.array([len(x) for x in sets]), {}
         tree, found = CountTree(points, sizes), []
         for i in range(len(sets)):
             for j in tree.search(points[i], int(sizes[i])).tolist():
@@ -441,7 +459,9 @@ def components(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    text = text_or_empty()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t_hash"),
+                       text.alias("text"))
 
 
 def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -450,10 +470,10 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     buckets = max(64, 2 * partitions)
     texts = _texts(docs)
     features = stored(texts.mapInArrow(_features, _FEATURES), "jaccard-features")
-    rows = features.where(F.col("digest").isNotNull()).select("doc_id", "n", "digest", "vec")
+    rows = features.where(F.col("digest").isNotNull()).select("doc_id", "t_hash", "n", "digest", "vec")
     classes = stored(rows.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"),
-        F.count("*").alias("copies")), "jaccard-classes")
+        F.min("doc_id").alias("rep"), F.min_by("t_hash", "doc_id").alias("t_hash"), F.first("n").alias("n"),
+        F.first("vec").alias("vec"), F.count("*").alias("copies")), "jaccard-classes")
     known = _with_key(classes)
 
     sketch = _sketch(features)
@@ -462,24 +482,24 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     .groupBy("members").agg(F.count("*").alias("times")).drop("times"), "jaccard-groups")
 
     # round 1: the first member of each group against the others
-    side = known.where(F.col("rep").isNotNull()).select("key", "digest", "rep", "n")
-    points = known.where(F.col("rep").isNotNull()).select("key", "digest", "rep", "n", "vec")
+    side = known.where(F.col("rep").isNotNull()).select("key", "digest", "rep", "t_hash", "n")
+    points = known.where(F.col("rep").isNotNull()).select("key", "digest", "rep", "t_hash", "n", "vec")
     pairs = groups.select(F.col("members")[0].alias("p"), F.explode(F.slice("members", F.lit(2), F.size("members")))
                           .alias("q")).distinct()
-    a = side.withColumnsRenamed({"key": "p", "digest": "a", "rep": "a_doc", "n": "a_n"})
-    b = side.withColumnsRenamed({"key": "q", "digest": "b", "rep": "b_doc", "n": "b_n"})
+    a = side.withColumnsRenamed({"key": "p", "digest": "a", "rep": "a_doc", "t_hash": "a_hash", "n": "a_n"})
+    b = side.withColumnsRenamed({"key": "q", "digest": "b", "rep": "b_doc", "t_hash": "b_hash", "n": "b_n"})
     stars = stored(pairs.join(a, "p").join(b, "q")
                    .where(F.lit(PERCENT) * F.greatest("a_n", "b_n") <= 100 * F.least("a_n", "b_n"))
-                   .select("a", "a_doc", "b", "b_doc",
+                   .select("a", "a_doc", "a_hash", "b", "b_doc", "b_hash",
                            F.pmod(F.xxhash64("b"), F.lit(max(16, partitions))).cast("int").alias("salt")),
                    "jaccard-stars")
     members = stars.select(F.col("a").alias("star"), "salt", F.lit(1).alias("role"), F.col("b").alias("t_digest"),
-                           F.col("b_doc").alias("t_doc"))
+                           F.col("b_doc").alias("t_doc"), F.col("b_hash").alias("t_hash"))
     centres = stars.select(F.col("a").alias("star"), "salt", F.lit(0).alias("role"), F.col("a").alias("t_digest"),
-                           F.col("a_doc").alias("t_doc")).distinct()
-    shipped = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_ship, "t_doc long, t_digest binary, z binary")
+                           F.col("a_doc").alias("t_doc"), F.col("a_hash").alias("t_hash")).distinct()
+    shipped = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_ship, "t_doc long, t_hash long, z binary")
     # sort-merge at every size: a broadcast that only few candidates get would change the plan as data grows
-    on_star = members.union(centres).hint("merge").join(shipped, ["t_doc", "t_digest"]) \
+    on_star = members.union(centres).hint("merge").join(shipped, ["t_doc", "t_hash"]) \
                      .select("star", "salt", "role", "t_digest", "z") \
                      .repartition("star", "salt").sortWithinPartitions("star", "salt", "role")
     links = stored(on_star.mapInArrow(_stars, "a binary, b binary"), "jaccard-links")
@@ -498,16 +518,17 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
                    .withColumn("block", block) \
                    .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))) \
                    .select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                           "digest", "comp", "rep", "n", "vec")
+                           "digest", "comp", "rep", "t_hash", "n", "vec")
     # points first: most groups fall apart without a text being moved, and the rest into few distinct lists
     lists = placed.select(F.format_string("%d %d %d %d", "g1", "g2", "i", "j").alias("gid"), "digest", "comp", "rep",
-                          "n", "vec").repartition("gid").sortWithinPartitions("gid") \
+                          "t_hash", "n", "vec").repartition("gid").sortWithinPartitions("gid") \
                   .mapInArrow(_prune, _SURVIVORS).groupBy("members").agg(F.count("*").alias("times"))
     listed = stored(lists.select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"),
                                  F.explode("members").alias("m")), "jaccard-lists")
     in_list = listed.select(F.format_string("%d %d", "g1", "g2").alias("gid"), F.col("m.digest").alias("t_digest"),
-                            F.col("m.comp").alias("comp"), F.col("m.doc").alias("t_doc")) \
-                    .join(shipped.hint("merge"), ["t_doc", "t_digest"]).select("gid", "t_digest", "comp", "z") \
+                            F.col("m.comp").alias("comp"), F.col("m.doc").alias("t_doc"),
+                            F.col("m.t_hash").alias("t_hash")) \
+                    .join(shipped.hint("merge"), ["t_doc", "t_hash"]).select("gid", "t_digest", "comp", "z") \
                     .repartition("gid").sortWithinPartitions("gid")
     more = stored(in_list.mapInArrow(_groups_join, "a binary, b binary"), "jaccard-links")
     labels = components(links.union(more))
@@ -530,7 +551,7 @@ def _with_key(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())],
                                              [*batch.schema.names, "key"])
 
-    return classes.mapInArrow(add, "digest binary, rep long, n long, vec binary, copies long, key long")
+    return classes.mapInArrow(add, "digest binary, rep long, t_hash long, n long, vec binary, copies long, key long")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:

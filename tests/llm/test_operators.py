@@ -461,6 +461,22 @@ def test_count_tree_loses_no_pair():
     assert linked > 50
 
 
+def test_finer_points_part_long_sets_and_lose_no_pair():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64)) for n in (200, 900, 1000, 1023, 1024, 4000, 6000) * 3]
+    sets += [np.unique(np.concatenate([s[len(s) // 8:], rng.integers(0, 2 ** 64, len(s) // 16, dtype=np.uint64)]))
+             for s in sets]
+    assert {len(jaccard._point(s)) for s in sets} == {256, 1024, 4096}
+    assert all(jaccard._fold(p, 256).sum() == len(s) for s in sets for p in [jaccard._point(s)])
+    points, sizes = [jaccard._point(s) for s in sets], np.array([len(s) for s in sets])
+    tree = jaccard.CountTree(points, sizes)
+    for i, s in enumerate(sets):
+        found = set(tree.search(points[i], len(s)).tolist())
+        linked = {j for j, t in enumerate(sets) if jaccard._links(s, t)}
+        assert len(linked) == 2 and linked <= found
+        assert found == linked or len(s) < 1024
+
+
 def brute_quality(text):
     w = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
