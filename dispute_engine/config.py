@@ -200,7 +200,6 @@ class LRParams:
     scale: bool = False
     balanced: bool = False
     tol: float = 1e-4  # the classifier library default the original relies on (tol not set)
-    extra: dict = field(default_factory=dict)
 
 
 LR_V1 = LRParams(max_iter=2000, scale=False, balanced=False)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +19,6 @@ def estimated_size_bytes(df: DataFrame) -> int | None:
     return v if isinstance(v, int) else int(v.toString())  # py4j converts Scala BigInt to int
 
 
-def input_size_bytes(df: DataFrame) -> int | None:
-    """Bytes scanned by df: the sum of its leaf relations' sizes. Unlike the
-    estimate of the whole plan (which multiplies through joins without
-    cost-based statistics) this is a sound measure of how big the job is."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total = 0
-        for i in range(leaves.size()):
-            v = leaves.apply(i).stats().sizeInBytes()
-            total += v if isinstance(v, int) else int(v.toString())
-        return total
-    except Exception:  # noqa: BLE001 - no JVM handle
-        return None
-
-
 def broadcast_threshold(df: DataFrame) -> int:
     v = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     try:
@@ -60,53 +48,30 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame
     return df
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], max_bytes: int | None = None) -> DataFrame:
+def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], max_bytes: int | None = None,
+                salt_from: str = "dispute_id") -> DataFrame:
     """LEFT JOIN ``lookup`` USING ``keys`` (join keys appear once, left's values kept).
 
     A lookup under the size bound is broadcast: no shuffle of ``df``. Above
     it the join is sort-merge, and rows of ``df`` with a NULL key (which can
-    never match) would all hash to one shuffle partition; their key is
-    replaced by a deterministic salt that cannot match a lookup key, so
-    they spread over all partitions. Hot non-NULL keys are split by AQE's
-    skew-join handling.
+    never match) would all hash to one shuffle partition; their first key is
+    replaced by a deterministic salt of ``salt_from`` (all columns where it
+    is absent) that cannot match a lookup key, so they spread over all
+    partitions. Hot non-NULL keys are split by AQE's skew-join handling.
     """
     small = broadcast_if_small(lookup, max_bytes)
-    if small is not lookup or len(keys) != 1 or not _is_string(df, keys[0]) or not _is_string(lookup, keys[0]):
-        return df.join(small, keys, "left")
     k = keys[0]
-    salt = F.concat(F.lit("\u0000null:"), F.xxhash64(*[F.col(c) for c in df.columns]).cast("string"))
-    left = df.withColumn("_jk", F.when(F.col(k).isNull(), salt).otherwise(F.col(k)))
-    right = lookup.withColumnRenamed(k, "_rk")
-    out = left.join(right, F.col("_jk") == F.col("_rk"), "left")
-    return out.drop("_jk", "_rk").select(k, *[c for c in out.columns if c not in (k, "_jk", "_rk")])
+    if small is not lookup or not _is_string(df, k) or not _is_string(lookup, k):
+        return df.join(small, keys, "left")
+    salt_cols = [salt_from] if salt_from in df.columns else df.columns
+    salt = F.concat(F.lit("\u0000null:"), F.xxhash64(*salt_cols).cast("string"))
+    no_match = reduce(or_, [F.col(c).isNull() for c in keys])
+    left = df.withColumn("_jk", F.when(no_match, salt).otherwise(F.col(k)))
+    right = lookup.withColumnsRenamed({c: f"_rk_{c}" for c in keys})
+    on = reduce(and_, [F.col("_jk" if c == k else c) == F.col(f"_rk_{c}") for c in keys])
+    out = left.join(right, on, "left")
+    return out.select(*keys, *[c for c in out.columns if c not in keys and c != "_jk" and not c.startswith("_rk_")])
 
 
 def _is_string(df: DataFrame, c: str) -> bool:
     return df.schema[c].dataType.typeName() == "string"
-
-
-def spread_if_small(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Hash-repartition a small input so CPU-heavy per-row work (model
-    scoring, training) uses every core.
-
-    Only when the bytes the job scans would form fewer partitions than the
-    default parallelism: at scale the input already has many partitions and
-    this is a no-op (no extra shuffle). A numbered repartition is not
-    coalesced back by AQE.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = input_size_bytes(df)
-    split = _bytes_conf(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728"))
-    if size is None or size // max(split, 1) + 1 >= cores:
-        return df
-    return df.repartition(cores, key) if key else df.repartition(cores)
-
-
-def _bytes_conf(v: str) -> int:
-    s = v.strip().lower()
-    for suffix, mult in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("k", 1 << 10), ("m", 1 << 20),
-                         ("g", 1 << 30), ("b", 1)):
-        if s.endswith(suffix):
-            return int(float(s[: -len(suffix)]) * mult)
-    return int(s)

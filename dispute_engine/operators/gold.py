@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import broadcast_if_small, contains_any, lower_coalesce, norm_code
+from ..functions import contains_any, lower_coalesce, norm_code
 from ..functions.joins import lookup_join
 from ..sources.io import lookup
 
@@ -36,8 +36,8 @@ def enrich_payer(df: DataFrame, rules: DataFrame, normalize_keys: bool = False)
         r = r.withColumn("payer", norm_code("payer"))
         df = df.withColumn("_payer_key", norm_code("payer"))
         r = r.withColumnRenamed("payer", "_payer_key")
-        return df.join(broadcast_if_small(r), ["_payer_key", "program"], "left").drop("_payer_key")
-    return df.join(broadcast_if_small(r), ["payer", "program"], "left")
+        return lookup_join(df, r, ["_payer_key", "program"]).drop("_payer_key")
+    return lookup_join(df, r, ["payer", "program"])
 
 
 def enrich_ndc(df: DataFrame, ndc: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Classifiers as Spark ML jobs: preprocessing statistics, training, scoring.
 
-Training data never leaves the executors. Fitted statistics (one median,
-mode, mean and std per feature; the sorted class list) are the only values
-brought to the driver; they are embedded in a ``SQLTransformer`` so the
+Training rows never leave the executors. Fitted statistics (one median,
+mode, mean and std per feature, histogram buckets on the way to them; class
+list and weights) are the only values brought to the driver; they are embedded in a ``SQLTransformer`` so the
 whole preprocessing + model is one saveable ``PipelineModel``.
 
 Preprocessing mirrors the notebook's scikit-learn pipelines: numeric NULL ->
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import BoostedParams, FeatureSpec, LRParams
-from ..functions import broadcast_if_small, nan_to_null, run_ts
-from ..functions.joins import spread_if_small
+from ..functions import nan_to_null, run_ts
 from ..sources.io import require_columns
 
 
@@ -49,15 +48,14 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
 
 
 def fit_median(train: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: int = 10_000,
-               bins: int = 4096, max_collect: int = 50_000) -> DataFrame:
+               bins: int = 1024) -> DataFrame:
     """Median per numeric column over non-NULL values: (feature, median).
 
     ``exact`` (numpy's median: mean of the two middle values) runs a
     distributed rank selection with bounded memory: each pass is one scan
-    and one grouping into at most ``bins`` buckets per column, narrowing the
-    value range that holds the middle ranks, until that range holds at most
-    ``max_collect`` values (or a single distinct value); only those values
-    reach one task. No task ever holds all distinct values of a column.
+    and one grouping into at most ``bins`` buckets per open range, narrowing
+    the range that holds a middle rank to a single distinct value. Only
+    bucket rows (count, min, max) reach the driver, at every table size.
     ``exact=False`` is one pass of ``percentile_approx`` (rank error 1/accuracy).
     """
     spark = train.sparkSession
@@ -65,20 +63,19 @@ def fit_median(train: DataFrame, cols: Sequence[str], exact: bool = True, accura
         one = train.select(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).cast("double").alias(c)
                              for c in cols])
         return _long(one, cols, "double").withColumnRenamed("value", "median")
-    medians = exact_medians(_long(train, cols, "double"), list(cols), bins, max_collect)
+    medians = exact_medians(_long(train, cols, "double"), list(cols), bins)
     return spark.createDataFrame([(c, medians.get(c)) for c in cols], "feature string, median double")
 
 
-def exact_medians(long: DataFrame, cols: list[str], bins: int = 4096, max_collect: int = 50_000) -> dict:
+def exact_medians(long: DataFrame, cols: list[str], bins: int = 1024) -> dict:
     """{feature: median} from (feature, value) rows by histogram refinement.
 
     A target is one middle rank of one feature with the value range known
     to hold it and the count of values below that range. Each pass groups
     the open ranges into ``bins`` buckets (per-bucket count, min, max) and
-    keeps the bucket holding the rank; ranges with at most ``max_collect``
-    values are collected and the rank read off directly. lo and hi fall in
-    different buckets, so every pass shrinks a range; passes ~ log_bins of
-    the value spread.
+    keeps the bucket holding the rank, until its min and max are equal. lo and
+    hi fall in different buckets, so every pass shrinks a range; passes ~
+    log_bins of the value spread.
     """
     vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     first = {r["feature"]: r for r in vals.groupBy("feature").agg(
@@ -89,7 +86,7 @@ def exact_medians(long: DataFrame, cols: list[str], bins: int = 4096, max_collec
         if r is None or r["n"] == 0:
             continue
         for k in sorted({(r["n"] - 1) // 2, r["n"] // 2}):
-            targets[(c, k)] = {"lo": r["lo"], "hi": r["hi"], "below": 0, "count": r["n"], "value": None}
+            targets[(c, k)] = {"lo": r["lo"], "hi": r["hi"], "below": 0, "value": None}
 
     while True:
         for t in targets.values():
@@ -99,39 +96,28 @@ def exact_medians(long: DataFrame, cols: list[str], bins: int = 4096, max_collec
         if not todo:
             break
         ranges = sorted({(key[0], t["lo"], t["hi"]) for key, t in todo.items()})
-        small = [rg for rg in ranges if any(t["count"] <= max_collect for key, t in todo.items()
-                                            if (key[0], t["lo"], t["hi"]) == rg)]
-        large = [rg for rg in ranges if rg not in small]
-        if small:
-            rows = vals.where(_range_cond(small)).select("feature", "value").collect()
-            for feat, lo, hi in small:
-                vs = sorted(r["value"] for r in rows if r["feature"] == feat and lo <= r["value"] <= hi)
-                for key, t in todo.items():
-                    if (key[0], t["lo"], t["hi"]) == (feat, lo, hi):
-                        t["value"] = vs[key[1] - t["below"]]
-        if large:
-            rid = bucket = None
-            for i, (feat, lo, hi) in enumerate(large):
-                width = (hi - lo) / bins or (hi - lo)
-                b = F.least(F.floor((F.col("value") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-                cond = (F.col("feature") == feat) & F.col("value").between(lo, hi)
-                rid = F.when(cond, F.lit(i)) if rid is None else rid.when(cond, F.lit(i))
-                bucket = F.when(cond, b) if bucket is None else bucket.when(cond, b)
-            hist = (vals.where(_range_cond(large)).select(rid.alias("rid"), bucket.alias("bucket"), "value")
-                    .groupBy("rid", "bucket")
-                    .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-                    .collect())
-            for i, (feat, lo, hi) in enumerate(large):
-                buckets = sorted((r for r in hist if r["rid"] == i), key=lambda r: r["bucket"])
-                for key, t in todo.items():
-                    if (key[0], t["lo"], t["hi"]) != (feat, lo, hi):
-                        continue
-                    acc = t["below"]
-                    for r in buckets:
-                        if acc + r["n"] > key[1]:
-                            t.update(lo=r["lo"], hi=r["hi"], below=acc, count=r["n"])
-                            break
-                        acc += r["n"]
+        rid = bucket = None
+        for i, (feat, lo, hi) in enumerate(ranges):
+            width = (hi - lo) / bins or (hi - lo)
+            b = F.least(F.floor((F.col("value") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+            cond = (F.col("feature") == feat) & F.col("value").between(lo, hi)
+            rid = F.when(cond, F.lit(i)) if rid is None else rid.when(cond, F.lit(i))
+            bucket = F.when(cond, b) if bucket is None else bucket.when(cond, b)
+        hist = (vals.where(_range_cond(ranges)).select(rid.alias("rid"), bucket.alias("bucket"), "value")
+                .groupBy("rid", "bucket")
+                .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+                .collect())  # at most bins rows for each open range
+        for i, rg in enumerate(ranges):
+            buckets = sorted((r for r in hist if r["rid"] == i), key=lambda r: r["bucket"])
+            for key, t in todo.items():
+                if (key[0], t["lo"], t["hi"]) != rg:
+                    continue
+                acc = t["below"]
+                for r in buckets:
+                    if acc + r["n"] > key[1]:
+                        t.update(lo=r["lo"], hi=r["hi"], below=acc)
+                        break
+                    acc += r["n"]
     out = {}
     for c in cols:
         v = [targets[key]["value"] for key in sorted(k for k in targets if k[0] == c)]
@@ -164,7 +150,7 @@ def fit_mode(train: DataFrame, cols: Sequence[str]) -> DataFrame:
 def fit_scaler(train: DataFrame, cols: Sequence[str], medians: dict[str, float] | None = None) -> DataFrame:
     """Mean and population std per column (after median imputation when given)."""
     def x(c):
-        v = F.col(c).cast("double")
+        v = nan_to_null(F.col(c).cast("double"))
         return F.coalesce(v, F.lit(medians[c])) if medians and medians.get(c) is not None else v
     one = train.select(*[F.struct(F.avg(x(c)).alias("mean"), F.stddev_pop(x(c)).alias("std")).alias(c)
                          for c in cols])
@@ -185,9 +171,15 @@ def label_mapping(train: DataFrame, label: str) -> DataFrame:
 
 def decode_labels(df: DataFrame, mapping: DataFrame, index_col: str, out_col: str) -> DataFrame:
     """Class index -> name through the mapping; unknown index -> 'UNKNOWN'."""
-    m = broadcast_if_small(mapping.select(F.col("class_index").alias("_ci"), F.col("class_name").alias("_cn")))
-    return (df.join(m, df[index_col] == m["_ci"], "left")
-            .withColumn(out_col, F.coalesce(F.col("_cn"), F.lit("UNKNOWN"))).drop("_ci", "_cn"))
+    names = {r["class_index"]: r["class_name"] for r in mapping.collect()}  # one row per class
+    return df.withColumn(out_col, F.coalesce(_by_class(F.col(index_col), names), F.lit("UNKNOWN")))
+
+
+def _by_class(key: Column, values: dict) -> Column:
+    """The value of a class as a literal map: no join, so no shuffle on a handful of keys."""
+    if not values:
+        return F.lit(None)
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
 
 
 def class_weights(train: DataFrame, label: str) -> DataFrame:
@@ -234,7 +226,7 @@ def prep_transformer(spec: FeatureSpec, prep: Prep) -> SQLTransformer:
     """The fitted imputation (+ scaling) as one SQL projection."""
     parts = []
     for c in spec.numeric:
-        x = f"coalesce(CAST(`{c}` AS DOUBLE), CAST({_sql_literal(prep.medians.get(c))} AS DOUBLE))"
+        x = f"coalesce(nullif(CAST(`{c}` AS DOUBLE), double('NaN')), CAST({_sql_literal(prep.medians.get(c))} AS DOUBLE))"
         if prep.means is not None:
             std = prep.stds.get(c) or 0.0
             x = f"(({x}) - {_sql_literal(prep.means.get(c) or 0.0)}) / {_sql_literal(std if std > 0 else 1.0)}"
@@ -274,28 +266,26 @@ def label_stage(spec: FeatureSpec) -> StringIndexer:
 
 
 def with_balanced_weights(train: DataFrame, label: str) -> DataFrame:
-    w = class_weights(train, label).select(F.col("class_name").alias("_cls"), F.col("weight").alias("weight"))
-    return train.join(broadcast_if_small(w), F.col(label).cast("string") == F.col("_cls"), "left").drop("_cls")
+    weights = {r["class_name"]: r["weight"] for r in class_weights(train, label).collect()}  # one row per class
+    return train.withColumn("weight", _by_class(F.col(label).cast("string"), weights))
 
 
-def _training_frame(train: DataFrame, spec: FeatureSpec, spread: bool = False) -> DataFrame:
+def _training_frame(train: DataFrame, spec: FeatureSpec, drop_unlabelled: bool) -> DataFrame:
     """The projected training columns, persisted (memory, spilling to disk) for
     the statistics passes and the fit; lost blocks recompute from lineage.
-    ``spread`` first spreads a small input over all cores (a no-op at scale);
-    off by default: measured locally, L-BFGS and boosting rounds are bound by
-    per-job overhead, and more tasks per job make them slower."""
+    Rows without a label cannot be learned from: ``drop_unlabelled`` leaves
+    them out, else the label indexer raises on the first one."""
     require_columns(train, [spec.label, *spec.features], "TRAIN")
     cols = [c for c in dict.fromkeys([spec.id_col, *spec.features, spec.label]) if c in train.columns]
-    df = train.where(F.col(spec.label).isNotNull()).select(*cols)
-    if spread:
-        df = spread_if_small(df, spec.id_col)
+    df = train.where(F.col(spec.label).isNotNull()) if drop_unlabelled else train
+    df = df.select(*cols)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def train_lr(train: DataFrame, spec: FeatureSpec, params: LRParams = C.LR_V1,
-             exact_median: bool = True, spread: bool = False) -> PipelineModel:
+             exact_median: bool = True, drop_unlabelled: bool = True) -> PipelineModel:
     """Multinomial logistic regression, L2 with strength 1/n (scikit-learn's C=1)."""
-    train = _training_frame(train, spec, spread)
+    train = _training_frame(train, spec, drop_unlabelled)
     try:
         prep = fit_prep(train, spec, params.scale, exact_median)
         n = train.count()
@@ -314,11 +304,12 @@ def train_lr(train: DataFrame, spec: FeatureSpec, params: LRParams = C.LR_V1,
 
 
 def train_boosted(train: DataFrame, spec: FeatureSpec, params: BoostedParams = BoostedParams(),
-                  parallelism: int | None = None, exact_median: bool = True, spread: bool = False) -> PipelineModel:
+                  parallelism: int | None = None, exact_median: bool = True,
+                  drop_unlabelled: bool = True) -> PipelineModel:
     """Multi-class boosted trees: one-vs-rest over binary ``GBTClassifier``s
     (Spark's GBT is binary only). The per-class models are independent and
     train concurrently (``parallelism`` defaults to one thread per class)."""
-    train = _training_frame(train, spec, spread)
+    train = _training_frame(train, spec, drop_unlabelled)
     try:
         prep = fit_prep(train, spec, False, exact_median)
         if parallelism is None:
@@ -353,7 +344,7 @@ def confidence(model_kind: str) -> Column:
 
 
 def predict(model: PipelineModel, df: DataFrame, kind: str, pred_col: str, conf_col: str,
-            label_col: str | None = None, spread: bool = True) -> DataFrame:
+            label_col: str | None = None) -> DataFrame:
     """Transform and decode the class index to its name (IndexToString).
 
     A truth column ``label_col`` is carried through untouched (renamed around
@@ -361,8 +352,7 @@ def predict(model: PipelineModel, df: DataFrame, kind: str, pred_col: str, conf_
     """
     if label_col and label_col in df.columns:
         df = df.withColumnRenamed(label_col, "_truth")
-    id_col = "dispute_id" if "dispute_id" in df.columns else None
-    out = model.transform(spread_if_small(df, id_col) if spread else df)
+    out = model.transform(df)
     labels = model_labels(model)
     dec = IndexToString(inputCol="prediction", outputCol=pred_col, labels=labels)
     out = dec.transform(out).withColumn(conf_col, confidence(kind))
@@ -374,10 +364,10 @@ def score(df: DataFrame, spec: FeatureSpec, lr_model: PipelineModel, boosted_mod
     """Scored table: id + features + both models' label and confidence + metadata."""
     keep = [spec.id_col, *spec.features]
     require_columns(df, keep, "scoring input")
-    base = spread_if_small(df.select(*keep), spec.id_col)
-    a = predict(lr_model, base, "lr", "pred_reason_lr", "conf_lr", spread=False) \
+    base = df.select(*keep)
+    a = predict(lr_model, base, "lr", "pred_reason_lr", "conf_lr") \
         .select(*keep, "pred_reason_lr", "conf_lr")
-    b = predict(boosted_model, a, "gbt", "pred_reason_xgb", "conf_xgb", spread=False)
+    b = predict(boosted_model, a, "gbt", "pred_reason_xgb", "conf_xgb")
     # UTC wall time and a fixed offset, whatever the session's zone
     stamp = F.concat(F.date_format(F.to_utc_timestamp(run_ts(ts), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
                      F.lit("+00:00"))

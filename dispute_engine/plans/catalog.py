@@ -184,7 +184,7 @@ FROM (SELECT DISTINCT reason_code_v2 FROM train_v2) t"""))
 def _load_label_mapping(spark, d):
     from ..operators import ml
     path = f"{checkpoint_dir(spark).rstrip('/')}/artifacts/label_mapping_{slug(d)}.csv"
-    train = split.take_split(split.hash_split(P(spark, d).gold_v2, algo="md5"), "TRAIN")
+    train = split.take_split(split.hash_split(P(spark, d).gold_v2), "TRAIN")
     ml.label_mapping(train, "reason_code_v2").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return io.load_label_mapping(spark, path)
 
@@ -401,7 +401,7 @@ def _decode_labels(spark, d):
     index 8 has no class and decodes to UNKNOWN."""
     from ..operators import ml
     g = P(spark, d).gold_v2
-    mapping = ml.label_mapping(split.take_split(split.hash_split(g, algo="md5"), "TRAIN"), "reason_code_v2")
+    mapping = ml.label_mapping(split.take_split(split.hash_split(g), "TRAIN"), "reason_code_v2")
     idx = g.select("dispute_id", (F.substring("dispute_id", 2, 100).cast("bigint") % 9).cast("int")
                    .alias("pred_index"))
     return ml.decode_labels(idx, mapping, "pred_index", "pred_reason")
@@ -411,7 +411,7 @@ def _decode_labels(spark, d):
 
 @register("filter_split", sel("split_v2", "dispute_id, reason_code_v2, split", "WHERE split = 'TRAIN'"))
 def _filter_split(spark, d):
-    s = split.hash_split(P(spark, d).gold_v2, algo="md5")
+    s = split.hash_split(P(spark, d).gold_v2)
     return split.take_split(s, "TRAIN").select("dispute_id", "reason_code_v2", "split")
 
 
@@ -445,7 +445,7 @@ def _filter_run_names(spark, d):
     return runs.runs_named(P(spark, d).runs).select("run_id", "run_name")
 
 
-@register("fail_if_empty", None)
+@register("fail_if_empty", O.with_ctes(f"SELECT {RUN_METRICS_SQL_COLS} FROM runs_latest"))
 def _fail_if_empty(spark, d):
     return io.require_rows(runs.run_metrics(P(spark, d).runs), "No matching runs found.")
 
@@ -586,7 +586,7 @@ def _limit_prompts(spark, d):
 @register("sample_head", sel("train_v2", "dispute_id, " + ", ".join(C.SPEC_V2.features),
                              "ORDER BY dispute_id LIMIT 50"))
 def _sample_head(spark, d):
-    t = split.take_split(split.hash_split(P(spark, d).gold_v2, algo="md5"), "TRAIN")
+    t = split.take_split(split.hash_split(P(spark, d).gold_v2), "TRAIN")
     return io.preview(t.select("dispute_id", *C.SPEC_V2.features), 50, ["dispute_id"])
 
 

@@ -1,7 +1,7 @@
 """Registered queries of the ML layer (2.L), metrics (2.F) and inference (2.M).
 
 Statistics, label mapping and metrics are SQL-checkable: they are computed
-on the md5 split (portable to SQL) or on the fixed scoring fixture. Trained
+on the hash split or on the fixed scoring fixture. Trained
 models are checked rows-only; they are fitted once per session and input
 directory and reused by the scoring queries.
 """
@@ -9,7 +9,6 @@ directory and reused by the scoring queries.
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -30,8 +29,8 @@ LABELS_V2 = tuple(sorted(C.KEEP_REASON_CODES + (C.OTHER_REASON_CODE,)))
 MODEL_URIS = {"lr": "models/reason_classifier_lr_after_collapse", "xgb": "models/reason_classifier_xgboost_v2"}
 
 
-def _train_v2_md5(spark, d):
-    return split.take_split(split.hash_split(P(spark, d).gold_v2, algo="md5"), "TRAIN")
+def _train_v2(spark, d):
+    return split.take_split(split.hash_split(P(spark, d).gold_v2), "TRAIN")
 
 
 def _splits(spark, d, v2: bool = True):
@@ -48,16 +47,15 @@ _MODEL_SPECS = {
 }
 
 
-def _fingerprint(d: str, name: str) -> str:
-    """Input files (size, mtime) + the training parameters of ``name``."""
+def _fingerprint(spark, d: str, name: str) -> str:
+    """Input files (path, size, time, as Spark lists them) + the training parameters of ``name``."""
     h = hashlib.sha1(f"{name}:dense-v3".encode())
     h.update(repr(_MODEL_SPECS[name]).encode())
     for t in ("orders", "customer", "lineitem", "part", "nation"):
-        try:
-            st = os.stat(f"{d.rstrip('/')}/{t}.parquet")
-            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(f"{d}/{t}".encode())
+        files = spark.read.parquet(f"{d.rstrip('/')}/{t}.parquet").select(
+            "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        one = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+        h.update(f"{t}:{one[0]}:{one[1]}".encode())
     return h.hexdigest()[:16]
 
 
@@ -80,9 +78,9 @@ def _fit(spark, d, name: str) -> PipelineModel:
 def _model(spark, d, name: str) -> PipelineModel:
     """Fitted model, reused within a session and across sessions: it is saved
     under the shared checkpoint folder, keyed by input fingerprint and params."""
-    key = (id(spark), d, name)
+    key = (spark.sparkContext.applicationId, d, name)
     if key not in _MODELS:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/models/{slug(d)}/{name}-{_fingerprint(d, name)}"
+        path = f"{checkpoint_dir(spark).rstrip('/')}/models/{slug(d)}/{name}-{_fingerprint(spark, d, name)}"
         try:
             _MODELS[key] = PipelineModel.load(path)
         except Exception:  # noqa: BLE001 - not saved yet
@@ -94,19 +92,19 @@ def _model(spark, d, name: str) -> PipelineModel:
 
 # ---------------------------------------------------------------- split and preprocessing statistics
 
-@register("hash_split", None)
+@register("hash_split", sel("split_v2", "dispute_id, split"))
 def _hash_split(spark, d):
     return split.hash_split(P(spark, d).gold_v2).select("dispute_id", "split")
 
 
-@register("split_tables_v1", None)
+@register("split_tables_v1", sel("split_v1", "dispute_id, reason_code, split"))
 def _split_v1(spark, d):
     return split.hash_split(P(spark, d).gold).select("dispute_id", "reason_code", "split")
 
 
 @register("split_tables_v2", sel("split_v2", "dispute_id, reason_code_v2, split"))
 def _split_v2(spark, d):
-    return split.hash_split(P(spark, d).gold_v2, algo="md5").select("dispute_id", "reason_code_v2", "split")
+    return split.hash_split(P(spark, d).gold_v2).select("dispute_id", "reason_code_v2", "split")
 
 
 @register("feature_spec", sel("gold", "dispute_id, " + ", ".join(C.SPEC_LR_V1.features) + ", reason_code"))
@@ -121,7 +119,7 @@ MEDIAN_SQL = O.with_ctes("\nUNION ALL\n".join(
 
 @register("impute_median", MEDIAN_SQL)
 def _impute_median(spark, d):
-    return rounded(ml.fit_median(_train_v2_md5(spark, d), C.NUMERIC_FEATURES), 6)
+    return rounded(ml.fit_median(_train_v2(spark, d), C.NUMERIC_FEATURES), 6)
 
 
 MODE_SQL = O.with_ctes("\nUNION ALL\n".join(
@@ -132,7 +130,7 @@ MODE_SQL = O.with_ctes("\nUNION ALL\n".join(
 
 @register("impute_mode", MODE_SQL)
 def _impute_mode(spark, d):
-    return ml.fit_mode(_train_v2_md5(spark, d), C.CATEGORICAL_V2)
+    return ml.fit_mode(_train_v2(spark, d), C.CATEGORICAL_V2)
 
 
 SCALER_SQL = O.with_ctes("\nUNION ALL\n".join(
@@ -145,7 +143,7 @@ SCALER_SQL = O.with_ctes("\nUNION ALL\n".join(
 
 @register("standard_scale", SCALER_SQL)
 def _standard_scale(spark, d):
-    train = _train_v2_md5(spark, d)
+    train = _train_v2(spark, d)
     med = {r["feature"]: r["median"] for r in ml.fit_median(train, C.NUMERIC_FEATURES).collect()}
     return rounded(ml.fit_scaler(train, C.NUMERIC_FEATURES, med), 6)
 
@@ -157,14 +155,14 @@ FROM (SELECT DISTINCT reason_code_v2 FROM train_v2) t""")
 
 @register("label_encode", LABEL_MAP_SQL)
 def _label_encode(spark, d):
-    return ml.label_mapping(_train_v2_md5(spark, d), "reason_code_v2")
+    return ml.label_mapping(_train_v2(spark, d), "reason_code_v2")
 
 
 @register("class_weights", O.with_ctes("""
 SELECT class_name, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight
 FROM (SELECT reason_code_v2 AS class_name, count(*) AS n FROM train_v2 GROUP BY reason_code_v2) t"""))
 def _class_weights(spark, d):
-    return rounded(ml.class_weights(_train_v2_md5(spark, d), "reason_code_v2"), 6)
+    return rounded(ml.class_weights(_train_v2(spark, d), "reason_code_v2"), 6)
 
 
 @register("one_hot", None)
@@ -196,7 +194,7 @@ def _test_predictions(spark, d, name: str, v2: bool, spec):
     io.require_columns(test, [spec.label, *spec.features], "TEST")
     model = _model(spark, d, name)
     kind = "gbt" if name == "boosted" else "lr"
-    test = test.where(F.col(spec.label).isNotNull()).select(spec.id_col, *spec.features, spec.label)
+    test = test.select(spec.id_col, *spec.features, spec.label)
     return ml.predict(model, test, kind, "prediction_label", "confidence", label_col=spec.label) \
              .select(spec.id_col, spec.label, "prediction_label", "confidence")
 
@@ -232,7 +230,7 @@ def _scored_fresh(spark, d):
 def _scored(spark, d):
     """The scored table, computed once per session and written (a durable
     stage: later reads do not re-run both models)."""
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d)
     if key not in _SCORED:
         db = ensure_database(spark, CHECK_DB)
         name = f"predictions_disputes_scored_{slug(d)}"
@@ -384,12 +382,3 @@ def _batch_infer(spark, d):
     """Every prompt through a deterministic local stand-in model (no network)."""
     prompts = P(spark, d).prompts
     return infer.batch_infer(prompts, "llm_prompt", infer.field_echo_model, batch_size=16, keep=["dispute_id"])
-
-
-def model_paths(spark, d) -> dict[str, str]:
-    """Where the two scoring models are saved (fitting them if needed)."""
-    out = {}
-    for name in ("lr_collapsed", "boosted"):
-        _model(spark, d, name)
-        out[name] = f"{checkpoint_dir(spark).rstrip('/')}/models/{slug(d)}/{name}-{_fingerprint(d, name)}"
-    return out

@@ -35,6 +35,45 @@ OWNER_CASE = """CASE WHEN {c} = 'DUPLICATE_DISCOUNT_340B' THEN '340B Team'
     WHEN {c} IN ('PLAN_EXCLUSION','STEP_THERAPY','ELIGIBILITY','NDC_MAPPING') THEN 'Policy Ops Team'
     ELSE 'Pricing/Admin Team' END"""
 
+
+def split_sql(id_col: str = "dispute_id") -> tuple[list[str], str]:
+    """Steps of the 64-bit xxHash (seed 42) of an 11-byte id, each an expression over the last (h), and the side.
+
+    An id of that length is one 8-byte word, three single bytes and the final mix."""
+    # FIXED VALUES - the hash's five primes
+    p1, p2, p3, p4, p5 = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579,
+                          2870177450012600261)
+    mod = f"{1 << 64}::UHUGEINT"
+
+    def times(x, p):
+        return f"((({x})::UHUGEINT * {p}::UHUGEINT) % {mod})"
+
+    def rotate(x, n):
+        return f"(((({x})::UHUGEINT * {1 << n}::UHUGEINT) % {mod}) + (({x})::UHUGEINT // {1 << (64 - n)}::UHUGEINT))"
+
+    def xor(a, b):
+        return f"xor(({a})::UBIGINT, ({b})::UBIGINT)"
+
+    byte = [f"ascii(substr({id_col}, {i + 1}, 1))" for i in range(11)]
+    word = " + ".join(f"{byte[i]}::UHUGEINT * {1 << (8 * i)}::UHUGEINT" for i in range(8))
+    steps = [f"({times(word, p2)})", times(rotate("h", 31), p1),
+             f"(({times(rotate(xor((42 + p5 + 11) % (1 << 64), 'h'), 27), p1)} + {p4}::UHUGEINT) % {mod})"]
+    steps += [times(rotate(xor("h", times(byte[i], p5)), 11), p1) for i in (8, 9, 10)]
+    steps += [times(xor("h", f"h // {1 << 33}::UHUGEINT"), p2), times(xor("h", f"h // {1 << 29}::UHUGEINT"), p3),
+              xor("h", f"h // {1 << 32}::UHUGEINT")]
+    side = (f"CASE WHEN (CASE WHEN h < {1 << 63}::UHUGEINT THEN h WHEN h = {1 << 63}::UHUGEINT THEN 0::UHUGEINT "
+            f"ELSE {mod} - h END) % 100 < 80 THEN 'TRAIN' ELSE 'TEST' END")
+    return steps, side
+
+
+def split_cte(table: str) -> str:
+    steps, side = split_sql()
+    body = f"SELECT *, {steps[0]}::UHUGEINT AS h FROM {table}"
+    for step in steps[1:]:
+        body = f"SELECT * REPLACE (({step})::UHUGEINT AS h) FROM ({body}) t"
+    return f"SELECT * EXCLUDE (h), {side} AS split FROM ({body}) t"
+
+
 FIXTURE_CTES = [(name, fixture_sql_for_duckdb(name)) for name in FIXTURE_SQL]
 
 PIPELINE_CTES = [
@@ -78,10 +117,8 @@ SELECT * REPLACE (upper(trim(reason_code)) AS reason_code),
        'NDC_MAPPING','PLAN_EXCLUSION','STEP_THERAPY') THEN upper(trim(reason_code))
        ELSE 'PRICING_ADMIN_OTHER' END AS reason_code_v2
 FROM gold"""),
-    ("split_v2", """
-SELECT *, CASE WHEN coalesce(CAST(('0x' || substr(md5(dispute_id),1,8)) AS BIGINT) % 100, 42) < 80
-               THEN 'TRAIN' ELSE 'TEST' END AS split
-FROM gold_v2"""),
+    ("split_v1", split_cte("gold")),
+    ("split_v2", split_cte("gold_v2")),
     ("train_v2", "SELECT * FROM split_v2 WHERE split = 'TRAIN'"),
     ("routed", f"""
 SELECT *,

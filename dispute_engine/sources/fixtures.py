@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.joins import spread_if_small
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -145,13 +144,12 @@ class Inputs:
     # Spread a table too small to fill the cores (fewer row groups than cores)
     # round-robin; off by default: measured at sf0.1 it speeds the narrow
     # silver/gold plan but slows the join-heavy ones. A no-op at scale.
-    spread_small_inputs: bool = False
 
     def base(self, name: str) -> DataFrame:
         """Parquet scan of a benchmark table."""
         if name not in self._cache:
             df = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
-            self._cache[name] = spread_if_small(df) if self.spread_small_inputs else df
+            self._cache[name] = df
         return self._cache[name]
 
     def fixture(self, name: str) -> DataFrame:
