@@ -12,6 +12,9 @@ from ..session import checkpoint_dir
 #: At most this many groups can each hold more than 1/HOT_GROUPS of all rows.
 HOT_GROUPS = 10_000
 
+#: Spark's setting that removes the shuffle files of a finished query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder the cluster names in ``spark.checkpoint.dir``."""
@@ -20,10 +23,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: later plans
-    read a table that survives lost executors, not the lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read a table that survives lost executors, not the lineage. The shuffle files
+    of the finished write are of no more use and are removed with it."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
