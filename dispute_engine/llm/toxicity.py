@@ -2,11 +2,13 @@
 
 Fit. Labelled training rows, equal texts counted once, give the number of
 toxic and of other texts each token occurs in (a text copied or a word repeated
-many times is one piece of evidence). A token's score is the log-odds ratio
-under an informative Dirichlet prior (the pooled token distribution), kept
-where it differs from 0 by Z standard errors, less a drift that makes ordinary
-text lose score. Model size is a parameter: the MODEL_WORDS tokens with the
-largest |z|.
+many times is one piece of evidence). A token is kept where the likelihood
+ratio of its two counts departs from equal shares by Z normal deviations (the
+signed root of G), a test that holds at a count of 0 too. Its score is the log-odds
+ratio with WORD_PRIOR pseudo-texts per token, split as the classes' tokens are, so
+the prior weighs the same in a corpus of any size, less a drift that makes
+ordinary text lose score. Model size is a parameter: the MODEL_WORDS tokens with
+the largest |z|.
 
 Score. One linear pass (all maximal scoring segments, Ruzzo and Tompa) finds
 every high-scoring passage of a whole text. Segment scores are put on the
@@ -38,8 +40,8 @@ from pyspark.sql import types as T
 from .shared import stored
 
 FOLDS = 5
-PRIOR_MASS = 10_000.0       # pseudo-tokens of the Dirichlet prior
-Z = 3.0                     # standard errors a log-odds ratio must differ from 0
+WORD_PRIOR = 1.0            # pseudo-texts of every token, over both classes
+Z = 3.0                     # normal deviations a token's likelihood ratio must reach
 DRIFT = 0.4                 # score every token loses
 MODEL_WORDS = 50_000        # size bound of the broadcast model
 FLUSH = 400_000             # distinct tokens a task counts before it hands them on
@@ -131,10 +133,19 @@ def _word_scores(train: DataFrame) -> tuple[dict[str, float], dict[str, int], in
     n_toxic, n_clean = (x or 0 for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
     if not n_toxic or not n_clean:
         return {}, {}, n_clean
-    prior = F.lit(PRIOR_MASS / (n_toxic + n_clean)) * (F.col("toxic") + F.col("clean"))
-    a, b = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(a / (n_toxic + PRIOR_MASS - a)) - F.log(b / (n_clean + PRIOR_MASS - b))
-    scored = counts.select("word", "clean", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
+    share = n_toxic / (n_toxic + n_clean)
+    a, b = F.col("toxic") + WORD_PRIOR * share, F.col("clean") + WORD_PRIOR * (1 - share)
+    odds = F.log(a / (n_toxic + WORD_PRIOR - a)) - F.log(b / (n_clean + WORD_PRIOR - b))
+    both = F.col("toxic") + F.col("clean")
+
+    def cell(found: Column, expected: Column) -> Column:
+        return F.when(found > 0, found * F.log(found / expected)).otherwise(F.lit(0.0))
+
+    ratio = 2 * (cell(F.col("toxic"), both * share) + cell(F.col("clean"), both * (1 - share))
+                 + cell(n_toxic - F.col("toxic"), (n_toxic + n_clean - both) * share)
+                 + cell(n_clean - F.col("clean"), (n_toxic + n_clean - both) * (1 - share)))
+    z = F.signum(F.col("toxic") - both * share) * F.sqrt(F.greatest(ratio, F.lit(0.0)))
+    scored = counts.select("word", "clean", odds.alias("odds"), z.alias("z"))
     top = scored.where(F.abs("z") >= Z).orderBy(F.abs("z").desc(), "word").limit(MODEL_WORDS).collect()
     return {r["word"]: r["odds"] - DRIFT for r in top}, {r["word"]: r["clean"] for r in top}, n_clean
 

@@ -261,6 +261,15 @@ def test_toxicity_ignores_held_out_labels(spark, insults):
     assert a == b
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_toxic_words_without_clean_texts_are_kept_at_every_size(spark, times):
+    rng = random.Random(times)
+    data = [(" ".join(f"plain{rng.randint(0, 300)}" for _ in range(30)) + (" vile" if i < 6 else ""), int(i < 60 * times))
+            for i in range(600 * times)]
+    found, _, _ = toxicity._word_scores(spark.createDataFrame(data, "text string, label int").repartition(4))
+    assert found["vile"] > 1 and len(found) < 10
+
+
 def test_toxicity_edge_rows(spark, docs, none, rows, labels):
     got = toxicity.toxicity(docs, labels).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
