@@ -330,6 +330,35 @@ def test_lm_scores(spark, docs, rows, labels, none, library):
     assert lm_scoring.lm_scores(none, labels).count() == 0
 
 
+@pytest.mark.parametrize("block", [300, 1 << 20])
+def test_lm_losses_follow_exact_pair_counts(spark, docs, rows, labels, library, monkeypatch, block):
+    monkeypatch.setattr(lm_scoring, "BLOCK", block, raising=False)  # 300: many blocks
+    size = len(tokens.pieces(tokens.default_vocab()))
+    data = [(r[0], ids_of(library, r[1]), r[0] is not None and (r[0] % 2 == 1 or r[0] == 5)) for r in rows]
+    pair, context, single = ([Counter(), Counter()] for _ in range(3))
+    for _, ids, good in data:
+        for row in (0, 1) if good else (0,):
+            pair[row].update(zip([None, *ids], ids))
+            context[row].update([None, *ids][:len(ids)])
+            single[row].update(ids)
+    n = [sum(c.values()) for c in single]
+    scale = [n[1] / n[0], 1.0]
+    prior = {i: (k + 1) / (n[0] + size) for i, k in single[0].items()}
+    want = defaultdict(list)
+    for doc_id, ids, _ in data:
+        p = [[(scale[row] * pair[row][a, b] + lm_scoring.STRENGTH * prior[b])
+              / (scale[row] * context[row][a] + lm_scoring.STRENGTH) for a, b in zip([None, *ids], ids)] for row in (0, 1)]
+        assert all(0 < x < 1 for row in p for x in row)
+        background, target = (-np.log(x).mean() if x else 0.0 for x in p)
+        want[doc_id].append((len(ids), target, background))
+    got = defaultdict(list)
+    for r in lm_scoring.lm_scores(docs, labels).collect():
+        got[r["doc_id"]].append((r["n_tokens"], r["target_loss"], r["background_loss"]))
+    assert got.keys() == want.keys()
+    for doc_id in want:
+        assert np.allclose(sorted(got[doc_id]), sorted(want[doc_id]), rtol=1e-9)
+
+
 # ---------------------------------------------------------------- 5, 6, 9, 10
 
 def brute_rule(url, rules):
