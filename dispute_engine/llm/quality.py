@@ -6,9 +6,11 @@ the six ASCII white-space characters.
 Method. Each text gets its measures (one projection). Mergeable quantile
 summaries (``approx_percentile``: partial summaries per task, merged after the
 shuffle) give quartiles of each rate per (lang, source); a text fails a rate
-that lies above its group's upper fence. Fences replace fixed cutoffs; the
-per-rate floor keeps a group whose quartiles coincide from rejecting ordinary
-variation.
+that lies above its group's upper fence, FENCE spreads over the upper quartile.
+The spread is the distance of the quartiles; where they coincide, as for rates
+that most texts have at 0, it is the mean deviation from the median over the
+percentiles of the language. No constant stands beside the fences: what a
+group may have, its texts decide.
 
 Defined results: NULL or empty text has zero words and fails the base rule;
 NULL lang or source is a group of its own; a repeated row is measured like any
@@ -30,9 +32,11 @@ WINDOW = 5
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 
-#: Adaptive rule: a rate fails above q75 + FENCE * (q75 - q25), and never below its floor.
+#: Adaptive rule: a rate fails above q75 + FENCE * spread; no upper fence lies below its floor, which is the least
+#: value the rate can have, so only learned values decide.
 FENCE = 6.0
-FLOORS = {"symbol_rate": 0.1, "dup_line_rate": 0.5, "repeat_rate": 0.2, "word_length": 40.0}
+FLOORS = {"symbol_rate": 0.0, "dup_line_rate": 0.0, "repeat_rate": 0.0, "word_length": 0.0}
+GRID = [i / 100 for i in range(1, 100)]
 QUANTILE_ACCURACY = 10_000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -100,15 +104,26 @@ def rates() -> dict[str, Column]:
     }
 
 
+def _deviation(grid: Column) -> Column:
+    """Mean distance of the percentiles in ``grid`` from the median."""
+    median = F.element_at(grid, len(GRID) // 2 + 1)
+    return F.aggregate(grid, F.lit(0.0), lambda acc, q: acc + F.abs(q - median)) / len(GRID)
+
+
 def thresholds(measured: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Upper fence of each rate per group, from quantile summaries over every row
-    that passes the base rule."""
-    quart = {k: F.percentile_approx(k, [0.25, 0.75], QUANTILE_ACCURACY) for k in FLOORS}
+    that passes the base rule; ``by[0]`` is the language."""
     frame = measured.where(~base_failed()).select(*by, *[c.alias(k) for k, c in rates().items()])
-    agg = frame.groupBy(*by).agg(*[c.alias(k) for k, c in quart.items()])
-    return agg.select(*by, *[
-        F.greatest(F.col(k)[1] + FENCE * (F.col(k)[1] - F.col(k)[0]), F.lit(FLOORS[k])).alias(f"max_{k}")
-        for k in FLOORS])
+    agg = frame.groupBy(*by).agg(*[F.percentile_approx(k, [0.25, 0.75], QUANTILE_ACCURACY).alias(k) for k in FLOORS])
+    wide = frame.groupBy(F.col(by[0]).alias("_lang")).agg(
+        *[F.percentile_approx(k, GRID, QUANTILE_ACCURACY).alias(f"_{k}") for k in FLOORS])
+    agg = agg.join(wide, F.col(by[0]).eqNullSafe(F.col("_lang")))
+    out = []
+    for k in FLOORS:
+        low, high = F.col(k)[0], F.col(k)[1]
+        spread = F.when(high > low, high - low).otherwise(_deviation(F.col(f"_{k}")))
+        out.append(F.greatest(high + FENCE * spread, F.lit(FLOORS[k])).alias(f"max_{k}"))
+    return agg.select(*by, *out)
 
 
 def judge(measured: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -119,18 +134,19 @@ def judge(measured: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> Data
     broadcasts it while it is under its own limit, and beyond it the rows of a
     group are salted over SALTS copies of the group's fence row."""
     fences = stored(thresholds(measured, by), "quality-fences")
+    names = [f"max_{k}" for k in FLOORS]
     salt = F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols", "doc_key"), F.lit(SALTS)).cast("int")
     left = measured.withColumn("_salt", salt)
     right = fences.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     cond = [left[c].eqNullSafe(right[c]) for c in by] + [left["_salt"] == right["_salt"]]
     joined = left.join(right.select(*[right[c] for c in by], right["_salt"],
-                                    *[f"max_{k}" for k in FLOORS]), cond, "left") \
-                 .select(*[left[c] for c in measured.columns], *[right[f"max_{k}"] for k in FLOORS])
+                                    *names), cond, "left") \
+                 .select(*[left[c] for c in measured.columns], *[right[c] for c in names])
     failed = F.lit(False)
     for k, c in rates().items():
         failed = failed | F.coalesce(c > F.col(f"max_{k}"), F.lit(False))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~failed) \
-                 .drop(*[f"max_{k}" for k in FLOORS])
+                 .drop(*names)
 
 
 #: Copies of each fence row when the fence table is joined by a shuffle.

@@ -556,6 +556,23 @@ def test_quality_measures_and_fences(spark, docs, rows, none):
     assert frame.columns == docs.columns and {r["doc_id"] for r in frame.collect()} == kept
 
 
+def test_quality_fences_follow_their_group(spark):
+    rng = random.Random(4)
+
+    def text(letters, marks=0, copies=0):
+        w = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=letters)) for _ in range(100)]
+        return " ".join([*w, *"#" * marks]) + "\nthe same line" * copies
+
+    # source a has words of 5 letters and no marks, source b words of 9 and 10 to 20 marks
+    data = [(i, text(5), "en", "a") for i in range(60)] + [(100 + i, text(9, 10 + i % 11), "en", "b") for i in range(60)]
+    odd = [(200, text(30), "en", "a"), (201, text(30), "en", "b"),
+           (203, text(5, 90), "en", "a"), (204, text(9, 20), "en", "b"), (205, text(5, 0, 4), "en", "a")]
+    docs = spark.createDataFrame(data + odd, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs).collect()}
+    assert all(got[r[0]] for r in data)
+    assert {r[0]: got[r[0]] for r in odd} == {200: False, 201: False, 203: False, 204: True, 205: False}
+
+
 def test_hot_groups_are_joined_whole(spark):
     rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(3000)], "key string, v int")
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("v").alias("top"))
