@@ -36,7 +36,8 @@ unrelated long texts are alike in every coordinate, so boxes prune next to nothi
 the join turns quadratic; the tree therefore works inside candidate groups.
 
 Defined results: a text without words (NULL and empty too) has n_shingles 0
-and its own doc_id as component; a NULL doc_id takes part through its text, and
+and its own doc_id as component; a NULL doc_id takes part through its text, which a
+second hash of the text then names in place of the id (``t_doc``), and
 its component is the smallest doc_id reached (NULL if there is none); rows
 that repeat a doc_id with other texts are separate documents; an empty table gives
 an empty result; only doc_id and text are read.
@@ -132,7 +133,7 @@ def _cell(s: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- features and sketch
 
-_FEATURES = "doc_id long, t_hash long, n long, digest binary, vec binary, slice int, counts binary"
+_FEATURES = "doc_id long, t_doc long, t_hash long, n long, digest binary, vec binary, slice int, counts binary"
 
 
 def _point(s: np.ndarray) -> np.ndarray:
@@ -155,7 +156,7 @@ def _features(batches):
     names = [f.split()[0] for f in _FEATURES.split(", ")]
     for batch in batches:
         n, digests, vecs = [], [], []
-        for text in batch.column(2):
+        for text in batch.column(3):
             s = shingles(text.as_py())
             if len(s):
                 np.add.at(sketch, _cell(s), 1)
@@ -165,13 +166,13 @@ def _features(batches):
             vecs.append(zlib.compress(_point(s).astype("<u4").tobytes(), 1))
         nothing = [None] * len(n)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
+            [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
              pa.array(vecs, pa.binary()), pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary())], names)
     if seen:
         blobs = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SLICES)]
         nothing = [None] * SLICES
         yield pa.RecordBatch.from_arrays(
-            [*[pa.array(nothing, pa.int64())] * 3, pa.array(nothing, pa.binary()),
+            [*[pa.array(nothing, pa.int64())] * 4, pa.array(nothing, pa.binary()),
              pa.array(nothing, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names)
 
 
@@ -298,7 +299,7 @@ def _unpack(z: bytes) -> np.ndarray:
 
 
 def _ship(batches):
-    """(doc_id, hash of the text, compressed text) of every document."""
+    """(t_doc, hash of the text, compressed text) of every document."""
     for batch in batches:
         z = [zstandard.compress(text.as_py().encode(), 3) for text in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())],
@@ -459,21 +460,28 @@ def components(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 def _texts(docs: DataFrame) -> DataFrame:
-    text = text_or_empty()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t_hash"),
-                       text.alias("text"))
+    text, doc_id = text_or_empty(), F.col("doc_id").cast("long")
+    # (t_doc, t_hash) finds a stored text; without an id both are hashes of the text, 128 bits together
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(F.lit("no id"), text)).alias("t_doc"),
+                       F.xxhash64(text).alias("t_hash"), text.alias("text"))
 
 
 def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``."""
+    return _linked(spark, docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """:func:`similar_components` with t_doc and t_hash."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(64, 2 * partitions)
     texts = _texts(docs)
     features = stored(texts.mapInArrow(_features, _FEATURES), "jaccard-features")
-    rows = features.where(F.col("digest").isNotNull()).select("doc_id", "t_hash", "n", "digest", "vec")
+    rows = features.where(F.col("digest").isNotNull()).select("doc_id", "t_doc", "t_hash", "n", "digest", "vec")
     classes = stored(rows.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.min_by("t_hash", "doc_id").alias("t_hash"), F.first("n").alias("n"),
-        F.first("vec").alias("vec"), F.count("*").alias("copies")), "jaccard-classes")
+        F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "t_doc", "t_hash")).alias("at"),
+        F.first("n").alias("n"), F.first("vec").alias("vec"), F.count("*").alias("copies"))
+        .select("digest", "rep", "at.t_doc", "at.t_hash", "n", "vec", "copies"), "jaccard-classes")
     known = _with_key(classes)
 
     sketch = _sketch(features)
@@ -482,12 +490,12 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     .groupBy("members").agg(F.count("*").alias("times")).drop("times"), "jaccard-groups")
 
     # round 1: the first member of each group against the others
-    side = known.where(F.col("rep").isNotNull()).select("key", "digest", "rep", "t_hash", "n")
-    points = known.where(F.col("rep").isNotNull()).select("key", "digest", "rep", "t_hash", "n", "vec")
+    side = known.select("key", "digest", "t_doc", "t_hash", "n")
+    points = known.select("key", "digest", "t_doc", "t_hash", "n", "vec")
     pairs = groups.select(F.col("members")[0].alias("p"), F.explode(F.slice("members", F.lit(2), F.size("members")))
                           .alias("q")).distinct()
-    a = side.withColumnsRenamed({"key": "p", "digest": "a", "rep": "a_doc", "t_hash": "a_hash", "n": "a_n"})
-    b = side.withColumnsRenamed({"key": "q", "digest": "b", "rep": "b_doc", "t_hash": "b_hash", "n": "b_n"})
+    a = side.withColumnsRenamed({"key": "p", "digest": "a", "t_doc": "a_doc", "t_hash": "a_hash", "n": "a_n"})
+    b = side.withColumnsRenamed({"key": "q", "digest": "b", "t_doc": "b_doc", "t_hash": "b_hash", "n": "b_n"})
     stars = stored(pairs.join(a, "p").join(b, "q")
                    .where(F.lit(PERCENT) * F.greatest("a_n", "b_n") <= 100 * F.least("a_n", "b_n"))
                    .select("a", "a_doc", "a_hash", "b", "b_doc", "b_hash",
@@ -497,7 +505,10 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
                            F.col("b_doc").alias("t_doc"), F.col("b_hash").alias("t_hash"))
     centres = stars.select(F.col("a").alias("star"), "salt", F.lit(0).alias("role"), F.col("a").alias("t_digest"),
                            F.col("a_doc").alias("t_doc"), F.col("a_hash").alias("t_hash")).distinct()
-    shipped = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_ship, "t_doc long, t_hash long, z binary")
+    # of equal texts without an id one is enough; they share their t_doc
+    nameless = texts.where(F.col("doc_id").isNull()).dropDuplicates(["t_doc", "t_hash"])
+    shipped = texts.where(F.col("doc_id").isNotNull()).union(nameless).select("t_doc", "t_hash", "text") \
+                   .mapInArrow(_ship, "t_doc long, t_hash long, z binary")
     # sort-merge at every size: a broadcast that only few candidates get would change the plan as data grows
     on_star = members.union(centres).hint("merge").join(shipped, ["t_doc", "t_hash"]) \
                      .select("star", "salt", "role", "t_digest", "z") \
@@ -518,9 +529,9 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
                    .withColumn("block", block) \
                    .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))) \
                    .select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                           "digest", "comp", "rep", "t_hash", "n", "vec")
+                           "digest", "comp", "t_doc", "t_hash", "n", "vec")
     # points first: most groups fall apart without a text being moved, and the rest into few distinct lists
-    lists = placed.select(F.format_string("%d %d %d %d", "g1", "g2", "i", "j").alias("gid"), "digest", "comp", "rep",
+    lists = placed.select(F.format_string("%d %d %d %d", "g1", "g2", "i", "j").alias("gid"), "digest", "comp", "t_doc",
                           "t_hash", "n", "vec").repartition("gid").sortWithinPartitions("gid") \
                   .mapInArrow(_prune, _SURVIVORS).groupBy("members").agg(F.count("*").alias("times"))
     listed = stored(lists.select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"),
@@ -538,8 +549,8 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lowest = placed_classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
     final = stored(placed_classes.join(lowest, "comp").select("digest", "component_id", "copies"), "jaccard-components")
     joined = join_groups(rows.where("n > 0"), final, "digest", "copies")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(
-        rows.where("n = 0").select("doc_id", "n", "doc_id"))
+    return joined.select("doc_id", "t_doc", "t_hash", F.col("n").alias("n_shingles"), "component_id").union(
+        rows.where("n = 0").select("doc_id", "t_doc", "t_hash", "n", "doc_id"))
 
 
 def _with_key(classes: DataFrame) -> DataFrame:
@@ -551,13 +562,22 @@ def _with_key(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())],
                                              [*batch.schema.names, "key"])
 
-    return classes.mapInArrow(add, "digest binary, rep long, t_hash long, n long, vec binary, copies long, key long")
+    return classes.mapInArrow(add, "digest binary, rep long, t_doc long, t_hash long, n long, vec binary, "
+                                   "copies long, key long")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest doc_id, all columns.
 
     Rows with a NULL doc_id stay where no row with a doc_id is linked to them."""
-    found = similar_components(spark, docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+    found = _linked(spark, docs)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
+                .select("doc_id", "t_doc", "t_hash").distinct()
+    # rows with an id stay by it, rows without one by their text: their ids do not tell them apart
+    by_id = stay.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k_id")).distinct()
+    by_text = stay.where(F.col("doc_id").isNull()).select(F.col("t_doc").alias("k_doc"), F.col("t_hash").alias("k_hash"))
+    text = text_or_empty()
+    return docs.join(by_id, F.col("doc_id") == F.col("k_id"), "left_semi").unionByName(
+        docs.where(F.col("doc_id").isNull()).join(
+            by_text, (F.xxhash64(F.lit("no id"), text) == F.col("k_doc")) & (F.xxhash64(text) == F.col("k_hash")),
+            "left_semi"))

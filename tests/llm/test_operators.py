@@ -481,6 +481,35 @@ def test_jaccard_edge_rows(spark, docs, rows, none):
     assert jaccard.similar_components(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("block", [500, 7])
+def test_jaccard_rows_without_id_link_and_bridge(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(9)
+
+    def words(n):
+        return [f"w{rng.randint(0, 10 ** 6)}" for _ in range(n)]
+
+    a, b, c, d = words(100), words(60), words(60), words(60)
+    # 0 and 1 share too little to link, the row without an id between them links to both; its copies are one class
+    data = [(0, a), (None, a[8:] + words(8)), (None, b), (1, b[:-1] + words(1)), (None, c), (None, c[:-1] + words(1)),
+            (None, d), (3, a[:5] + words(80))]
+    left, right = words(10), words(10)
+    data += [(10, left + a), (None, a + words(3)), (11, a + right), (None, d)]
+    data = [(i, " ".join(w)) for i, w in data]
+    # many near copies without an id, so that round 2 and blocks take part
+    data += [(i if i is None or i % 3 else None, t) for i, t in family(5, 20, 3)]
+    data = [(i if i is None or k < 12 else i + 100, t) for k, (i, t) in enumerate(data)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute_components(data)
+    assert Counter(tuple(r) for r in jaccard.similar_components(spark, docs).collect()) == want
+    component = {}
+    for k, (doc_id, text) in enumerate(data):  # a marker id of its own tells the row's component
+        marked = [(10 ** 6 if j == k else i, t) for j, (i, t) in enumerate(data)] if doc_id is None else data
+        component[k] = next(x[2] for x in brute_components(marked) if x[0] == (10 ** 6 if doc_id is None else doc_id))
+    stay = Counter(r for k, r in enumerate(data) if component[k] == (10 ** 6 if r[0] is None else r[0]))
+    assert Counter(map(tuple, jaccard.keep_one(spark, docs).collect())) == stay
+
+
 def test_count_tree_loses_no_pair():
     rng = np.random.default_rng(7)
     sets = [np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64)) for n in rng.integers(1, 60, 300)]
