@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, bpe, exact, jaccard, langid, lm_scoring, packing, quality, toxicity, urls
+from . import (binary_output, bpe, exact, jaccard, langid, lexical, lm_scoring, packing, quality, sharding, toxicity,
+               urls, whitening)
 from .shared import scratch
 
 
@@ -57,6 +58,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), TREE, sharding.grown(TREE))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: The 16 shards of op12: two regions of two racks of four shards, equal weights.
+TREE = sharding.layout(16)
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -68,6 +84,9 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_whitening": op11_whitening,
+    "op12_sharding": op12_sharding,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 URL_SQL = r"""
@@ -100,4 +119,6 @@ FROM d JOIN g ON d.text_sha256 = g.text_sha256"""
 ORACLES = {
     "op5_url_filters": URL_SQL,
     "op6_exact_dedup": EXACT_SQL,
+    "op12_sharding": sharding.sql_of(TREE, sharding.grown(TREE)),
+    "op13_lexical_search": lexical.SQL,
 }
