@@ -41,8 +41,7 @@ def plans(spark, sf_dir: str) -> dict:
         "train_lr_collapsed": lambda: ml.train_lr(
             split.take_split(split.hash_split(p.gold_v2), "TRAIN"), C.SPEC_V2, C.LR_BALANCED),
         "train_boosted_20_rounds": lambda: ml.train_boosted(
-            split.take_split(split.hash_split(p.gold_v2), "TRAIN"), C.SPEC_V2, C.BoostedParams(n_estimators=20),
-            parallelism=8),
+            split.take_split(split.hash_split(p.gold_v2), "TRAIN"), C.SPEC_V2, C.BoostedParams(n_estimators=20)),
     }
 
 

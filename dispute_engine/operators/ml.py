@@ -2,8 +2,8 @@
 
 Training rows never leave the executors. Fitted statistics (one median,
 mode, mean and std per feature, histogram buckets on the way to them; class
-list and weights) are the only values brought to the driver; they are embedded in a ``SQLTransformer`` so the
-whole preprocessing + model is one saveable ``PipelineModel``.
+list and weights) are the only values brought to the driver. For logistic regression they are embedded in a
+``SQLTransformer``, so preprocessing + model is one saveable ``PipelineModel``.
 
 Preprocessing mirrors the notebook's scikit-learn pipelines: numeric NULL ->
 training median (then optional standard scaling with population std),
@@ -16,13 +16,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (IndexToString, OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel,
                                 VectorAssembler)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +29,7 @@ from .. import config as C
 from ..config import BoostedParams, FeatureSpec, LRParams
 from ..functions import nan_to_null, run_ts
 from ..sources.io import require_columns
+from . import boosting
 
 
 def select_training(df: DataFrame, spec: FeatureSpec, label_as_string: bool = True) -> DataFrame:
@@ -49,13 +48,9 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
 
 def fit_median(train: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: int = 10_000,
                bins: int = 1024) -> DataFrame:
-    """Median per numeric column over non-NULL values: (feature, median).
+    """Median per numeric column over non-NULL, non-NaN values: (feature, median).
 
-    ``exact`` (numpy's median: mean of the two middle values) runs a
-    distributed rank selection with bounded memory: each pass is one scan
-    and one grouping into at most ``bins`` buckets per open range, narrowing
-    the range that holds a middle rank to a single distinct value. Only
-    bucket rows (count, min, max) reach the driver, at every table size.
+    ``exact`` is numpy's median, the mean of the two middle values (see ``exact_medians``);
     ``exact=False`` is one pass of ``percentile_approx`` (rank error 1/accuracy).
     """
     spark = train.sparkSession
@@ -63,75 +58,74 @@ def fit_median(train: DataFrame, cols: Sequence[str], exact: bool = True, accura
         one = train.select(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).cast("double").alias(c)
                              for c in cols])
         return _long(one, cols, "double").withColumnRenamed("value", "median")
-    medians = exact_medians(_long(train, cols, "double"), list(cols), bins)
+    medians = exact_medians(train, list(cols), accuracy, bins)
     return spark.createDataFrame([(c, medians.get(c)) for c in cols], "feature string, median double")
 
 
-def exact_medians(long: DataFrame, cols: list[str], bins: int = 1024) -> dict:
-    """{feature: median} from (feature, value) rows by histogram refinement.
+def exact_medians(train: DataFrame, cols: list[str], accuracy: int = 10_000, bins: int = 1024) -> dict:
+    """{feature: median}: two passes over the numeric columns, whatever the number of rows.
 
-    A target is one middle rank of one feature with the value range known
-    to hold it and the count of values below that range. Each pass groups
-    the open ranges into ``bins`` buckets (per-bucket count, min, max) and
-    keeps the bucket holding the rank, until its min and max are equal. lo and
-    hi fall in different buckets, so every pass shrinks a range; passes ~
-    log_bins of the value spread.
+    Pass 1, one mergeable quantile summary per column, brackets the middle ranks: the summary's rank error is at
+    most n/accuracy, so values two such errors to either side of the middle hold them for certain. Pass 2
+    counts the values under each bracket and groups those inside (about 4/accuracy of the rows) by value. The
+    ranks are then found among the grouped values alone: by ``bins`` buckets of each bracket (the only rows that
+    reach the driver) and a running count inside the chosen bucket.
     """
-    vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    first = {r["feature"]: r for r in vals.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
-    targets: dict[tuple[str, int], dict] = {}
-    for c in cols:
-        r = first.get(c)
-        if r is None or r["n"] == 0:
-            continue
-        for k in sorted({(r["n"] - 1) // 2, r["n"] // 2}):
-            targets[(c, k)] = {"lo": r["lo"], "hi": r["hi"], "below": 0, "value": None}
-
-    while True:
-        for t in targets.values():
-            if t["value"] is None and t["lo"] == t["hi"]:
-                t["value"] = t["lo"]
-        todo = {key: t for key, t in targets.items() if t["value"] is None}
-        if not todo:
-            break
-        ranges = sorted({(key[0], t["lo"], t["hi"]) for key, t in todo.items()})
-        rid = bucket = None
-        for i, (feat, lo, hi) in enumerate(ranges):
-            width = (hi - lo) / bins or (hi - lo)
-            b = F.least(F.floor((F.col("value") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-            cond = (F.col("feature") == feat) & F.col("value").between(lo, hi)
-            rid = F.when(cond, F.lit(i)) if rid is None else rid.when(cond, F.lit(i))
-            bucket = F.when(cond, b) if bucket is None else bucket.when(cond, b)
-        hist = (vals.where(_range_cond(ranges)).select(rid.alias("rid"), bucket.alias("bucket"), "value")
-                .groupBy("rid", "bucket")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-                .collect())  # at most bins rows for each open range
-        for i, rg in enumerate(ranges):
-            buckets = sorted((r for r in hist if r["rid"] == i), key=lambda r: r["bucket"])
-            for key, t in todo.items():
-                if (key[0], t["lo"], t["hi"]) != rg:
-                    continue
-                acc = t["below"]
-                for r in buckets:
-                    if acc + r["n"] > key[1]:
-                        t.update(lo=r["lo"], hi=r["hi"], below=acc)
-                        break
-                    acc += r["n"]
-    out = {}
-    for c in cols:
-        v = [targets[key]["value"] for key in sorted(k for k in targets if k[0] == c)]
-        if v:
-            out[c] = v[0] if len(v) == 1 else (v[0] + v[1]) / 2.0
-    return out
-
-
-def _range_cond(ranges) -> Column:
-    cond = None
-    for feat, lo, hi in ranges:
-        c = (F.col("feature") == feat) & F.col("value").between(lo, hi)
-        cond = c if cond is None else cond | c
-    return cond
+    if not cols:
+        return {}
+    step = 2.0 / accuracy
+    names = [f"c{i}" for i in range(len(cols))]
+    values = train.select(*[nan_to_null(F.col(c).cast("double")).alias(n) for n, c in zip(names, cols)])
+    first = values.agg(*[F.count(n).alias(f"n_{n}") for n in names], *[
+        F.percentile_approx(n, [max(0.0, 0.5 - step), min(1.0, 0.5 + step)], accuracy).alias(n)
+        for n in names]).first()
+    ranges = {n: (first[n][0], first[n][1]) for n in names if first[f"n_{n}"]}
+    if not ranges:
+        return {}
+    inside = F.filter(F.array(*[F.struct(F.lit(n).alias("c"), F.col(n).alias("v"), F.lit(lo).alias("lo"),
+                                         F.lit(hi).alias("hi")) for n, (lo, hi) in ranges.items()]),
+                      lambda s: s["v"] <= s["hi"])
+    counted = values.select(F.explode(inside).alias("s")).select(
+        F.col("s.c").alias("c"), F.when(F.col("s.v") >= F.col("s.lo"), F.col("s.v")).alias("v")) \
+        .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _middle(counted, first, ranges, dict(zip(names, cols)), bins)
+    finally:
+        counted.unpersist()
+
+
+def _middle(counted: DataFrame, first, ranges: dict, of: dict, bins: int) -> dict:
+    """The middle values from (column, value or NULL for all below the bracket, count) rows."""
+    width = F.create_map(*[x for n, (lo, hi) in ranges.items() for x in (F.lit(n), F.lit((hi - lo) / bins))])
+    low = F.create_map(*[x for n, (lo, _) in ranges.items() for x in (F.lit(n), F.lit(lo))])
+    at = F.when(F.col("v").isNull(), F.lit(-1)).when(width[F.col("c")] > 0, F.least(
+        F.floor((F.col("v") - low[F.col("c")]) / width[F.col("c")]), F.lit(bins - 1))).otherwise(F.lit(0))
+    bucketed = counted.withColumn("b", at.cast("int"))
+    sums = bucketed.groupBy("c", "b").agg(F.sum("n").alias("n")).collect()  # at most bins + 1 rows a column
+    chosen, wanted = [], {}
+    for n in ranges:
+        total, below = first[f"n_{n}"], 0
+        ranks = sorted({(total - 1) // 2, total // 2})
+        for r in sorted((r for r in sums if r["c"] == n), key=lambda r: r["b"]):
+            for k in ranks:
+                if below <= k < below + r["n"]:
+                    wanted[(n, k)] = (r["b"], below)
+            below += r["n"]
+        chosen += sorted({(n, wanted[(n, k)][0]) for k in ranks})
+    pick = None
+    for n, b in chosen:
+        cond = (F.col("c") == n) & (F.col("b") == b)
+        pick = cond if pick is None else pick | cond
+    run = Window.partitionBy("c", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = bucketed.where(pick).withColumn("upto", F.sum("n").over(run))
+    hit = None
+    for (n, k), (b, below) in wanted.items():
+        cond = (F.col("c") == n) & (F.col("b") == b) & (F.col("upto") > k - below) & (F.col("upto") - F.col("n") <= k - below)
+        hit = cond if hit is None else hit | cond
+    found: dict[str, list[float]] = {}
+    for r in upto.where(hit).select("c", "v").distinct().collect():  # one or two rows a column
+        found.setdefault(r["c"], []).append(r["v"])
+    return {of[n]: v[0] if len(v) == 1 else (v[0] + v[1]) / 2.0 for n, v in found.items()}
 
 
 def fit_mode(train: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -236,18 +230,6 @@ def prep_transformer(spec: FeatureSpec, prep: Prep) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 
-class Densify(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Sparse -> dense vector (JVM-side). Tree ensembles read every split
-    feature by index; on a dense vector that is a direct array access."""
-
-    def __init__(self, inputCol: str = "features", outputCol: str = "features_dense"):
-        super().__init__()
-        self._set(inputCol=inputCol, outputCol=outputCol)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.getOutputCol(), array_to_vector(vector_to_array(F.col(self.getInputCol()))))
-
-
 def feature_stages(spec: FeatureSpec, prep: Prep) -> list:
     cats = [f"_c_{c}" for c in spec.categorical]
     idx = StringIndexer(inputCols=cats, outputCols=[f"_i_{c}" for c in spec.categorical],
@@ -304,70 +286,53 @@ def train_lr(train: DataFrame, spec: FeatureSpec, params: LRParams = C.LR_V1,
 
 
 def train_boosted(train: DataFrame, spec: FeatureSpec, params: BoostedParams = BoostedParams(),
-                  parallelism: int | None = None, exact_median: bool = True,
-                  drop_unlabelled: bool = True) -> PipelineModel:
-    """Multi-class boosted trees: one-vs-rest over binary ``GBTClassifier``s
-    (Spark's GBT is binary only). The per-class models are independent and
-    train concurrently (``parallelism`` defaults to one thread per class)."""
-    train = _training_frame(train, spec, drop_unlabelled)
-    try:
-        prep = fit_prep(train, spec, False, exact_median)
-        if parallelism is None:
-            parallelism = max(1, train.select(spec.label).distinct().count())
-        gbt = GBTClassifier(maxIter=params.n_estimators, maxDepth=params.max_depth, stepSize=params.learning_rate,
-                            subsamplingRate=params.subsample, featureSubsetStrategy=str(params.colsample_bytree),
-                            maxBins=params.max_bins, seed=params.seed, featuresCol="features_dense",
-                            labelCol="label")
-        ovr = OneVsRest(classifier=gbt, parallelism=parallelism, featuresCol="features_dense", labelCol="label",
-                        predictionCol="prediction", rawPredictionCol="rawPrediction")
-        stages = feature_stages(spec, prep) + [Densify(), label_stage(spec), ovr]
-        return Pipeline(stages=stages).fit(train)
-    finally:
-        train.unpersist()
+                  path: str | None = None, exact_median: bool = True) -> boosting.BoostedModel:
+    """Multi-class softmax trees on histograms (``operators/boosting.py``); with ``path`` a cut-off fit continues."""
+    return boosting.fit(train, spec, params, path, exact_median=exact_median)
 
 
-def model_labels(model: PipelineModel) -> list[str]:
-    """Class names in index order, from the label indexer of a fitted pipeline."""
+def model_labels(model: PipelineModel | boosting.BoostedModel) -> list[str]:
+    """Class names in index order."""
+    if isinstance(model, boosting.BoostedModel):
+        return list(model.labels)
     for st in model.stages:
         if isinstance(st, StringIndexerModel) and st.isSet(st.outputCol) and st.getOutputCol() == "label":
             return list(st.labels)
     raise ValueError("no label indexer in model")
 
 
-def confidence(model_kind: str) -> Column:
-    """Max class probability. Logistic: of ``probability``. One-vs-rest GBT
-    gives per-class margins m_k only: p_k = sigmoid(2 m_k), normalised."""
-    if model_kind == "lr":
-        return nan_to_null(F.array_max(vector_to_array(F.col("probability"))))
-    p = F.transform(vector_to_array(F.col("rawPrediction")), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-    return nan_to_null(F.array_max(p) / F.aggregate(p, F.lit(0.0), lambda a, b: a + b))
+def confidence() -> Column:
+    """Largest class probability of a logistic model."""
+    return nan_to_null(F.array_max(vector_to_array(F.col("probability"))))
 
 
-def predict(model: PipelineModel, df: DataFrame, kind: str, pred_col: str, conf_col: str,
+def predict(model: PipelineModel | boosting.BoostedModel, df: DataFrame, pred_col: str, conf_col: str,
             label_col: str | None = None) -> DataFrame:
-    """Transform and decode the class index to its name (IndexToString).
+    """``df`` with the predicted class name and its probability.
 
     A truth column ``label_col`` is carried through untouched (renamed around
     the transform so the label indexer does not see it).
     """
+    if isinstance(model, boosting.BoostedModel):
+        return model.predict(df, pred_col, conf_col)
     if label_col and label_col in df.columns:
         df = df.withColumnRenamed(label_col, "_truth")
     out = model.transform(df)
     labels = model_labels(model)
     dec = IndexToString(inputCol="prediction", outputCol=pred_col, labels=labels)
-    out = dec.transform(out).withColumn(conf_col, confidence(kind))
+    out = dec.transform(out).withColumn(conf_col, confidence())
     return out.withColumnRenamed("_truth", label_col) if label_col and "_truth" in out.columns else out
 
 
-def score(df: DataFrame, spec: FeatureSpec, lr_model: PipelineModel, boosted_model: PipelineModel,
+def score(df: DataFrame, spec: FeatureSpec, lr_model: PipelineModel, boosted_model: boosting.BoostedModel,
           lr_uri: str = "", boosted_uri: str = "", ts=None) -> DataFrame:
     """Scored table: id + features + both models' label and confidence + metadata."""
     keep = [spec.id_col, *spec.features]
     require_columns(df, keep, "scoring input")
     base = df.select(*keep)
-    a = predict(lr_model, base, "lr", "pred_reason_lr", "conf_lr") \
+    a = predict(lr_model, base, "pred_reason_lr", "conf_lr") \
         .select(*keep, "pred_reason_lr", "conf_lr")
-    b = predict(boosted_model, a, "gbt", "pred_reason_xgb", "conf_xgb")
+    b = predict(boosted_model, a, "pred_reason_xgb", "conf_xgb")
     # UTC wall time and a fixed offset, whatever the session's zone
     stamp = F.concat(F.date_format(F.to_utc_timestamp(run_ts(ts), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
                      F.lit("+00:00"))

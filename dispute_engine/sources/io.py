@@ -36,6 +36,12 @@ def qualified(db: str | None, name: str) -> str:
     return f"{db}.{name}" if db else name
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of files that nothing reads any more, on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read_table(spark: SparkSession, db: str | None, name: str) -> DataFrame:
     return spark.table(qualified(db, name))
 

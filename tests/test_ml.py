@@ -92,7 +92,7 @@ def test_lr_invariants(spark, small_train):
     model = ml.train_lr(train, C.SPEC_V2, C.LR_BALANCED)
     labels = ml.model_labels(model)
     assert labels == sorted(labels)
-    out = ml.predict(model, test.select("dispute_id", *C.SPEC_V2.features), "lr", "pred", "conf")
+    out = ml.predict(model, test.select("dispute_id", *C.SPEC_V2.features), "pred", "conf")
     rows = out.select("pred", "conf", vector_to_array("probability").alias("p")).collect()
     assert rows and all(abs(sum(r.p) - 1.0) < 1e-9 for r in rows)
     assert {r.pred for r in rows} <= set(labels)
@@ -101,8 +101,8 @@ def test_lr_invariants(spark, small_train):
 
 def test_boosted_small_invariants(spark, small_train):
     train, test = small_train
-    model = ml.train_boosted(train, C.SPEC_V2, C.BoostedParams(n_estimators=3, max_depth=3), parallelism=8)
-    out = ml.predict(model, test.select("dispute_id", *C.SPEC_V2.features), "gbt", "pred", "conf").collect()
+    model = ml.train_boosted(train, C.SPEC_V2, C.BoostedParams(n_estimators=3, max_depth=3))
+    out = ml.predict(model, test.select("dispute_id", *C.SPEC_V2.features), "pred", "conf").collect()
     labels = set(ml.model_labels(model))
     assert {r.pred for r in out} <= labels
     assert all(1 / len(labels) - 1e-9 <= r.conf <= 1 for r in out)
