@@ -36,10 +36,20 @@ def qualified(db: str | None, name: str) -> str:
     return f"{db}.{name}" if db else name
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, target = _folder(spark, path)
+    return files.exists(target)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder of files that nothing reads any more, on whatever file system it lies."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _folder(spark, path)
+    files.delete(target, True)
 
 
 def read_table(spark: SparkSession, db: str | None, name: str) -> DataFrame:
