@@ -24,8 +24,8 @@ Verification, in two rounds, each on whole sets:
    needed overlap are skipped, sets already connected too. Longer sets have finer
    points (a coordinate holds about four elements), which fold to the tree's; two
    points that pass the tree are compared at the finest level both have. Members without a
-   surviving partner leave before any text moves; the others are compared
-   exactly. Groups of over BLOCK members are split into all pairs of blocks, so
+   surviving partner leave before any text moves; the surviving pairs are compared
+   exactly, unless earlier links of their list have connected them. Groups of over BLOCK members are split into all pairs of blocks, so
    every pair still meets.
 
 No link between different texts is lost: both rounds together compare every
@@ -65,6 +65,7 @@ FLUSH = 1_000_000       # prefix shingles a task holds before it hands them on
 GROUPS = 256            # coordinates of a count vector in the tree
 FINER = (1024, 4096)    # coordinates of the vectors of sets with at least as many elements
 LEAF = 16               # points of an R-tree leaf, and boxes of a node
+LONG_WORD = 32          # bytes beyond which a word is hashed by a digest
 BLOCK = 500             # members of a group compared in one piece
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -101,7 +102,17 @@ def _word_hashes(data: bytes) -> np.ndarray:
     first, end = edges[0::2], edges[1::2]
     up, down = _power_tables(len(b))
     total = np.concatenate([np.zeros(1, _U), np.cumsum((b.astype(_U) + _U(1)) * up[:len(b)])])
-    return _mix((total[end] - total[first]) * down[first] + (end - first).astype(_U))
+    found = _mix((total[end] - total[first]) * down[first] + (end - first).astype(_U))
+    # a polynomial modulo 2 ** 64 has known collisions in long words, whatever its base: those get a digest
+    for i in np.flatnonzero(end - first > LONG_WORD).tolist():
+        found[i] = int.from_bytes(hashlib.blake2b(data[first[i]:end[i]], digest_size=8).digest(), "little")
+    return found
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct elements (a sort is quicker than np.unique's hashing here)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def shingles(text: str) -> np.ndarray:
@@ -120,7 +131,7 @@ def shingles(text: str) -> np.ndarray:
     s = np.full(len(w) - k + 1, k, dtype=_U)
     for i in range(k):
         s = s * _U(_BASE) + w[i:len(w) - k + 1 + i]
-    return np.unique(_mix(s))
+    return _distinct(_mix(s))
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -389,46 +400,62 @@ def _runs(batches, width: int):
         yield rows
 
 
-_SURVIVORS = "members array<struct<digest: binary, comp: binary, doc: bigint, t_hash: bigint>>"
+_SURVIVORS = ("members array<struct<digest: binary, comp: binary, doc: bigint, t_hash: bigint>>, "
+              "pairs array<struct<a: int, b: int>>")
 
 
 def _prune(batches):
     """Rows sorted by group: the members that the count vectors cannot part, in lists that hang together.
 
     Only points move here, not texts. A list holds at least two members of
-    different components; pairs that no list holds together cannot link."""
+    different components, sorted by digest, and the pairs of places that the vectors
+    cannot part; no other pair can link. Whether they part a pair depends on its two vectors alone, so equal
+    lists have equal pairs."""
     kind = pa.list_(pa.struct([("digest", pa.binary()), ("comp", pa.binary()), ("doc", pa.int64()),
                                ("t_hash", pa.int64())]))
     for rows in _runs(batches, 7):
         rows.sort(key=lambda r: r[0])
         comps = [r[1] for r in rows]
         points, sizes = [_unpack_point(r[5]) for r in rows], np.array([r[4] for r in rows])
-        tree, parent, kept = CountTree(points, sizes), {}, set()
+        tree, parent, found = CountTree(points, sizes), {}, []
         for i in range(len(rows)):
             for j in tree.search(points[i], int(sizes[i])).tolist():
                 if j < i and comps[i] != comps[j]:
-                    kept |= {i, j}
+                    found.append((j, i))
                     parent[_root(parent, i)] = _root(parent, j)
         lists: dict[int, list] = {}
-        for i in sorted(kept):
-            lists.setdefault(_root(parent, i), []).append(
-                {"digest": rows[i][0], "comp": comps[i], "doc": rows[i][2], "t_hash": rows[i][3]})
+        place: dict[int, int] = {}
+        for i in sorted({i for pair in found for i in pair}):
+            mine = lists.setdefault(_root(parent, i), [])
+            place[i] = len(mine)
+            mine.append({"digest": rows[i][0], "comp": comps[i], "doc": rows[i][2], "t_hash": rows[i][3]})
+        pairs: dict[int, list] = {}
+        for a, b in sorted(found):
+            pairs.setdefault(_root(parent, a), []).append({"a": place[a], "b": place[b]})
         if lists:
-            yield pa.RecordBatch.from_arrays([pa.array(list(lists.values()), kind)], ["members"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(lists.values()), kind),
+                 pa.array([pairs[k] for k in lists], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
+                ["members", "pairs"])
 
 
 def _groups_join(batches):
-    """Rows sorted by list: links between members of different components, found in the tree, confirmed on sets."""
-    for rows in _runs(batches, 4):
-        digests, comps, sets = [r[0] for r in rows], [r[1] for r in rows], [_unpack(r[2]) for r in rows]
-        points, sizes, parent = [_point(x) for x in sets], np.array([len(x) for x in sets]), {}
-        tree, found = CountTree(points, sizes), []
-        for i in range(len(sets)):
-            for j in tree.search(points[i], int(sizes[i])).tolist():
-                a, b = _root(parent, comps[i]), _root(parent, comps[j])
-                if j < i and a != b and _links(sets[i], sets[j]):
-                    parent[a] = b
-                    found.append((digests[i], digests[j]))
+    """Rows sorted by list and place, the list's pairs in its first row: the components that its links connect.
+
+    A text is cut into shingles only when a pair needs it that earlier links have not connected."""
+    for rows in _runs(batches, 5):
+        member, sets, parent, found = {r[0]: r for r in rows}, {}, {}, []  # repeated rows of a text count once
+        for pair in next(r[3] for r in rows if r[3] is not None):
+            i, j = pair["a"], pair["b"]
+            a, b = _root(parent, member[i][1]), _root(parent, member[j][1])
+            if a == b:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = _unpack(member[k][2])
+            if _links(sets[i], sets[j]):
+                parent[a] = b
+                found.append((member[i][1], member[j][1]))
         yield _pair_batch(found)
 
 
@@ -533,19 +560,22 @@ def _linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # points first: most groups fall apart without a text being moved, and the rest into few distinct lists
     lists = placed.select(F.format_string("%d %d %d %d", "g1", "g2", "i", "j").alias("gid"), "digest", "comp", "t_doc",
                           "t_hash", "n", "vec").repartition("gid").sortWithinPartitions("gid") \
-                  .mapInArrow(_prune, _SURVIVORS).groupBy("members").agg(F.count("*").alias("times"))
-    listed = stored(lists.select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"),
-                                 F.explode("members").alias("m")), "jaccard-lists")
-    in_list = listed.select(F.format_string("%d %d", "g1", "g2").alias("gid"), F.col("m.digest").alias("t_digest"),
+                  .mapInArrow(_prune, _SURVIVORS).groupBy("members").agg(F.first("pairs").alias("pairs"))
+    listed = stored(lists.select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"), "pairs",
+                                 F.posexplode("members").alias("at", "m"))
+                    .withColumn("pairs", F.when(F.col("at") == 0, F.col("pairs"))), "jaccard-lists")
+    in_list = listed.select(F.format_string("%d %d", "g1", "g2").alias("gid"), "at", "pairs",
                             F.col("m.comp").alias("comp"), F.col("m.doc").alias("t_doc"),
                             F.col("m.t_hash").alias("t_hash")) \
-                    .join(shipped.hint("merge"), ["t_doc", "t_hash"]).select("gid", "t_digest", "comp", "z") \
+                    .join(shipped.hint("merge"), ["t_doc", "t_hash"]).select("gid", "at", "comp", "z", "pairs") \
                     .repartition("gid").sortWithinPartitions("gid")
-    more = stored(in_list.mapInArrow(_groups_join, "a binary, b binary"), "jaccard-links")
-    labels = components(links.union(more))
+    joined = components(stored(in_list.mapInArrow(_groups_join, "a binary, b binary"), "jaccard-links"))
 
+    # the second round joins components of the first
     placed_classes = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left") \
-                            .withColumn("comp", F.coalesce("comp", "digest"))
+                            .withColumn("comp", F.coalesce("comp", "digest")) \
+                            .join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("after")), "comp", "left") \
+                            .withColumn("comp", F.coalesce("after", "comp")).drop("after")
     lowest = placed_classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
     final = stored(placed_classes.join(lowest, "comp").select("digest", "component_id", "copies"), "jaccard-components")
     joined = join_groups(rows.where("n > 0"), final, "digest", "copies")

@@ -476,6 +476,16 @@ def test_jaccard_components(spark, seed, block, monkeypatch):
     assert got == brute_components(data)
 
 
+def test_long_words_with_equal_polynomials_stay_apart(spark):
+    """A word over a and b and its complement (each 1,024 letters) agree in every polynomial hash modulo 2 ** 64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"one two {one} three four"), (2, f"one two {two} three four")],
+                                 "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(spark, docs).collect()} == {1: 1, 2: 2}
+    assert jaccard.keep_one(spark, docs).count() == 2
+
+
 def test_jaccard_edge_rows(spark, docs, rows, none):
     assert Counter(tuple(r) for r in jaccard.similar_components(spark, docs).collect()) == brute_components(rows)
     assert jaccard.similar_components(spark, none).count() == 0
