@@ -44,7 +44,7 @@ WORD_PRIOR = 1.0            # pseudo-texts of every token, over both classes
 Z = 3.0                     # normal deviations a token's likelihood ratio must reach
 DRIFT = 0.4                 # score every token loses
 MODEL_WORDS = 50_000        # size bound of the broadcast model
-FLUSH = 400_000             # distinct tokens a task counts before it hands them on
+FLUSH = 50_000              # distinct tokens a task counts before it hands them on; the sums behind it merge them
 BIN = 0.25                  # calibration histogram
 SPAN = (-60.0, 400.0)
 
@@ -120,10 +120,12 @@ def _training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # the fold is cut before the join, so held-out texts do not move
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # of equal labelled texts one row trains; only ids and digests move to find it
-    chosen = texts.select("doc_id", F.xxhash64("text").alias("h1"), F.crc32("text").alias("h2")).join(known, "doc_id") \
-                  .groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")) \
-                  .select("doc_id", "label")
-    return stored(texts.join(chosen, "doc_id").select("text", "label"), "toxic-training")
+    digests = (F.xxhash64("text").alias("h1"), F.coalesce(F.crc32("text"), F.lit(-1)).alias("h2"))
+    chosen = texts.select("doc_id", *digests).join(known, "doc_id") \
+                  .groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
+    # a doc_id may stand for several texts: its text is found by the digests as well, and once if rows repeat
+    found = texts.select("doc_id", "text", *digests).join(chosen, ["doc_id", "h1", "h2"])
+    return stored(found.dropDuplicates(["doc_id", "h1", "h2"]).select("text", "label"), "toxic-training")
 
 
 def _word_scores(train: DataFrame) -> tuple[dict[str, float], dict[str, int], int]:
