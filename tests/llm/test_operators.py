@@ -196,6 +196,29 @@ def test_binary_output_empty(spark, none):
 
 # ---------------------------------------------------------------- 3, 4, 8: models
 
+def test_training_rows_of_repeated_ids(spark):
+    """Two texts under one labelled id are two training rows, equal texts one, repeated rows one."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    a, b, c, d = ids[:4]
+    docs = spark.createDataFrame([(a, "x one"), (a, "y two"), (b, "x one"), (c, "z"), (c, "z"), (d, None), (d, None)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in (a, b, c, d)], "doc_id long, toxic int")
+    got = Counter((r["text"], r["label"]) for r in toxicity._training_rows(docs, labels).collect())
+    assert got == Counter([("x one", 1), ("y two", 1), ("z", 1), (None, 1)])
+
+
+def test_word_counts_do_not_depend_on_the_flush(spark, monkeypatch):
+    texts = [(f"w{i % 7} w{i % 11} common w{i}", i % 2) for i in range(200)]
+    frame = spark.createDataFrame(texts, "text string, label int").repartition(3)
+    found = []
+    for flush in (1, 5, 50_000):
+        monkeypatch.setattr(toxicity, "FLUSH", flush)
+        found.append(toxicity._word_scores(frame))
+    want = Counter(w for t, y in texts if not y for w in set(t.split()))
+    assert found[0] == found[1] == found[2] and found[0][2] == sum(want.values())
+    assert all(want[w] == n for w, n in found[0][1].items())
+
+
 def brute_segments(v):
     """Maximal scoring segments by their definition: the best one, then left and right of it."""
     out = []
@@ -425,6 +448,27 @@ def test_exact_index_persists(spark, docs, rows):
     spark.sql(f"DROP TABLE {index}")
 
 
+def test_exact_counts_add_up_over_batches(spark):
+    index, sizes = exact.fresh_index(spark), []
+    for k, copies in enumerate((2, 3, 1)):
+        batch = spark.createDataFrame([(10 * k + i, "same") for i in range(copies)] + [(10 * k + 9, f"new {k}")],
+                                      "doc_id long, text string")
+        got = exact.dedup(spark, batch, index).collect()
+        sizes.append({r["group_size"] for r in got if r["doc_id"] % 10 < 9})
+        assert {r["keep_id"] for r in got if r["doc_id"] % 10 < 9} == {1}
+        assert {r["doc_id"] for r in got if r["kept"]} == ({1, 9} if not k else {10 * k + 9})
+    assert sizes == [{2}, {5}, {6}]
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert exact.dedup(spark, empty, index).count() == 0
+    assert {r["n"] for r in exact.read_index(spark, index).collect()} == {6, 1}
+    plan = exact.read_index(spark, index)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan                       # bucket to bucket
+    exact.drop_index(spark, index)
+    before = {t.name for t in spark.catalog.listTables()}
+    exact.dedup(spark, empty).count()
+    assert {t.name for t in spark.catalog.listTables()} == before  # a throwaway index leaves nothing
+
+
 def brute_components(rows):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
