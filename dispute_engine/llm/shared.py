@@ -26,12 +26,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     read a table that survives lost executors, not the lineage. The shuffle files
     of the finished write are of no more use and are removed with it."""
     spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+    path = scratch(spark, name)
+    before = spark.conf.get(CLEANUP, None) if CLEANUP in spark.conf.getAll else None
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -45,6 +45,7 @@ Z = 3.0                     # normal deviations a token's likelihood ratio must
 DRIFT = 0.4                 # score every token loses
 MODEL_WORDS = 50_000        # size bound of the broadcast model
 FLUSH = 50_000              # distinct tokens a task counts before it hands them on; the sums behind it merge them
+SLICE = 256                 # texts whose passages a task holds before it hands them on
 BIN = 0.25                  # calibration histogram
 SPAN = (-60.0, 400.0)
 
@@ -181,21 +182,22 @@ def find_passages(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
     scores = model.scores
     frame = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).alias("_text"))
 
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+
     def search(batches):
-        for batch in batches:
-            n, best, spans = [], [], []
-            for text in batch.column(1):
-                found = tokens(text.as_py())
-                values = [scores.get(w, -DRIFT) for w in found]
-                parts = segments(values)
-                n.append(len(found))
-                best.append(max((p[2] for p in parts), default=0.0))
-                spans.append([{"first": a, "end": b, "score": s} for a, b, s in parts])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(best, pa.float64()),
-                 pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()),
-                                                     ("score", pa.float64())])))],
-                ["row", "n_words", "best", "passages"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):  # the passages of a slice are held as Python objects
+                batch, n, best, spans = whole.slice(at, SLICE), [], [], []
+                for text in batch.column(1):
+                    found = tokens(text.as_py())
+                    values = [scores.get(w, -DRIFT) for w in found]
+                    parts = segments(values)
+                    n.append(len(found))
+                    best.append(max((p[2] for p in parts), default=0.0))
+                    spans.append([{"first": a, "end": b, "score": s} for a, b, s in parts])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(spans, kind)],
+                    ["row", "n_words", "best", "passages"])
 
     return frame.mapInArrow(search, T.StructType([frame.schema["row"], *_FOUND.fields]))
 
