@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+HEAVY_SHARE = 64    # a key above 1/HEAVY_SHARE of the rows is heavy
+SALTS = 64          # parts a heavy key is dealt over
+
+
 def estimated_size_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of df's optimized plan (an upper bound for scans
     and filters), or None when the estimate is unavailable."""
@@ -57,7 +61,8 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], max_bytes: in
     never match) would all hash to one shuffle partition; their first key is
     replaced by a deterministic salt of ``salt_from`` (all columns where it
     is absent) that cannot match a lookup key, so they spread over all
-    partitions. Hot non-NULL keys are split by AQE's skew-join handling.
+    partitions. Heavy keys (``heavy_keys``) are salted ``SALTS``-fold, and only their lookup rows
+    are replicated.
     """
     small = broadcast_if_small(lookup, max_bytes)
     k = keys[0]
@@ -66,11 +71,34 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], max_bytes: in
     salt_cols = [salt_from] if salt_from in df.columns else df.columns
     salt = F.concat(F.lit("\u0000null:"), F.xxhash64(*salt_cols).cast("string"))
     no_match = reduce(or_, [F.col(c).isNull() for c in keys])
-    left = df.withColumn("_jk", F.when(no_match, salt).otherwise(F.col(k)))
-    right = lookup.withColumnsRenamed({c: f"_rk_{c}" for c in keys})
+    heavy = heavy_keys(df, keys)
+
+    def is_heavy(cols):
+        return F.xxhash64(*cols).isin(heavy) if heavy else F.lit(False)
+
+    left = df.withColumns({
+        "_jk": F.when(no_match, salt).otherwise(F.col(k)),
+        "_js": F.when(is_heavy(keys), F.pmod(F.xxhash64(*salt_cols, F.lit("salt")), F.lit(SALTS)).cast("int"))
+                .otherwise(F.lit(0))})
+    copies = F.when(is_heavy(keys), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.withColumn("_rs", F.explode(copies)).withColumnsRenamed({c: f"_rk_{c}" for c in keys})
     on = reduce(and_, [F.col("_jk" if c == k else c) == F.col(f"_rk_{c}") for c in keys])
-    out = left.join(right, on, "left")
-    return out.select(*keys, *[c for c in out.columns if c not in keys and c != "_jk" and not c.startswith("_rk_")])
+    out = left.join(right, on & (F.col("_js") == F.col("_rs")), "left")
+    return out.select(*keys, *[c for c in out.columns if c not in keys and c not in ("_jk", "_js", "_rs")
+                               and not c.startswith("_rk_")])
+
+
+def heavy_keys(df: DataFrame, keys: list[str], share: int = HEAVY_SHARE) -> list[int]:
+    """Hashes of the keys (all non-NULL) that may hold more than 1/``share`` of the rows.
+
+    One pass of a frequent-items summary (mergeable, 64 x ``share`` counters). Its estimates err on the high side
+    only, by less than a tenth of the share: every key above the share is found, and at most 2 x ``share`` are returned."""
+    code = F.xxhash64(*keys).alias("code")
+    present = reduce(and_, [F.col(c).isNotNull() for c in keys])
+    size = 64 * share
+    found = df.where(present).select(code).agg(F.expr(f"approx_top_k(code, {2 * share}, {size})").alias("top"),
+                                               F.count(F.lit(1)).alias("n")).first()
+    return [r["item"] for r in found["top"] or [] if r["count"] * share > found["n"]]
 
 
 def _is_string(df: DataFrame, c: str) -> bool:

@@ -11,9 +11,12 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.io import ensure_table, qualified
+
 ModelFn = Callable[[list[str]], list[str | None]]
 
 
@@ -41,6 +44,43 @@ def batch_infer(df: DataFrame, prompt_col: str, fn_factory: Callable[[], ModelFn
     return src.mapInPandas(run, schema)
 
 
+def prompt_digest(prompt_col: str, model_name: str) -> Column:
+    """The address of a response: SHA-256 of the model's name and the prompt."""
+    return F.sha2(F.concat_ws("\u0000", F.lit(model_name), F.col(prompt_col)), 256)
+
+
+RESPONSES = "prompt_digest string, model string, llm_response string"
+
+
+def respond(df: DataFrame, prompt_col: str, fn_factory: Callable[[], ModelFn], db: str | None, table: str,
+            model_name: str, batch_size: int = 16, waves: int = 4, out_col: str = "llm_response",
+            keep: list[str] | None = None) -> DataFrame:
+    """df[keep] + ``out_col`` through a table of responses addressed by prompt digest.
+
+    Only distinct prompts that the table lacks reach the model. They go in ``waves`` (by digest), each
+    appended when it is done, so what was paid for before a failure is kept, and a
+    rerun sends the rest alone. NULL prompts are not sent and give a NULL response; a prompt that the model
+    answers with NULL counts as answered."""
+    spark = df.sparkSession
+    target = qualified(db, table)
+    ensure_table(spark, db, table, T.StructType.fromDDL(RESPONSES))
+    keep = list(keep) if keep is not None else list(df.columns)
+    asked = df.select(*[df[c] for c in keep], F.when(F.col(prompt_col).isNotNull(), prompt_digest(prompt_col, model_name))
+                      .alias("_digest"), F.col(prompt_col).alias("_prompt"))
+    unseen = asked.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.first("_prompt").alias("_prompt")) \
+                  .join(spark.table(target).select(F.col("prompt_digest").alias("_digest")), "_digest", "left_anti")
+    for wave in range(waves):
+        part = unseen.where(F.pmod(F.xxhash64("_digest"), F.lit(waves)) == wave)
+        done = batch_infer(part, "_prompt", fn_factory, batch_size, "llm_response", ["_digest"])
+        done.select(F.col("_digest").alias("prompt_digest"), F.lit(model_name).alias("model"), "llm_response") \
+            .write.mode("append").insertInto(target)
+        spark.catalog.refreshTable(target)
+    answers = spark.table(target).select(F.col("prompt_digest").alias("_digest"), F.col("llm_response").alias(out_col))
+    # the first append of a digest wins, should two runs have answered it at once
+    return asked.drop("_prompt").join(answers.groupBy("_digest").agg(F.min(out_col).alias(out_col)), "_digest", "left") \
+                .select(*keep, out_col)
+
+
 def field_echo_model() -> ModelFn:
     """A pure, deterministic stand-in model: reads the case fields of each
     prompt and answers with the JSON keys the prompt asks for."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..sources.io import qualified, write_table
 
 RUN_LOG_SCHEMA = T.StructType([
     T.StructField("experiment_id", T.StringType()),
@@ -146,6 +147,22 @@ def run_log_row(spark, *, experiment_id: str, experiment_name: str, run_id: str,
         RUN_LOG_SCHEMA)
 
 
+def rows_to_table(spark, rows: Sequence, db: str | None, name: str) -> DataFrame:
+    """Run records held on the driver (one per run of a report) as a table with the explicit schema."""
+    frame = spark.createDataFrame([tuple(r[f.name] for f in RUN_LOG_SCHEMA.fields) for r in rows], RUN_LOG_SCHEMA)
+    write_table(frame, db, name)
+    return spark.table(qualified(db, name))
+
+
+def exploded_maps(runs: DataFrame) -> DataFrame:
+    """run_id, kind, key and value (text) of every metric, parameter and tag of a run log."""
+    parts = [runs.select("run_id", F.lit(kind).alias("kind"), F.explode(column).alias("key", "v"))
+             .select("run_id", "kind", "key", (F.round("v", 6) if column == "metrics" else F.col("v"))
+                     .cast("string").alias("value"))
+             for kind, column in (("metric", "metrics"), ("param", "params"), ("tag", "tags"))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def report_text(report_rows) -> str:
     """Fixed-width text of classification-report rows (class, precision,
     recall, f1_score, support); the accuracy row shows only f1 and support."""

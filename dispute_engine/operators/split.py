@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..sources.io import qualified, write_table
 
 LONG_MIN = -(1 << 63)
 
@@ -41,6 +42,20 @@ def take_split(df: DataFrame, name: str) -> DataFrame:
     return df.filter(F.col("split") == F.lit(name))
 
 
+def write_split_tables(df: DataFrame, db: str | None, name: str, train: str, test: str, id_col: str = "dispute_id",
+                       pct: int = C.SPLIT_TRAIN_PCT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Writes ``name`` partitioned by ``split`` and publishes ``train`` and ``test`` over its two partitions.
+
+    The features are computed and stored once: train and test are views whose filter on the
+    partition column prunes the other side's files. Returns (split, train, test) as read back."""
+    spark = df.sparkSession
+    write_table(hash_split(df, id_col, pct), db, name, partition_by=["split"])
+    for view, side in ((train, "TRAIN"), (test, "TEST")):
+        spark.sql(f"CREATE OR REPLACE VIEW {qualified(db, view)} AS SELECT * FROM {qualified(db, name)} "
+                  f"WHERE split = '{side}'")
+    return tuple(spark.table(qualified(db, n)) for n in (name, train, test))
+
+
 def split_tables(df: DataFrame, id_col: str = "dispute_id", pct: int = C.SPLIT_TRAIN_PCT,
                  algo: str = "xxhash64") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(split, train, test), lazily. Write ``split`` first and read train/test

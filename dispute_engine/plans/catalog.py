@@ -89,15 +89,15 @@ SELECT dispute_id, 'CREATED' AS event_type, CAST(NULL AS VARCHAR) AS old_status,
 
 @register("sink_append_events", EVENTS_SQL)
 def _sink_append_events(spark, d):
-    """Idempotent append run twice: the log holds each CREATED event once."""
+    """Idempotent append run twice into the log partitioned by date: it holds each CREATED event once."""
     db = ensure_database(spark, CHECK_DB)
     name = f"dispute_work_events_idem_{slug(d)}"
     spark.sql(f"DROP TABLE IF EXISTS {db}.{name}")
-    io.ensure_table(spark, db, name, io.EVENTS_SCHEMA)
+    io.ensure_event_log(spark, db, name)
     ev = queue.created_events(P(spark, d).queue)
     io.append_events(ev, db, name, idempotent=True)
     io.append_events(ev, db, name, idempotent=True)
-    return io.read_table(spark, db, name)
+    return io.read_events(spark, db, name)
 
 
 @register("create_events_table", EVENTS_SQL)
@@ -146,8 +146,13 @@ FROM actionable q LEFT JOIN enriched e ON q.dispute_id = e.dispute_id""")
 
 @register("dashboard_view", DASHBOARD_SQL)
 def _dashboard_view(spark, d):
-    """Projection form (no self-join); equal to the join form for unique ids."""
-    return io.dashboard(P(spark, d).actionable)
+    """The view over the written actionable and enriched tables, as a user reads it."""
+    p, db, s = P(spark, d), ensure_database(spark, CHECK_DB), slug(d)
+    actionable, enriched, view = (f"{n}_{s}" for n in ("dash_actionable", "dash_enriched", "v_queue_dashboard"))
+    io.write_table(p.actionable, db, actionable)
+    io.write_table(p.enriched, db, enriched)
+    io.create_dashboard_view(spark, db, view, actionable, enriched, exact_join=True)
+    return spark.table(io.qualified(db, view))
 
 
 RUN_METRICS_SQL_COLS = (f"experiment_id, experiment_name, run_id, run_name, status, "
@@ -172,10 +177,23 @@ def _preview_plan_reference(spark, d):
     return io.preview(P(spark, d).t.plan_reference, 100, ["plan_id"])
 
 
-@register("rows_to_table", None)
+ROWS_TO_TABLE_SQL = O.with_ctes("""
+SELECT run_id, 'metric' AS kind, 'f1_macro' AS key, printf('%.4f', f1_macro) AS value FROM runs_latest
+WHERE f1_macro IS NOT NULL
+UNION ALL SELECT run_id, 'metric', 'roc_auc', printf('%.4f', roc_auc) FROM runs_latest WHERE roc_auc IS NOT NULL
+UNION ALL SELECT run_id, 'param', k, json_extract_string(params, '$.' || k)
+  FROM (SELECT run_id, params, unnest(json_keys(params)) AS k FROM runs_latest WHERE params IS NOT NULL) t
+UNION ALL SELECT run_id, 'tag', 'mlflow.runName', run_name FROM runs_latest""")
+
+
+@register("rows_to_table", ROWS_TO_TABLE_SQL)
 def _rows_to_table(spark, d):
-    """Flat run rows -> the canonical run-log table (maps for metrics/params/tags)."""
-    return P(spark, d).runs
+    """The latest run of each tracked name (at most 3 local rows) as a table with the explicit schema, its maps exploded."""
+    p, db = P(spark, d), ensure_database(spark, CHECK_DB)
+    picked = runs.latest_runs(runs.dedup_runs(runs.runs_named(runs.recent_runs(p.runs)))).collect()
+    table = runs.rows_to_table(spark, picked, db, f"mlflow_runs_local_{slug(d)}")
+    return runs.exploded_maps(table).withColumn("value", F.when(
+        F.col("kind") == "metric", F.format_string("%.4f", F.col("value").cast("double"))).otherwise(F.col("value")))
 
 
 @register("load_label_mapping", O.with_ctes("""
@@ -694,9 +712,14 @@ def _model_metrics(spark, d):
     return runs.model_metrics(P(spark, d).runs, experiment_id="E0")
 
 
-@register("run_time_iso", sel("runs", f"run_id, {O.iso_sql('start_time')} AS start_time_utc"))
+@register("run_time_iso", sel("(SELECT *, date_trunc('milliseconds', start_time) AS start_ms FROM runs) r",
+                              f"run_id, {O.iso_sql('start_time')} AS start_time_utc, "
+                              f"{O.iso_sql('start_ms')} AS start_time_ms_utc"))
 def _run_time_iso(spark, d):
-    return P(spark, d).runs.select("run_id", runs.iso_utc("start_time").alias("start_time_utc"))
+    """ISO text of the start time, and of the epoch milliseconds that a tracking server gives."""
+    millis = F.unix_millis(F.col("start_time").cast("timestamp"))
+    return P(spark, d).runs.select("run_id", runs.iso_utc("start_time").alias("start_time_utc"),
+                                   runs.iso_utc_from_millis(millis).alias("start_time_ms_utc"))
 
 
 @register("metric_or_null", sel("runs", "run_id, f1_macro, roc_auc, avg_precision"))

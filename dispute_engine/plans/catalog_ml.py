@@ -26,6 +26,7 @@ from .pipeline import ensure_database
 
 _MODELS: dict = {}
 LABELS_V2 = tuple(sorted(C.KEEP_REASON_CODES + (C.OTHER_REASON_CODE,)))
+LR_GRADIENT = 0.01  # the gradient at an optimum, as a share of that at zero weights
 MODEL_URIS = {"lr": "models/reason_classifier_lr_after_collapse", "xgb": "models/reason_classifier_xgboost_v2"}
 
 
@@ -100,14 +101,22 @@ def _hash_split(spark, d):
     return split.hash_split(P(spark, d).gold_v2).select("dispute_id", "split")
 
 
+def _written_split(spark, d, gold, version: str, label: str):
+    """Train and test as read back from the written split table, one partition each."""
+    db, s = ensure_database(spark, CHECK_DB), slug(d)
+    names = [f"{n}_{version}_{s}" for n in ("split_disputes", "train_disputes", "test_disputes")]
+    _, train, test = split.write_split_tables(gold, db, *names)
+    return train.select("dispute_id", label, "split").union(test.select("dispute_id", label, "split"))
+
+
 @register("split_tables_v1", sel("split_v1", "dispute_id, reason_code, split"))
 def _split_v1(spark, d):
-    return split.hash_split(P(spark, d).gold).select("dispute_id", "reason_code", "split")
+    return _written_split(spark, d, P(spark, d).gold, "v1", "reason_code")
 
 
 @register("split_tables_v2", sel("split_v2", "dispute_id, reason_code_v2, split"))
 def _split_v2(spark, d):
-    return split.hash_split(P(spark, d).gold_v2).select("dispute_id", "reason_code_v2", "split")
+    return _written_split(spark, d, P(spark, d).gold_v2, "v2", "reason_code_v2")
 
 
 @register("feature_spec", sel("gold", "dispute_id, " + ", ".join(C.SPEC_LR_V1.features) + ", reason_code"))
@@ -168,9 +177,48 @@ def _class_weights(spark, d):
     return rounded(ml.class_weights(_train_v2(spark, d), "reason_code_v2"), 6)
 
 
-@register("one_hot", None)
+def _category_ctes(cols) -> str:
+    """Per column the sorted TRAIN categories and the mode."""
+    return ",\n".join(f"""cat_{c} AS (SELECT list(v ORDER BY v) AS cats,
+  (SELECT {c} FROM train_v2 WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode
+  FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM train_v2 WHERE {c} IS NOT NULL) t)""" for c in cols)
+
+
+def _bits_sql(c: str) -> str:
+    return (f"array_to_string(list_transform(cat_{c}.cats, lambda x: CASE WHEN x = coalesce(s.{c}, cat_{c}.mode) "
+            f"THEN '1' ELSE '0' END), '')")
+
+
+def _with_extra(ctes: str, body: str) -> str:
+    """The oracle's chain with more CTEs before the final select."""
+    whole = O.with_ctes("SELECT 1 AS _last")
+    return whole[:whole.rindex("SELECT 1 AS _last")].rstrip() + ",\n" + ctes + "\n" + body
+
+
+ONE_HOT_SQL = _with_extra(_category_ctes(C.CATEGORICAL_V2), "SELECT s.dispute_id, " + ", ".join(
+    f"{_bits_sql(c)} AS onehot_{c}" for c in C.CATEGORICAL_V2) + " FROM split_v2 s, " + ", ".join(
+    f"cat_{c}" for c in C.CATEGORICAL_V2) + " WHERE s.split = 'TEST'")
+
+_SCALED = ", ".join(f"round((coalesce(CAST(s.{c} AS DOUBLE), stats.med_{c}) - stats.mean_{c}) / "
+                    f"CASE WHEN stats.std_{c} > 0 THEN stats.std_{c} ELSE 1 END, 6) AS n_{c}" for c in C.NUMERIC_FEATURES)
+ASSEMBLE_SQL = _with_extra(_category_ctes(C.CATEGORICAL_V2) + """,
+meds AS (SELECT """ + ", ".join(f"median(CAST({c} AS DOUBLE)) AS med_{c}" for c in C.NUMERIC_FEATURES) + """ FROM train_v2),
+stats AS (SELECT """ + ", ".join(
+    f"first(med_{c}) AS med_{c}, avg(coalesce(CAST({c} AS DOUBLE), med_{c})) AS mean_{c}, "
+    f"stddev_pop(coalesce(CAST({c} AS DOUBLE), med_{c})) AS std_{c}" for c in C.NUMERIC_FEATURES)
+    + " FROM train_v2, meds)", f"SELECT s.dispute_id, {_SCALED}, " + " || ".join(_bits_sql(c) for c in C.CATEGORICAL_V2)
+    + " AS onehots FROM split_v2 s, stats, " + ", ".join(f"cat_{c}" for c in C.CATEGORICAL_V2)
+    + " WHERE s.split = 'TEST'")
+
+
+def _bits(vector):
+    """A 0/1 vector as text, one digit an element."""
+    return F.array_join(F.transform(vector, lambda v: v.cast("int").cast("string")), "")
+
+
+@register("one_hot", ONE_HOT_SQL)
 def _one_hot(spark, d):
-    """Imputation + indexing + one-hot fitted on TRAIN, applied to TEST (unseen -> zeros)."""
+    """Imputation + indexing + one-hot fitted on TRAIN, applied to TEST (unseen -> zeros); vectors as 0/1 text."""
     train, test = _splits(spark, d)
     spec = C.SPEC_V2
     prep = ml.fit_prep(train, spec, scale=False)
@@ -178,16 +226,20 @@ def _one_hot(spark, d):
     from pyspark.ml import Pipeline
     model = Pipeline(stages=stages).fit(train)
     out = model.transform(test)
-    return out.select("dispute_id", *[vector_to_array(f"_o_{c}").alias(f"onehot_{c}") for c in spec.categorical])
+    return out.select("dispute_id", *[_bits(vector_to_array(f"_o_{c}")).alias(f"onehot_{c}") for c in spec.categorical])
 
 
-@register("assemble", None)
+@register("assemble", ASSEMBLE_SQL)
 def _assemble(spark, d):
+    """The assembled vector, read by position: scaled numerics as columns, all one-hot elements as 0/1 text."""
     train, test = _splits(spark, d)
     spec = C.SPEC_V2
     from pyspark.ml import Pipeline
     model = Pipeline(stages=ml.feature_stages(spec, ml.fit_prep(train, spec, scale=True))).fit(train)
-    return model.transform(test).select("dispute_id", vector_to_array("features").alias("features"))
+    x, n = F.col("x"), len(spec.numeric)
+    return model.transform(test).select("dispute_id", vector_to_array("features").alias("x")).select(
+        "dispute_id", *[F.round(x[i], 6).alias(f"n_{c}") for i, c in enumerate(spec.numeric)],
+        _bits(F.slice(x, n + 1, F.size(x) - n)).alias("onehots"))
 
 
 # ---------------------------------------------------------------- training and scoring (rows-only)
@@ -216,6 +268,31 @@ def _train_lr_collapsed(spark, d):
     return _test_predictions(spark, d, "lr_collapsed", True, C.SPEC_V2)
 
 
+_OPTIMA = (("lr_v1", "gold", "split_v1", C.SPEC_LR_V1), ("lr_balanced", "gold", "split_v1", C.SPEC_LR_BALANCED),
+           ("lr_collapsed", "gold_v2", "split_v2", C.SPEC_V2))
+
+
+def _optimum_sql(name: str, source: str, spec) -> str:
+    categories = " + ".join(f"count(DISTINCT {c})" for c in spec.categorical)
+    return (f"SELECT '{name}' AS model, count(*) AS train_rows, count(DISTINCT {spec.label}) AS classes, "
+            f"{len(spec.numeric)} + {categories} AS features, true AS optimal FROM {source} "
+            f"WHERE split = 'TRAIN' AND {spec.label} IS NOT NULL")
+
+
+@register("train_lr_optimum", O.with_ctes("\nUNION ALL\n".join(_optimum_sql(n, s, spec) for n, _, s, spec in _OPTIMA)))
+def _train_lr_optimum(spark, d):
+    """Certificate of each logistic fit: the gradient of its penalised loss over TRAIN, as one aggregation, has nearly
+    vanished at the fitted weights (against its size at zero weights)."""
+    rows = []
+    for name, _, _, spec in _OPTIMA:
+        train, _ = _splits(spark, d, v2=name == "lr_collapsed")
+        model, params = _model(spark, d, name), _MODEL_SPECS[name][1]
+        at_fit, at_zero = ml.lr_gradient(model, train, spec, params)
+        rows.append((name, train.where(F.col(spec.label).isNotNull()).count(), len(ml.model_labels(model)),
+                     int(model.stages[-1].numFeatures), at_fit <= LR_GRADIENT * at_zero))
+    return spark.createDataFrame(rows, "model string, train_rows long, classes long, features long, optimal boolean")
+
+
 @register("train_boosted_trees", None)
 def _train_boosted(spark, d):
     return _test_predictions(spark, d, "boosted", True, C.SPEC_V2)
@@ -256,11 +333,12 @@ def _scored_disputes(spark, d):
     return _scored(spark, d)
 
 
-@register("score_metadata", sel("scored_fixture", f"dispute_id, scored_at_utc, '{MODEL_URIS['lr']}' AS lr_model_uri, "
-                                                  f"'{MODEL_URIS['xgb']}' AS xgb_model_uri"))
+@register("score_metadata", sel("gold_v2", f"dispute_id, '{C.FIXED_RUN_TS.replace(' ', 'T')}.000000+00:00' AS scored_at_utc, "
+                                           f"'{MODEL_URIS['lr']}' AS lr_model_uri, '{MODEL_URIS['xgb']}' AS xgb_model_uri"))
 def _score_metadata(spark, d):
-    return P(spark, d).t.scored.select("dispute_id", "scored_at_utc", F.lit(MODEL_URIS["lr"]).alias("lr_model_uri"),
-                                       F.lit(MODEL_URIS["xgb"]).alias("xgb_model_uri"))
+    """The scoring time and model URIs that ``ml.score`` adds to every scored row."""
+    return ml.with_score_metadata(P(spark, d).gold_v2.select("dispute_id"), MODEL_URIS["lr"], MODEL_URIS["xgb"],
+                                  ts=C.FIXED_RUN_TS)
 
 
 def log_run(spark, d, model_name: str, run_name: str, params: dict, labels: list[str] | None = None):
@@ -305,14 +383,15 @@ def _run_log_append(spark, d):
     spark.sql(f"DROP TABLE IF EXISTS {db}.{name}")
     lr = log_run(spark, d, "lr_collapsed", C.RUN_LR_COLLAPSED,
                  {"label_col": C.SPEC_V2.label, "max_iter": C.LR_BALANCED.max_iter, "class_weight": "balanced"})
-    io.write_table(lr, db, name, mode="append")
+    for _ in range(2):  # a repeated append adds nothing
+        io.append_keyed(lr, db, name, ["run_id"])
     bp = C.BoostedParams()
     classes = ml.model_labels(_model(spark, d, "boosted"))
     boosted = log_run(spark, d, "boosted", C.RUN_BOOSTED, {
         "label_col": C.SPEC_V2.label, "classes": ",".join(classes), "n_classes": len(classes),
         "max_depth": bp.max_depth, "n_estimators": bp.n_estimators, "learning_rate": bp.learning_rate,
         "subsample": bp.subsample, "colsample_bytree": bp.colsample_bytree, "tree_method": "hist"}, classes)
-    io.write_table(boosted, db, name, mode="append")
+    io.append_keyed(boosted, db, name, ["run_id"])
     return io.read_table(spark, db, name)
 
 
@@ -379,8 +458,32 @@ def _confusion(spark, d):
 
 # ---------------------------------------------------------------- 2.M inference
 
-@register("batch_infer", None)
+def _field_sql(name: str) -> str:
+    return f"nullif(regexp_extract(llm_prompt, '(?m)^- {name}: (.*)$', 1), '')"
+
+
+def _between_sql(start: str, end: str) -> str:
+    """The text after the first ``start``, up to the first ``end`` behind it."""
+    after = f"substr(llm_prompt, strpos(llm_prompt, {start}) + length({start}))"
+    return f"split_part({after}, {end}, 1)"
+
+
+BATCH_INFER_SQL = O.with_ctes(f"""
+SELECT dispute_id, CASE WHEN llm_prompt IS NULL THEN NULL ELSE
+  '{{"missing_info": [' || array_to_string(list_filter([
+      CASE WHEN {_field_sql("days_to_submit")} IS NULL THEN '"days_to_submit"' END,
+      CASE WHEN {_field_sql("timely_flag")} IS NULL THEN '"timely_flag"' END], lambda x: x IS NOT NULL), ', ')
+  || '], "next_steps": ' || to_json({_between_sql("'Recommended action:' || chr(10)", "chr(10) || chr(10)")})
+  || ', "rationale": ' || to_json({_between_sql("'Evidence:' || chr(10)", "chr(10) || chr(10) || 'Rules:'")})
+  || ', "risk_level": ' || CASE {_field_sql("priority")} WHEN 'P1' THEN '"high"' WHEN 'P2' THEN '"medium"' ELSE '"low"' END
+  || ', "summary": ' || to_json('Predicted ' || coalesce({_field_sql("predicted_reason")}, 'unknown') || ' at confidence '
+      || coalesce({_field_sql("confidence")}, '?')) || '}}' END AS llm_response
+FROM prompts""")
+
+
+@register("batch_infer", BATCH_INFER_SQL)
 def _batch_infer(spark, d):
-    """Every prompt through a deterministic local stand-in model (no network)."""
-    prompts = P(spark, d).prompts
-    return infer.batch_infer(prompts, "llm_prompt", infer.field_echo_model, batch_size=16, keep=["dispute_id"])
+    """Every prompt through a deterministic local stand-in model (no network), by way of the response table."""
+    db, table = ensure_database(spark, CHECK_DB), f"llm_responses_{slug(d)}"
+    return infer.respond(P(spark, d).prompts, "llm_prompt", infer.field_echo_model, db, table, "field-echo",
+                         batch_size=16, keep=["dispute_id"])

@@ -8,6 +8,7 @@ executor re-runs at most one stage.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,21 +88,77 @@ def ensure_table(spark: SparkSession, db: str | None, name: str, schema: T.Struc
     spark.sql(f"CREATE TABLE IF NOT EXISTS {qualified(db, name)} ({cols}) USING {fmt}")
 
 
+EVENT_DATE = "event_date"
+
+
+def ensure_event_log(spark: SparkSession, db: str | None, name: str, fmt: str = DEFAULT_FORMAT) -> None:
+    """The event log as a table partitioned by the date of the event (read it with ``read_events``)."""
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString().upper()}" for f in EVENTS_SCHEMA.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {qualified(db, name)} ({cols}, {EVENT_DATE} DATE) USING {fmt} "
+              f"PARTITIONED BY ({EVENT_DATE})")
+
+
+def read_events(spark: SparkSession, db: str | None, name: str) -> DataFrame:
+    """The log's event columns, whether or not it is partitioned by date."""
+    return read_table(spark, db, name).select([f.name for f in EVENTS_SCHEMA.fields])
+
+
+def logged_on_dates_of(batch: DataFrame, log: DataFrame, ts_col: str = "event_ts") -> DataFrame:
+    """The rows of a date-partitioned ``log`` on the dates that ``batch`` holds; other partitions are not read.
+
+    The dates of one batch are collected (one value per day) and become partition filters."""
+    days = [r["day"] for r in batch.select(F.to_date(ts_col).alias("day")).distinct().collect()]
+    known = [F.lit(d) for d in days if d is not None]
+    wanted = F.col(EVENT_DATE).isin(known) if known else F.lit(False)
+    return log.where(wanted | F.col(EVENT_DATE).isNull() if None in days else wanted)
+
+
 def append_events(df: DataFrame, db: str | None, name: str,
                   key_cols: Sequence[str] = ("dispute_id", "event_type", "event_ts"),
                   idempotent: bool = False) -> None:
     """Append event rows; ``idempotent`` skips rows whose key is already logged.
 
     The default keeps the plain append (a rerun duplicates events). The
-    idempotent path is a left-anti join against the existing log on the key
-    columns, a sort-merge join at scale.
+    idempotent path is a left-anti join on the key columns, a sort-merge join at scale. In a log
+    partitioned by date it reads only the dates of the batch (the key must then hold the event's time).
     """
     spark = df.sparkSession
     target = qualified(db, name)
+    by_date = spark.catalog.tableExists(target) and EVENT_DATE in spark.table(target).columns
     if idempotent and spark.catalog.tableExists(target):
-        existing = spark.table(target).select(*key_cols)
-        df = df.join(existing, on=list(key_cols), how="left_anti")
-    df.select([f.name for f in EVENTS_SCHEMA.fields]).write.mode("append").insertInto(target)
+        existing = spark.table(target)
+        if by_date and "event_ts" in key_cols:
+            existing = logged_on_dates_of(df, existing)
+        df = df.join(existing.select(*key_cols), on=list(key_cols), how="left_anti")
+    out = df.select([f.name for f in EVENTS_SCHEMA.fields])
+    if by_date:
+        out = out.withColumn(EVENT_DATE, F.to_date("event_ts"))
+        out.write.mode("append").partitionBy(EVENT_DATE).saveAsTable(target)
+    else:
+        out.write.mode("append").insertInto(target)
+
+
+def append_keyed(df: DataFrame, db: str | None, name: str, keys: Sequence[str], fmt: str = DEFAULT_FORMAT) -> int:
+    """Append the rows whose key the table lacks, safe to repeat; returns how many were new.
+
+    The rows are staged in a table of their own first, so they are computed once, and the publish is one
+    insert of the staged rows that a left-anti join on the keys lets through. A call that failed
+    after its publish adds nothing when repeated; one that failed before leaves the target as it was.
+    """
+    spark = df.sparkSession
+    target, stage = qualified(db, name), qualified(db, f"{name}_stage_{uuid.uuid4().hex}")
+    df.dropDuplicates(list(keys)).write.format(fmt).saveAsTable(stage)
+    try:
+        fresh = spark.table(stage)
+        if spark.catalog.tableExists(target):
+            same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+            fresh = fresh.alias("s").join(spark.table(target).select(*keys).alias("t"), same, "left_anti")
+        count = fresh.count()
+        if count or not spark.catalog.tableExists(target):
+            fresh.write.format(fmt).mode("append").saveAsTable(target)
+        return count
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {stage}")
 
 
 def resolve_source(spark: SparkSession, db: str | None, candidates: Iterable[str]) -> str:
