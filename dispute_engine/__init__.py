@@ -2,8 +2,7 @@
 
 Layers: ``sources`` (inputs, catalog I/O), ``functions`` (column
 expressions), ``operators`` (DataFrame -> DataFrame steps), ``plans``
-(pipeline composition, query catalog, SQL oracle), ``streaming`` (none:
-the pipeline is batch only).
+(pipeline composition, training step, query catalog, SQL oracle).
 """
 
 __version__ = "0.1.0"

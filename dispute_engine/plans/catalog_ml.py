@@ -16,18 +16,16 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import infer, metrics, ml, split
-from ..operators import runs as runs_mod
-from ..operators.runs import run_log_row
 from ..session import checkpoint_dir
 from ..sources import io
 from . import oracle as O
 from .catalog import CHECK_DB, P, register, rounded, sel, slug
 from .pipeline import ensure_database
+from .training import LR_RUN_PARAMS, MODEL_URIS, boosted_run_params, evaluation_row
 
 _MODELS: dict = {}
 LABELS_V2 = tuple(sorted(C.KEEP_REASON_CODES + (C.OTHER_REASON_CODE,)))
 LR_GRADIENT = 0.01  # the gradient at an optimum, as a share of that at zero weights
-MODEL_URIS = {"lr": "models/reason_classifier_lr_after_collapse", "xgb": "models/reason_classifier_xgboost_v2"}
 
 
 def _train_v2(spark, d):
@@ -352,26 +350,8 @@ def log_run(spark, d, model_name: str, run_name: str, params: dict, labels: list
     db = ensure_database(spark, CHECK_DB)
     table = f"run_predictions_{model_name}_{slug(d)}"
     io.write_table(_test_predictions(spark, d, model_name, True, spec), db, table)
-    return _run_row(spark, d, model_name, run_name, params, labels, spec, io.read_table(spark, db, table))
-
-
-def _run_row(spark, d, model_name, run_name, params, labels, spec, preds):
-    rep = metrics.classification_report(preds, spec.label, "prediction_label").collect()
-    per_class = [r for r in rep if r["class"] not in ("accuracy", "macro avg", "weighted avg")]
-    f1 = sum(r["f1_score"] for r in per_class) / max(len(per_class), 1)
-    if labels is None:
-        labels = sorted(r[spec.label] for r in preds.select(spec.label).distinct().collect())
-    cm = metrics.confusion(preds, spec.label, "prediction_label", labels).collect()
-    model_labels = ml.model_labels(_model(spark, d, model_name))
-    mapping = "class_index,class_name\n" + "".join(f"{i},{c}\n" for i, c in enumerate(model_labels))
-    order = {c: i for i, c in enumerate(sorted(r["class"] for r in per_class))}
-    rep_sorted = sorted(per_class, key=lambda r: order[r["class"]]) + [r for r in rep if r not in per_class]
-    return run_log_row(spark, experiment_id="E-local", experiment_name="dispute_reason_classifier",
-                       run_id=f"run-{slug(d)}-{model_name}", run_name=run_name, status="FINISHED",
-                       start_time=None, end_time=None, metrics={"f1_macro": f1}, params=params,
-                       artifacts={"classification_report.txt": runs_mod.report_text(rep_sorted),
-                                  "confusion_matrix.csv": runs_mod.confusion_csv(cm, labels),
-                                  "label_mapping.csv": mapping})
+    return evaluation_row(spark, io.read_table(spark, db, table), spec.label, ml.model_labels(_model(spark, d, model_name)),
+                          f"run-{slug(d)}-{model_name}", run_name, params, labels)
 
 
 @register("run_log_append", None)
@@ -381,16 +361,11 @@ def _run_log_append(spark, d):
     db = ensure_database(spark, CHECK_DB)
     name = f"ml_runs_{slug(d)}"
     spark.sql(f"DROP TABLE IF EXISTS {db}.{name}")
-    lr = log_run(spark, d, "lr_collapsed", C.RUN_LR_COLLAPSED,
-                 {"label_col": C.SPEC_V2.label, "max_iter": C.LR_BALANCED.max_iter, "class_weight": "balanced"})
+    lr = log_run(spark, d, "lr_collapsed", C.RUN_LR_COLLAPSED, LR_RUN_PARAMS)
     for _ in range(2):  # a repeated append adds nothing
         io.append_keyed(lr, db, name, ["run_id"])
-    bp = C.BoostedParams()
     classes = ml.model_labels(_model(spark, d, "boosted"))
-    boosted = log_run(spark, d, "boosted", C.RUN_BOOSTED, {
-        "label_col": C.SPEC_V2.label, "classes": ",".join(classes), "n_classes": len(classes),
-        "max_depth": bp.max_depth, "n_estimators": bp.n_estimators, "learning_rate": bp.learning_rate,
-        "subsample": bp.subsample, "colsample_bytree": bp.colsample_bytree, "tree_method": "hist"}, classes)
+    boosted = log_run(spark, d, "boosted", C.RUN_BOOSTED, boosted_run_params(C.BoostedParams(), classes), classes)
     io.append_keyed(boosted, db, name, ["run_id"])
     return io.read_table(spark, db, name)
 

@@ -17,11 +17,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import config as C
-from ..operators import actions, evidence, gold, queue, routing, silver
-from ..operators.runs import runs_from_flat
+from ..operators import actions, evidence, gold, queue, routing, silver, split
+from ..operators.runs import model_metrics, run_metrics, runs_from_flat
 from ..session import checkpoint_dir
 from ..sources import io
 from ..sources.fixtures import Inputs, inputs
+from .training import train_log_and_score
 
 
 @dataclass
@@ -122,11 +123,14 @@ def ensure_database(spark: SparkSession, db: str) -> str:
 
 
 def run_pipeline(spark: SparkSession, sf_dir: str, db: str = C.DEFAULT_DB, ts: str | None = None,
-                 buckets: int | None = None, fmt: str = C.DEFAULT_FORMAT) -> dict[str, str]:
+                 buckets: int | None = None, fmt: str = C.DEFAULT_FORMAT, train: C.BoostedParams | None = None,
+                 model_path: str | None = None) -> dict[str, str]:
     """Build every table of the DAG in order; returns {table: qualified name}.
 
     ``buckets`` (default: the session's shuffle partitions) buckets the
-    dispute-keyed tables by dispute_id.
+    dispute-keyed tables by dispute_id. With ``train`` both models are fitted on the written training
+    table, logged, and score the disputes (``model_path`` lets a cut-off fit continue); without it the
+    predictions and runs are those of the input.
     """
     ensure_database(spark, db)
     t = inputs(spark, sf_dir)
@@ -147,7 +151,20 @@ def run_pipeline(spark: SparkSession, sf_dir: str, db: str = C.DEFAULT_DB, ts: s
     rules, ndc, plan = (spark.table(out[k]) for k in ("payer_rules", "ndc_reference", "plan_reference"))
     g = write(gold.build_features(s, rules, ndc, plan), "gold_features_disputes")
     g2 = write(gold.collapse_labels(g), "gold_features_disputes_v2", bucket=True)
-    scored = write(t.scored, "predictions_disputes_scored", bucket=True)
+    for version, table in (("", g), ("_v2", g2)):
+        names = [f"{n}{version}" for n in ("gold_features_split", "train_disputes", "test_disputes")]
+        _, training, test = split.write_split_tables(table, db, *names)
+        out.update({n: io.qualified(db, n) for n in names})
+    if train is None:
+        run_log = write(runs_from_flat(t.ml_runs), "ml_runs")
+        predictions = t.scored
+    else:
+        predictions = train_log_and_score(spark, db, g2, training, test, train, "ml_runs", model_path, ts=ts)
+        out["ml_runs"] = io.qualified(db, "ml_runs")
+        run_log = spark.table(out["ml_runs"])
+    write(run_metrics(run_log), "mlflow_run_metrics")
+    write(model_metrics(run_log), "model_metrics_reason_classifier")
+    scored = write(predictions, "predictions_disputes_scored", bucket=True)
     routed = write(routing.route(scored, ts=ts), "predictions_disputes_scored_routed", bucket=True)
     src = spark.table(io.resolve_source(spark, db, ["predictions_disputes_scored_routed",
                                                    "predictions_disputes_scored"]))
@@ -174,15 +191,18 @@ def run_pipeline(spark: SparkSession, sf_dir: str, db: str = C.DEFAULT_DB, ts: s
 
 
 def main(argv: list[str] | None = None) -> None:
-    """python -m dispute_engine.plans.pipeline SF_DIR [DB] — build every table."""
+    """python -m dispute_engine.plans.pipeline [--train] SF_DIR [DB] — build every table (--train: fit and score)."""
     import sys
 
     from ..session import get_spark
-    args = sys.argv[1:] if argv is None else argv
+    args = list(sys.argv[1:] if argv is None else argv)
+    fit = "--train" in args
+    args = [a for a in args if a != "--train"]
     if not args:
-        raise SystemExit("usage: python -m dispute_engine.plans.pipeline SF_DIR [DB]")
+        raise SystemExit("usage: python -m dispute_engine.plans.pipeline [--train] SF_DIR [DB]")
     spark = get_spark()
-    for name, table in run_pipeline(spark, args[0], db=args[1] if len(args) > 1 else C.DEFAULT_DB).items():
+    for name, table in run_pipeline(spark, args[0], db=args[1] if len(args) > 1 else C.DEFAULT_DB,
+                                    train=C.BoostedParams() if fit else None).items():
         print(f"{name}\t{table}")
 
 

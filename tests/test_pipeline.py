@@ -1,5 +1,6 @@
 """The table DAG written end to end, read back, equal to the lazy plans."""
 
+from dispute_engine import config as C
 from dispute_engine.plans.pipeline import plan_for, run_pipeline
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +46,26 @@ def test_rerun_overwrites_tables_and_appends_events(spark):
     assert spark.table(out2["dispute_work_queue"]).count() == n_queue  # overwrite
     assert spark.table(out2["dispute_evidence_top3"]).count() == spark.table(out["dispute_evidence_top3"]).count()
     assert spark.table(out2["dispute_work_events"]).count() == 2 * n_events  # plain append duplicates (D6)
+
+
+def test_run_pipeline_trains_logs_and_scores(spark):
+    small = C.BoostedParams(n_estimators=3, max_depth=4)
+    out = run_pipeline(spark, SF, db="dispute_ai_train", ts=TS, buckets=4, train=small)
+    p = plan_for(spark, SF)
+    for v in ("", "_v2"):
+        whole = spark.table(out[f"gold_features_split{v}"])
+        assert whole.count() == p.gold.count()
+        assert spark.table(out[f"train_disputes{v}"]).count() == whole.where("split = 'TRAIN'").count() > 0
+        assert spark.table(out[f"test_disputes{v}"]).count() == whole.where("split = 'TEST'").count() > 0
+    scored = spark.table(out["predictions_disputes_scored"])
+    assert scored.count() == p.gold.count() and scored.where("conf_xgb IS NULL OR conf_lr IS NULL").count() == 0
+    fixture = p.t.scored.select("dispute_id", "conf_xgb")
+    assert scored.select("dispute_id", "conf_xgb").exceptAll(fixture).count() > 0  # not the input's predictions
+    assert {r["uri"] for r in scored.selectExpr("xgb_model_uri AS uri").distinct().collect()} == {
+        "models/reason_classifier_xgboost_v2"}
+    runs = {r["run_name"]: r for r in spark.table(out["mlflow_run_metrics"]).collect()}
+    assert set(runs) == {C.RUN_LR_COLLAPSED, C.RUN_BOOSTED} and all(0 < r["f1_macro"] <= 1 for r in runs.values())
+    assert spark.table(out["model_metrics_reason_classifier"]).count() == 2
+    queue = spark.table(out["dispute_work_queue"])
+    joined = queue.join(scored.selectExpr("dispute_id", "pred_reason_xgb AS want"), "dispute_id")
+    assert joined.where("pred_reason_xgb <> want").count() == 0 and joined.count() > 0
