@@ -9,9 +9,10 @@ forward algorithm; a text's score adds the words' logs and the log prior.
 The model has at most (pieces x languages) numbers, which is its broadcast bound.
 
 Rows whose crc32(doc_id as text) mod 3 is 1 are held out. Words are
-lower-cased runs without white space, marked by a leading space and taken in
-chunks of CHUNK bytes. Words of equal length are scored together (numpy), each
-distinct word of a task once.
+lower-cased runs without white space, marked by a leading space, and whole: each distinct word of a task is
+scored once, words of equal length up to SHORT bytes together (numpy), longer ones (and texts of scripts without spaces) one by
+one with a rolling, rescaled forward sum that is linear in their length and holds as many rows as the longest
+piece has bytes.
 
 Defined results: ``und`` with score 0.0 for NULL text or text without a
 letter, and for every text when no training row exists; equal scores go to the
@@ -22,6 +23,7 @@ result; only doc_id, text and lang are read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 from .tokens import default_vocab, pieces
 
 FOLDS, HELD_OUT = 3, 1
-CHUNK = 24              # bytes of a word scored at once
+CHUNK = SHORT = 24      # bytes up to which words of equal length are scored together
+RESCALE = 8             # positions of a longer word between two rescalings
 GROUP = 8_192           # words of one length scored together
 FLUSH = 300_000         # distinct words a task holds
 SMOOTHING = 2_000.0     # pseudo-counts of the pooled distribution in each language
@@ -56,8 +59,16 @@ class PieceTable:
     BASE = 0x9E3779B97F4A7C15
 
     def __init__(self, vocab: str):
-        listed = [(i, p) for i, p in enumerate(pieces(vocab)) if 0 < len(p) <= CHUNK]
+        every = [(i, p) for i, p in enumerate(pieces(vocab)) if p]
+        listed = [(i, p) for i, p in every if len(p) <= SHORT]  # a longer piece cannot occur in a short word
         self.size = len(pieces(vocab))
+        # for long words: all pieces by their bytes, and the lengths of those that share two leading bytes
+        self.ids = {p: i for i, p in every}
+        self.longest = max((len(p) for _, p in every), default=1)
+        lengths = defaultdict(set)
+        for _, p in every:
+            lengths[p[:2]].add(len(p))
+        self.lengths = {k: sorted(v) for k, v in lengths.items()}
         self.keys = np.zeros(self.size, np.uint64)
         by_length = defaultdict(list)
         for i, p in listed:
@@ -99,6 +110,14 @@ class PieceTable:
 
         return part
 
+    def starting(self, data: bytes, i: int) -> list[tuple[int, int]]:
+        """(length, id) of every piece that ``data`` has at position i."""
+        out = [(1, self.ids[data[i:i + 1]])] if data[i:i + 1] in self.ids else []
+        for n in self.lengths.get(data[i:i + 2], ()):
+            if n > 1 and (piece := self.ids.get(data[i:i + n])) is not None and i + n <= len(data):
+                out.append((n, piece))
+        return out
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions of the keys that are pieces, their ids)."""
         where, ids = [], []
@@ -115,16 +134,16 @@ def _piece_table(vocab: str) -> PieceTable:
     return PieceTable(vocab)
 
 
-def _chunks(word: str) -> list[bytes]:
-    data = b" " + word.encode()
-    return [data[i:i + CHUNK] for i in range(0, len(data), CHUNK)]
+def _marked(word: str) -> bytes:
+    return b" " + word.encode()
 
 
-def _groups(chunks: list[bytes]):
-    """(length, positions) of chunks of equal length, GROUP at most at a time."""
+def _groups(words: list[bytes]):
+    """(length, positions) of short words of equal length, GROUP at most at a time."""
     by_length = defaultdict(list)
-    for k, c in enumerate(chunks):
-        by_length[len(c)].append(k)
+    for k, c in enumerate(words):
+        if len(c) <= SHORT:
+            by_length[len(c)].append(k)
     for n, where in by_length.items():
         for i in range(0, len(where), GROUP):
             yield n, where[i:i + GROUP]
@@ -141,7 +160,7 @@ def _edges(chunks: list[bytes], n: int, table: PieceTable):
 
 
 def expected_counts(weights: dict[bytes, float], table: PieceTable) -> np.ndarray:
-    """Expected piece counts of weighted chunks over all segmentations, every piece equally likely."""
+    """Expected piece counts of weighted words over all segmentations, every piece equally likely."""
     out, listed, p = np.zeros(table.size), list(weights), 1.0 / table.size
     for n, where in _groups(listed):
         group = [listed[k] for k in where]
@@ -155,12 +174,51 @@ def expected_counts(weights: dict[bytes, float], table: PieceTable) -> np.ndarra
         share = np.array([weights[c] for c in group]) / forward[n]
         for i, j, k, piece in edges:
             np.add.at(out, piece, forward[i, k] * backward[j, k] * p * share[k])
+    for word in listed:
+        if len(word) > SHORT:
+            _long_counts(word, weights[word], table, math.log(p), out)
     return out
 
 
+def _long_counts(word: bytes, weight: float, table: PieceTable, log_p: float, out: np.ndarray) -> None:
+    """Adds a long word's expected piece counts: log sums of the paths to and from every position, then every edge."""
+    n = len(word)
+    forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    forward[0] = backward[n] = 0.0
+    for i in range(n):
+        for length, _ in table.starting(word, i):
+            forward[i + length] = np.logaddexp(forward[i + length], forward[i] + log_p)
+    for i in range(n - 1, -1, -1):
+        for length, _ in table.starting(word, i):
+            backward[i] = np.logaddexp(backward[i], backward[i + length] + log_p)
+    for i in range(n):
+        for length, piece in table.starting(word, i):
+            out[piece] += weight * math.exp(forward[i] + log_p + backward[i + length] - forward[n])
+
+
+def _long_log_probability(word: bytes, table: PieceTable, p: np.ndarray) -> np.ndarray:
+    """log of the sum over all segmentations of a long word, for each language."""
+    rows = table.longest + 1
+    forward, scale = np.zeros((rows, p.shape[1])), np.zeros(p.shape[1])
+    forward[0] = 1.0
+    for i in range(len(word)):
+        here = forward[i % rows].copy()
+        forward[i % rows] = 0.0
+        for length, piece in table.starting(word, i):
+            forward[(i + length) % rows] += here * p[piece]
+        if i % RESCALE == RESCALE - 1:
+            most = forward.max(axis=0)
+            forward /= most
+            scale += np.log(most)
+    return np.log(forward[len(word) % rows]) + scale
+
+
 def log_probabilities(chunks: list[bytes], table: PieceTable, p: np.ndarray) -> np.ndarray:
-    """log of the sum over all segmentations, for each chunk and language; ``p``: piece x language."""
+    """log of the sum over all segmentations, for each word and language; ``p``: piece x language."""
     out = np.zeros((len(chunks), p.shape[1]))
+    for k, word in enumerate(chunks):
+        if len(word) > SHORT:
+            out[k] = _long_log_probability(word, table, p)
     for n, where in _groups(chunks):
         group = [chunks[k] for k in where]
         forward = np.zeros((n + 1, len(group), p.shape[1]))
@@ -182,11 +240,7 @@ def fit(docs: DataFrame, vocab: str) -> tuple[list[str], np.ndarray, np.ndarray]
 
         def flush():
             for lang, counted in words.items():
-                weights: Counter = Counter()
-                for w, n in counted.items():
-                    for c in _chunks(w):
-                        weights[c] += n
-                counts = expected_counts(weights, found)
+                counts = expected_counts({_marked(w): n for w, n in counted.items()}, found)
                 where = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * (len(where) + 1)), pa.array(np.append(where, -1), pa.int64()),
@@ -234,10 +288,7 @@ def identify(docs: DataFrame, vocab: str | None = None) -> DataFrame:
 
         def learn(new: list[str]):
             nonlocal logs
-            chunks = [_chunks(w) for w in new]
-            flat = log_probabilities([c for cs in chunks for c in cs], known, table)
-            starts = np.cumsum([0] + [len(cs) for cs in chunks])[:-1]
-            logs = np.concatenate([logs, np.add.reduceat(flat, starts, axis=0)])
+            logs = np.concatenate([logs, log_probabilities([_marked(w) for w in new], known, table)])
             at.update(zip(new, range(len(at), len(at) + len(new))))
 
         for batch in batches:

@@ -1,6 +1,7 @@
 """Every operator against brute force, on fixtures with NULLs, empty and long texts, ties, copies and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -337,6 +338,67 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(got[:, 0]), [total(c) for c in chunks])
 
 
+LONG_WORDS = [" internationalizationcommunications", " " + "x" * 60, " " + "日本語の文章には空白がありません" * 4,
+              " https://example.com/a/very/long/path?with=parameters&and=more#fragment", " " + "straßenbahnhaltestelle" * 9,
+              " ================================================================ah"]
+
+
+@pytest.mark.parametrize("word", LONG_WORDS)
+def test_long_words_sum_all_segmentations(word):
+    """Forward sums and expected counts of words of 30 to 200 bytes against plain sums in exact fractions."""
+    from fractions import Fraction
+    vocab = tokens.default_vocab()
+    listed = tokens.pieces(vocab)
+    known = {p: i for i, p in enumerate(listed) if p}
+    longest, data = max(map(len, known)), word.encode()
+    p = np.random.default_rng(4).random((len(listed), 2)) * 1e-4 + 1e-9
+    n = len(data)
+    edges = [(i, j, known[data[i:j]]) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if data[i:j] in known]
+    into = defaultdict(list)
+    for i, j, piece in edges:
+        into[j].append((i, piece))
+    table = langid.PieceTable(vocab)
+    got = langid.log_probabilities([data], table, p)[0]
+    for lang in (0, 1):
+        forward = [Fraction(1)] + [Fraction(0)] * n
+        for j in range(1, n + 1):
+            forward[j] = sum((forward[i] * Fraction(float(p[piece, lang])) for i, piece in into[j]), Fraction(0))
+        f = forward[n]
+        want = math.log(f.numerator >> max(0, f.numerator.bit_length() - 900)) + max(0, f.numerator.bit_length() - 900) \
+            * math.log(2) - (math.log(f.denominator >> max(0, f.denominator.bit_length() - 900))
+                             + max(0, f.denominator.bit_length() - 900) * math.log(2))
+        assert got[lang] == pytest.approx(want, rel=1e-9)
+    # expected counts with equally likely pieces
+    q = Fraction(1, table.size)
+    forward, backward = [Fraction(1)] + [Fraction(0)] * n, [Fraction(0)] * n + [Fraction(1)]
+    for i, j, _ in edges:
+        forward[j] += forward[i] * q
+    for i, j, _ in reversed(edges):
+        backward[i] += backward[j] * q
+    want = np.zeros(table.size)
+    for i, j, piece in edges:
+        want[piece] += float(3 * forward[i] * q * backward[j] / forward[n])
+    assert np.allclose(langid.expected_counts({data: 3}, table), want, rtol=1e-9, atol=1e-15)
+
+
+def test_expected_counts_of_short_words():
+    vocab = tokens.default_vocab()
+    known = {p: i for i, p in enumerate(tokens.pieces(vocab)) if p}
+    table = langid.PieceTable(vocab)
+    q, want, weights = 1.0 / table.size, np.zeros(table.size), {b" the": 2, b" ing": 1, b" h\xc3\xa4us": 5}
+
+    def paths(c):
+        return [[]] if not c else [[c[:k], *r] for k in range(1, len(c) + 1) if c[:k] in known for r in paths(c[k:])]
+
+    for word, n in weights.items():
+        found = paths(word)
+        mass = sum(q ** len(s) for s in found)
+        for s in found:
+            for piece in s:
+                want[known[piece]] += n * q ** len(s) / mass
+    assert np.allclose(langid.expected_counts(weights, table), want)
+
+
 def test_lm_scores(spark, docs, rows, labels, none, library):
     got = lm_scoring.lm_scores(docs, labels).collect()
     assert len(got) == len(rows)
