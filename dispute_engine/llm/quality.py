@@ -5,12 +5,13 @@ the six ASCII white-space characters.
 
 Method. Each text gets its measures (one projection). Mergeable quantile
 summaries (``approx_percentile``: partial summaries per task, merged after the
-shuffle) give quartiles of each rate per (lang, source); a text fails a rate
-that lies above its group's upper fence, FENCE spreads over the upper quartile.
-The spread is the distance of the quartiles; where they coincide, as for rates
-that most texts have at 0, it is the mean deviation from the median over the
-percentiles of the language. No constant stands beside the fences: what a
-group may have, its texts decide.
+shuffle) give quartiles of each rate per (lang, source), over all its texts and over those where the rate is above 0.
+A text fails a rate that lies FENCE spreads above its group's upper quartile, and the word length also FENCE spreads
+below the lower one. The spread is the distance of the quartiles. Where they coincide, as for rates that most texts have
+at 0, fence and spread come from the texts above 0: the group's, or its language's where the group
+has fewer than ENOUGH of them. Where less than RARE of a group has the rate at all, or those quartiles coincide too, the
+spread is the mean deviation of the language's percentiles from their median. No constant stands beside the
+fences: what a group may have, its texts decide.
 
 Defined results: NULL or empty text has zero words and fails the base rule;
 NULL lang or source is a group of its own; a repeated row is measured like any
@@ -32,10 +33,12 @@ WINDOW = 5
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 
-#: Adaptive rule: a rate fails above q75 + FENCE * spread; no upper fence lies below its floor, which is the least
-#: value the rate can have, so only learned values decide.
-FENCE = 6.0
-FLOORS = {"symbol_rate": 0.0, "dup_line_rate": 0.0, "repeat_rate": 0.0, "word_length": 0.0}
+#: Adaptive rule: FENCE spreads from the quartile ("far out" in the usual box plot).
+FENCE = 3.0
+RARE = 0.02             # a rate that a smaller share of the group has at all is unusual there
+ENOUGH = 25             # texts above 0 that a group needs for quartiles of its own
+RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
+LOWER = ("word_length",)  # rates that have a lower fence as well
 GRID = [i / 100 for i in range(1, 100)]
 QUANTILE_ACCURACY = 10_000
 
@@ -111,18 +114,32 @@ def _deviation(grid: Column) -> Column:
 
 
 def thresholds(measured: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Upper fence of each rate per group, from quantile summaries over every row
+    """Fences of each rate per group (``max_`` and, for LOWER, ``min_``), from quantile summaries over every row
     that passes the base rule; ``by[0]`` is the language."""
     frame = measured.where(~base_failed()).select(*by, *[c.alias(k) for k, c in rates().items()])
-    agg = frame.groupBy(*by).agg(*[F.percentile_approx(k, [0.25, 0.75], QUANTILE_ACCURACY).alias(k) for k in FLOORS])
-    wide = frame.groupBy(F.col(by[0]).alias("_lang")).agg(
-        *[F.percentile_approx(k, GRID, QUANTILE_ACCURACY).alias(f"_{k}") for k in FLOORS])
+
+    def summaries(prefix: str, whole: list[float]):
+        for k in RATES:
+            above = F.when(F.col(k) > 0, F.col(k))
+            yield F.percentile_approx(k, whole, QUANTILE_ACCURACY).alias(f"{prefix}{k}")
+            yield F.percentile_approx(above, [0.25, 0.75], QUANTILE_ACCURACY).alias(f"{prefix}above_{k}")
+            yield F.count(above).alias(f"{prefix}n_{k}")
+
+    agg = frame.groupBy(*by).agg(F.count("*").alias("n"), *summaries("", [0.25, 0.75]))
+    wide = frame.groupBy(F.col(by[0]).alias("_lang")).agg(*summaries("_", GRID))
     agg = agg.join(wide, F.col(by[0]).eqNullSafe(F.col("_lang")))
     out = []
-    for k in FLOORS:
+    for k in RATES:
         low, high = F.col(k)[0], F.col(k)[1]
-        spread = F.when(high > low, high - low).otherwise(_deviation(F.col(f"_{k}")))
-        out.append(F.greatest(high + FENCE * spread, F.lit(FLOORS[k])).alias(f"max_{k}"))
+        own = F.col(f"n_{k}") >= ENOUGH
+        above = F.when(own, F.col(f"above_{k}")).otherwise(F.col(f"_above_{k}"))
+        usual = (F.col(f"n_{k}") >= RARE * F.col("n")) & (above[1] > above[0])
+        far = _deviation(F.col(f"_{k}"))
+        out.append(F.when(high > low, high + FENCE * (high - low))
+                    .when(usual, above[1] + FENCE * (above[1] - above[0]))
+                    .otherwise(high + FENCE * far).alias(f"max_{k}"))
+        if k in LOWER:
+            out.append(F.when(high > low, low - FENCE * (high - low)).otherwise(low - FENCE * far).alias(f"min_{k}"))
     return agg.select(*by, *out)
 
 
@@ -134,7 +151,7 @@ def judge(measured: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> Data
     broadcasts it while it is under its own limit, and beyond it the rows of a
     group are salted over SALTS copies of the group's fence row."""
     fences = stored(thresholds(measured, by), "quality-fences")
-    names = [f"max_{k}" for k in FLOORS]
+    names = [f"max_{k}" for k in RATES] + [f"min_{k}" for k in LOWER]
     salt = F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols", "doc_key"), F.lit(SALTS)).cast("int")
     left = measured.withColumn("_salt", salt)
     right = fences.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
@@ -145,6 +162,8 @@ def judge(measured: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> Data
     failed = F.lit(False)
     for k, c in rates().items():
         failed = failed | F.coalesce(c > F.col(f"max_{k}"), F.lit(False))
+        if k in LOWER:
+            failed = failed | F.coalesce(c < F.col(f"min_{k}"), F.lit(False))
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~failed) \
                  .drop(*names)
 

@@ -669,6 +669,63 @@ def brute_quality(text):
             len(covered))
 
 
+def brute_kept(rows):
+    """Ids of the rows that pass the base rule and every fence, by exact quantiles."""
+    passed = []
+    for r in rows:
+        m = brute_quality(r[1])
+        if m[0] >= 10 and 100 * m[4] <= 20 * m[0]:
+            passed.append((r[0], r[2], r[3], (m[2] / m[0], m[3] / m[0] * 10, m[4] / m[0], m[1] / m[0])))
+
+    def rank(values, p):
+        return sorted(values)[max(0, math.ceil(round(len(values) * p, 9)) - 1)]
+
+    def fence(k, group, language):
+        q1, q3 = rank(group, 0.25), rank(group, 0.75)
+        lower = k == 3
+        if q3 > q1:
+            return q1 - quality.FENCE * (q3 - q1) if lower else -1, q3 + quality.FENCE * (q3 - q1)
+        grid = [rank(language, i / 100) for i in range(1, 100)]
+        far = sum(abs(q - grid[49]) for q in grid) / 99
+        above = [v for v in group if v > 0]
+        pool = above if len(above) >= quality.ENOUGH else [v for v in language if v > 0]
+        least = q1 - quality.FENCE * far if lower else -1
+        if pool and len(above) >= quality.RARE * len(group) and rank(pool, 0.75) > rank(pool, 0.25):
+            return least, rank(pool, 0.75) + quality.FENCE * (rank(pool, 0.75) - rank(pool, 0.25))
+        return least, q3 + quality.FENCE * far
+
+    kept = set()
+    for doc_id, lang, source, mine in passed:
+        good = True
+        for k in range(4):
+            low, high = fence(k, [x[3][k] for x in passed if x[1:3] == (lang, source)],
+                              [x[3][k] for x in passed if x[1] == lang])
+            good &= low <= mine[k] <= high
+        if good:
+            kept.add(doc_id)
+    return kept
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fences_of_rates_that_are_mostly_zero(spark, seed):
+    """Groups with few, some and many texts above 0, one group alone in its language, NULL groups: against exact quantiles."""
+    rng, rows = random.Random(seed), []
+    for lang, source, n, share in (("en", "a", 60, 0.5), ("en", "b", 60, 0.02), ("en", "c", 12, 0.3), ("de", "a", 40, 0.0),
+                                   ("de", None, 40, 0.9), (None, "x", 30, 0.2)):
+        for _ in range(n):
+            w = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) + str(rng.randint(0, 999))
+                 for _ in range(rng.randint(40, 90))]
+            text = " ".join(w)
+            if rng.random() < share:
+                text += " " + "#" * rng.choice([1, 2, 3, 4, 60])
+            if rng.random() < share / 2:
+                text += "\none line\none line" + "\none line" * rng.choice([0, 0, 0, 9])
+            rows.append((len(rows), text, lang, source))
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    kept = {r["doc_id"] for r in got.collect() if r["kept"]}
+    assert kept == brute_kept(rows) and 0 < len(kept) < len(rows)
+
+
 def test_quality_measures_and_fences(spark, docs, rows, none):
     got = quality.quality_rules(docs).collect()
     assert len(got) == len(rows)
@@ -678,23 +735,7 @@ def test_quality_measures_and_fences(spark, docs, rows, none):
         want[(r[0], *m, m[0] < 10 or 100 * m[4] > 20 * m[0])] += 1
     assert Counter(tuple(r)[:-1] for r in got) == want
     assert all(not (r["kept"] and r["base_failed"]) for r in got)
-    # the verdict by exact quartiles of each group
-    by, passed = defaultdict(list), []
-    for r in rows:
-        m = brute_quality(r[1])
-        if m[0] >= 10 and 100 * m[4] <= 20 * m[0]:
-            rates = (m[2] / m[0], m[3] / m[0] * 10, m[4] / m[0], m[1] / m[0])
-            by[(r[2], r[3])].append(rates)
-            passed.append((r[0], (r[2], r[3]), rates))
-    kept = set()
-    for doc_id, group, rates in passed:
-        good = True
-        for k, floor in enumerate(quality.FLOORS.values()):
-            values = sorted(x[k] for x in by[group])
-            q1, q3 = (values[max(0, -(-len(values) * p // 4) - 1)] for p in (1, 3))
-            good &= rates[k] <= max(q3 + quality.FENCE * (q3 - q1), floor)
-        if good:
-            kept.add(doc_id)
+    kept = brute_kept(rows)
     assert {r["doc_id"] for r in got if r["kept"]} == kept
     assert quality.quality_rules(none).count() == 0
     frame = quality.keep_good(docs)
