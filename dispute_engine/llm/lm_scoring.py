@@ -16,6 +16,10 @@ same key gives every block its pairs' totals, and those meet the block's ids to
 be scored. However often a pair occurs, it has one row per block, so no key
 holds more than one in the number of distinct pairs of a block.
 
+A text that the target was learned from is scored without its own share of it: its own pair and context counts are
+taken out of the target's (exactly, they are integers), so what moves its score is its text and not
+its label. The background holds every text, the scored one too.
+
 A text's losses are mean negative log probabilities per token (natural log);
 score = background_loss - target_loss, higher for texts like the target.
 
@@ -38,7 +42,6 @@ from pyspark.sql import functions as F
 from .shared import stored
 from .tokens import default_vocab, encoder, pieces
 
-UNIGRAMS = 1 << 16      # room for the vocabulary's ids and the start context
 BLOCK = 1 << 20         # tokens of the texts whose pairs are handed on together
 STRENGTH = 200.0        # pseudo-counts of the unigram prior after each id
 
@@ -47,21 +50,29 @@ _FOUND = "doc_id long, n_tokens long, target_loss double, background_loss double
 
 
 def _keys(ids: np.ndarray, start: int) -> np.ndarray:
-    """previous id * UNIGRAMS + id of every id; the first follows ``start``."""
-    return np.concatenate([[start], ids[:-1]]) * UNIGRAMS + ids
+    """previous id * (start + 1) + id of every id; the first follows ``start``, the number behind the vocabulary's ids."""
+    return np.concatenate([[start], ids[:-1]]) * (start + 1) + ids
+
+
+def _own(values: np.ndarray) -> np.ndarray:
+    """How often each value occurs among ``values``."""
+    _, at, n = np.unique(values, return_inverse=True, return_counts=True)
+    return n[at]
 
 
 def _hold(vocab: str, most: int):
     """Texts as ids by block, and each block's distinct pairs with their counts."""
     names = [f.split()[0] for f in _HELD.split(", ")]
 
+    room = len(pieces(vocab)) + 1
+
     def pairs(block: int, keys: list[np.ndarray]) -> pa.RecordBatch:
         both, n = np.unique(np.concatenate(keys), return_counts=True)  # 2 * key + good
         key, at = np.unique(both >> 1, return_inverse=True)
         background, target = (np.bincount(at, w, len(key)).astype(np.int64) for w in (n, n * (both & 1)))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(key), block)), pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.binary()),
-             pa.array((key // UNIGRAMS).astype(np.int32)), pa.array((key % UNIGRAMS).astype(np.int32)),
+             pa.array((key // room).astype(np.int32)), pa.array((key % room).astype(np.int32)),
              pa.array(background), pa.array(target)], names)
 
     def hold(batches):
@@ -83,7 +94,7 @@ def _hold(vocab: str, most: int):
             n = len(of)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(of, pa.int64()), batch.column(0), pa.array(held, pa.binary()),
-                 *[pa.nulls(n, pa.int32())] * 2, *[pa.nulls(n, pa.int64())] * 2], names)
+                 *[pa.nulls(n, pa.int32())] * 2, pa.nulls(n, pa.int64()), batch.column(2).cast(pa.int64())], names)
         if keys:
             yield pairs(block, keys)
 
@@ -91,13 +102,13 @@ def _hold(vocab: str, most: int):
 
 
 def _held(docs: DataFrame, labels: DataFrame, vocab: str) -> tuple[DataFrame, DataFrame]:
-    """(block, doc_id, ids of every row of ``docs``; every block's pairs with their counts)."""
+    """(block, doc_id, ids and target (1 or 0) of every row of ``docs``; every block's pairs with their counts)."""
     good = labels.where(F.col("quality") == 1).select("doc_id").distinct().withColumn("good", F.lit(True))
     # always a sort-merge join: a broadcast that only small label tables get would change the plan with the size
     rows = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left") \
                .select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("good", F.lit(False)).alias("good"))
     held = stored(rows.mapInArrow(_hold(vocab, BLOCK), _HELD), "lm-held")
-    return (held.where(F.col("ids").isNotNull()).select("block", "doc_id", "ids"),
+    return (held.where(F.col("ids").isNotNull()).select("block", "doc_id", "ids", "target"),
             held.where(F.col("ids").isNull()).select("block", "previous", "id", "background", "target"))
 
 
@@ -107,17 +118,17 @@ def _totals(pairs: DataFrame) -> DataFrame:
                                                       F.sum("target").alias("target")), "lm-pairs")
 
 
-def _by(totals: DataFrame, key: str) -> np.ndarray:
-    """2 x UNIGRAMS counts by one side of the pairs: one row per vocabulary id reaches the driver."""
-    out = np.zeros((2, UNIGRAMS), np.int64)
+def _by(totals: DataFrame, key: str, size: int) -> np.ndarray:
+    """Counts (2 x ids and start context) by one side of the pairs: one row per vocabulary id reaches the driver."""
+    out = np.zeros((2, size + 1), np.int64)
     for r in totals.groupBy(key).agg(F.sum("background").alias("b"), F.sum("target").alias("t")).collect():
         out[:, r[key]] = r["b"], r["t"]
     return out
 
 
 def counts(docs: DataFrame, labels: DataFrame, vocab: str) -> np.ndarray:
-    """2 x UNIGRAMS counts of the ids: background and target."""
-    return _by(_totals(_held(docs, labels, vocab)[1]), "id")
+    """Counts of the ids (and, last, the start context: 0), background and target."""
+    return _by(_totals(_held(docs, labels, vocab)[1]), "id", len(pieces(vocab)))
 
 
 def _score(start: int, prior: np.ndarray, after: np.ndarray, scale: float):
@@ -134,7 +145,7 @@ def _score(start: int, prior: np.ndarray, after: np.ndarray, scale: float):
                 run = batch.slice(a, b - a)
                 if not kind[a]:
                     previous, i, *n = (run.column(c).to_numpy().astype(np.int64) for c in range(4, 8))
-                    parts.append((previous * UNIGRAMS + i, np.stack([n[0] * scale, n[1].astype(np.float64)])))
+                    parts.append((previous * (start + 1) + i, np.stack([n[0] * scale, n[1].astype(np.float64)])))
                     continue
                 if keys is None:
                     keys = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -142,7 +153,7 @@ def _score(start: int, prior: np.ndarray, after: np.ndarray, scale: float):
                     order = np.argsort(keys)
                     keys, known = keys[order], known[:, order] if parts else None
                 n_tokens, losses = [], ([], [])
-                for blob in run.column(3).to_pylist():
+                for blob, good in zip(run.column(3).to_pylist(), run.column(7).to_pylist()):
                     ids = np.frombuffer(zstandard.decompress(blob), "<u4").astype(np.int64)
                     n_tokens.append(len(ids))
                     if not len(ids):
@@ -151,8 +162,12 @@ def _score(start: int, prior: np.ndarray, after: np.ndarray, scale: float):
                         continue
                     key = _keys(ids, start)
                     at, base = np.searchsorted(keys, key), STRENGTH * prior[ids]
+                    before = key // (start + 1)
                     for row in (0, 1):
-                        p = (known[row, at] + base) / (after[row, key // UNIGRAMS] + STRENGTH)
+                        pair, context = known[row, at], after[row, before]
+                        if row and good:
+                            pair, context = pair - _own(key), context - _own(before)
+                        p = (pair + base) / (context + STRENGTH)
                         losses[row].append(float(-np.log(p).mean()))
                 background, target = (np.array(x) for x in losses)
                 yield pa.RecordBatch.from_arrays(
@@ -168,9 +183,9 @@ def lm_scores(docs: DataFrame, labels: DataFrame, vocab: str | None = None) -> D
     vocab = vocab or default_vocab()
     texts, pairs = _held(docs, labels, vocab)
     totals = _totals(pairs)
-    unigrams, after = _by(totals, "id"), _by(totals, "previous").astype(np.float64)
-    n_background, n_target = unigrams.sum(axis=1).tolist()
     size = len(pieces(vocab))
+    unigrams, after = _by(totals, "id", size), _by(totals, "previous", size).astype(np.float64)
+    n_background, n_target = unigrams.sum(axis=1).tolist()
     prior = (unigrams[0, :size] + 1.0) / (n_background + size)
     scale = n_target / n_background if n_background else 0.0
     after[0] *= scale
@@ -180,7 +195,6 @@ def lm_scores(docs: DataFrame, labels: DataFrame, vocab: str | None = None) -> D
     both = replies.select("block", F.lit(0).alias("kind"), nothing.cast("long").alias("doc_id"),
                           nothing.cast("binary").alias("ids"), "previous", "id", "background", "target").unionByName(
         texts.select("block", F.lit(1).alias("kind"), "doc_id", "ids", nothing.cast("int").alias("previous"),
-                     nothing.cast("int").alias("id"), nothing.cast("long").alias("background"),
-                     nothing.cast("long").alias("target")))
+                     nothing.cast("int").alias("id"), nothing.cast("long").alias("background"), "target"))
     return both.repartition("block").sortWithinPartitions("block", "kind") \
                .mapInArrow(_score(size, prior, after, scale), _FOUND)
