@@ -35,6 +35,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,8 +75,20 @@ def weight(df: int, n_docs: int) -> int:
 
 # ------------------------------------------------------------------ index
 
-_BLOCK = ("block long, doc_ids array<long>, n array<long>, term array<int>, df array<int>, at array<int>, "
-          "tf array<int>")
+# the long lists are compressed: a task's input then stays as small in memory as its file, one block apart
+_BLOCK = "block long, doc_ids array<long>, n array<long>, term array<int>, df array<int>, at binary, tf binary"
+
+
+def _pack(x: np.ndarray, kind) -> pa.Array:
+    return pa.array([zstandard.compress(x.astype(kind).tobytes(), 1)], pa.binary())
+
+
+def _unpack(column: pa.Array, row: int, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(column[row].as_buffer()), kind)
+
+
+def _list(column: pa.Array, row: int) -> np.ndarray:
+    return column[row].values.to_numpy(zero_copy_only=False)
 
 
 def _lists(values: list[np.ndarray], kind) -> pa.Array:
@@ -93,7 +106,8 @@ def build_index(docs: DataFrame, numbers: dict[bytes, int], text_col: str = "tex
         term, df = np.unique(key >> 32, return_counts=True)
         return pa.RecordBatch.from_arrays(
             [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), _lists([np.array(n)], pa.int64()),
-             *[_lists([x.astype(np.int32)], pa.int32()) for x in (term, df, key & 0xFFFFFFFF, tf)]], names)
+             *[_lists([x.astype(np.int32)], pa.int32()) for x in (term, df)], _pack(key & 0xFFFFFFFF, "<i4"),
+             _pack(tf, "<i4")], names)
 
     def index(batches):
         block, ids, n, hits, held = TaskContext.get().partitionId() << 32, [], [], [], 0
@@ -151,12 +165,8 @@ def pair_items(texts: list[tuple[int | None, Counter]], weights: np.ndarray) ->
 
 # ------------------------------------------------------------------ pair lists
 
-_READY = ("block long, doc_ids array<long>, term array<int>, df array<int>, at array<int>, sat array<int>, "
-          "pair array<int>, joint_max array<long>, n_joint array<int>, joint_at array<int>, joint array<long>")
-
-
-def _row_lists(batch: pa.RecordBatch, row: int, first: int = 1) -> list[np.ndarray]:
-    return [batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(first, batch.num_columns)]
+_READY = ("block long, doc_ids array<long>, term array<int>, df array<int>, at binary, sat binary, "
+          "pair array<int>, joint_max array<long>, n_joint array<int>, joint_at binary, joint binary")
 
 
 class _Postings:
@@ -184,7 +194,8 @@ def add_pairs(index: DataFrame, items: Items, n_docs: int, n_terms: int) -> Data
     def add(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                _, n, term, df, at, tf = _row_lists(batch, row)
+                n, term, df = (_list(batch.column(c), row) for c in (2, 3, 4))
+                at, tf = (_unpack(batch.column(c), row, "<i4") for c in (5, 6))
                 m = length_norm(n.astype(np.int64), n_docs, n_terms)
                 sat = saturation(tf.astype(np.int64), m[at])
                 lists = _Postings(term, df, at, sat)
@@ -208,11 +219,11 @@ def add_pairs(index: DataFrame, items: Items, n_docs: int, n_terms: int) -> Data
                     joint.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, 1), batch.column(1).slice(row, 1),
-                     *[batch.column(c).slice(row, 1) for c in (3, 4, 5)], _lists([sat.astype(np.int32)], pa.int32()),
+                     *[batch.column(c).slice(row, 1) for c in (3, 4, 5)], _pack(sat, "<i4"),
                      _lists([np.array(pair, np.int32)], pa.int32()), _lists([np.array(top, np.int64)], pa.int64()),
                      _lists([np.array(size, np.int32)], pa.int32()),
-                     _lists([np.concatenate(found) if found else np.zeros(0, np.int32)], pa.int32()),
-                     _lists([np.concatenate(joint) if joint else np.zeros(0, np.int64)], pa.int64())], names)
+                     _pack(np.concatenate(found) if found else np.zeros(0), "<i4"),
+                     _pack(np.concatenate(joint) if joint else np.zeros(0), "<i8")], names)
 
     return index.mapInArrow(add, _READY)
 
@@ -230,7 +241,8 @@ def thresholds(ready: DataFrame, items: Items, top: int) -> dict[int, int]:
         for batch in batches:
             for row in range(batch.num_rows):
                 size = len(batch.column(0)[row])
-                pair, n, at, joint = _row_lists(batch, row)
+                pair, n = (_list(batch.column(c), row) for c in (1, 2))
+                at, joint = _unpack(batch.column(3), row, "<i4"), _unpack(batch.column(4), row, "<i8")
                 ends = np.cumsum(n)
                 place = {int(p): i for i, p in enumerate(pair)}
                 low = np.zeros(size, np.int64)
@@ -324,7 +336,8 @@ def search_blocks(ready: DataFrame, items: Items, least: dict[int, int], top: in
         for batch in batches:
             for row in range(batch.num_rows):
                 doc_ids = batch.column(0)[row].values
-                term, df, at, sat, pair, joint_max = _row_lists(batch, row)
+                term, df, pair, joint_max = (_list(batch.column(c), row) for c in (1, 2, 5, 6))
+                at, sat = (_unpack(batch.column(c), row, "<i4") for c in (3, 4))
                 if not len(term) or not len(units):
                     continue
                 lists = _Postings(term, df, at, sat.astype(np.int64))
