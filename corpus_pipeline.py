@@ -3,6 +3,10 @@
 Every stage takes what its predecessor kept and is written as Parquet under
 the shared folder and read again before the next. All stages but the last
 return the columns of ``documents``; the last returns the packed pieces.
+
+Defined results of every stage: NULL and empty texts are judged as texts without words (the quality rules reject them);
+NULL ids, languages and sources are values of their own; repeated rows are judged alike, and the exact
+stage keeps one of them; an empty table gives an empty table; extra columns pass through under any name.
 """
 
 from __future__ import annotations
