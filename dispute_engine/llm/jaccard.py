@@ -54,7 +54,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import join_groups, stored, text_or_empty
+from .shared import StageTables, join_groups, stored, text_or_empty
 
 WORDS = 5
 #: Link when 100 * intersection >= PERCENT * union.
@@ -461,25 +461,27 @@ def _groups_join(batches):
 
 # ---------------------------------------------------------------- components
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: StageTables) -> DataFrame:
     """(node, comp) for every node of ``links`` (a, b): comp is the smallest node reachable.
 
     Each round takes the smallest label among the neighbours and then the
-    label's own label (pointer jumping), and is written before the next."""
-    edges = stored(links.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).union(
+    label's own label (pointer jumping), and is written before the next, which replaces its table."""
+    edges = tables.stored(links.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).union(
         links.where("a <> b").select("b", "a")).distinct(), "jaccard-edges")
-    labels = stored(edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
+    labels = tables.stored(edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
                     .select("node", F.least("node", "m").alias("comp")), "jaccard-labels")
     while True:
         near = edges.join(labels.withColumnsRenamed({"node": "dst", "comp": "c"}), "dst") \
                     .groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c"))
         step = labels.join(near, "node").select("node", "comp", F.least("comp", "c").alias("c"))
         jump = labels.select(F.col("node").alias("c"), F.col("comp").alias("cc"))
-        after = stored(step.join(jump, "c", "left").select(
+        before = tables.paths[-1]
+        after = tables.stored(step.join(jump, "c", "left").select(
             "node", F.least("c", "cc").alias("comp"), (F.least("c", "cc") != F.col("comp")).alias("moved")),
             "jaccard-labels")
         moved = after.where("moved").limit(1).count()
         labels = after.select("node", "comp")
+        tables.drop(before)
         if not moved:
             return labels
 
@@ -499,20 +501,31 @@ def similar_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """:func:`similar_components` with t_doc and t_hash."""
+    """:func:`similar_components` with t_doc and t_hash.
+
+    The result reads two written tables, the features of all rows and the classes' components; all others are
+    deleted once these stand."""
+    tables = StageTables(spark)
+    try:
+        return _components_of(spark, docs, tables)
+    finally:
+        tables.drop()
+
+
+def _components_of(spark: SparkSession, docs: DataFrame, tables: StageTables) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(64, 2 * partitions)
     texts = _texts(docs)
     features = stored(texts.mapInArrow(_features, _FEATURES), "jaccard-features")
     rows = features.where(F.col("digest").isNotNull()).select("doc_id", "t_doc", "t_hash", "n", "digest", "vec")
-    classes = stored(rows.where("n > 0").groupBy("digest").agg(
+    classes = tables.stored(rows.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "t_doc", "t_hash")).alias("at"),
         F.first("n").alias("n"), F.first("vec").alias("vec"), F.count("*").alias("copies"))
         .select("digest", "rep", "at.t_doc", "at.t_hash", "n", "vec", "copies"), "jaccard-classes")
     known = _with_key(classes)
 
     sketch = _sketch(features)
-    groups = stored(texts.select("text").mapInArrow(_prefixes(sketch, buckets), "bucket int, blob binary")
+    groups = tables.stored(texts.select("text").mapInArrow(_prefixes(sketch, buckets), "bucket int, blob binary")
                     .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "members array<long>")
                     .groupBy("members").agg(F.count("*").alias("times")).drop("times"), "jaccard-groups")
 
@@ -523,7 +536,7 @@ def _linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
                           .alias("q")).distinct()
     a = side.withColumnsRenamed({"key": "p", "digest": "a", "t_doc": "a_doc", "t_hash": "a_hash", "n": "a_n"})
     b = side.withColumnsRenamed({"key": "q", "digest": "b", "t_doc": "b_doc", "t_hash": "b_hash", "n": "b_n"})
-    stars = stored(pairs.join(a, "p").join(b, "q")
+    stars = tables.stored(pairs.join(a, "p").join(b, "q")
                    .where(F.lit(PERCENT) * F.greatest("a_n", "b_n") <= 100 * F.least("a_n", "b_n"))
                    .select("a", "a_doc", "a_hash", "b", "b_doc", "b_hash",
                            F.pmod(F.xxhash64("b"), F.lit(max(16, partitions))).cast("int").alias("salt")),
@@ -540,8 +553,8 @@ def _linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     on_star = members.union(centres).hint("merge").join(shipped, ["t_doc", "t_hash"]) \
                      .select("star", "salt", "role", "t_digest", "z") \
                      .repartition("star", "salt").sortWithinPartitions("star", "salt", "role")
-    links = stored(on_star.mapInArrow(_stars, "a binary, b binary"), "jaccard-links")
-    labels = components(links)
+    links = tables.stored(on_star.mapInArrow(_stars, "a binary, b binary"), "jaccard-links")
+    labels = components(links, tables)
 
     # round 2: groups whose members lie in several components
     listed = groups.where(F.size("members") > 2).select(
@@ -561,7 +574,7 @@ def _linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lists = placed.select(F.format_string("%d %d %d %d", "g1", "g2", "i", "j").alias("gid"), "digest", "comp", "t_doc",
                           "t_hash", "n", "vec").repartition("gid").sortWithinPartitions("gid") \
                   .mapInArrow(_prune, _SURVIVORS).groupBy("members").agg(F.first("pairs").alias("pairs"))
-    listed = stored(lists.select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"), "pairs",
+    listed = tables.stored(lists.select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"), "pairs",
                                  F.posexplode("members").alias("at", "m"))
                     .withColumn("pairs", F.when(F.col("at") == 0, F.col("pairs"))), "jaccard-lists")
     in_list = listed.select(F.format_string("%d %d", "g1", "g2").alias("gid"), "at", "pairs",
@@ -569,7 +582,7 @@ def _linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
                             F.col("m.t_hash").alias("t_hash")) \
                     .join(shipped.hint("merge"), ["t_doc", "t_hash"]).select("gid", "at", "comp", "z", "pairs") \
                     .repartition("gid").sortWithinPartitions("gid")
-    joined = components(stored(in_list.mapInArrow(_groups_join, "a binary, b binary"), "jaccard-links"))
+    joined = components(tables.stored(in_list.mapInArrow(_groups_join, "a binary, b binary"), "jaccard-links"), tables)
 
     # the second round joins components of the first
     placed_classes = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left") \

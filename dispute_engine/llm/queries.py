@@ -116,9 +116,32 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256
 FROM d JOIN g ON d.text_sha256 = g.text_sha256"""
 
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM words),
+sized AS (SELECT doc_id, s, len(s) AS n, sha256(array_to_string(list_sort(s), chr(10))) AS class FROM sets),
+classes AS (SELECT class, min(doc_id) AS id, any_value(s) AS s, any_value(n) AS n FROM sized WHERE n > 0 GROUP BY class),
+elements AS (SELECT id, n, unnest(s) AS e FROM classes),
+pairs AS (
+  SELECT a.id AS x, b.id AS y FROM elements a JOIN elements b ON a.e = b.e AND a.id < b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT id, id AS found FROM classes UNION SELECT r.id, l.y FROM reach r JOIN links l ON r.found = l.x),
+lowest AS (SELECT id, min(found) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
+FROM sized d LEFT JOIN classes c ON d.class = c.class LEFT JOIN lowest l ON c.id = l.id"""
+
 ORACLES = {
     "op5_url_filters": URL_SQL,
     "op6_exact_dedup": EXACT_SQL,
+    "op9_jaccard_join": JACCARD_SQL,
     "op12_sharding": sharding.sql_of(TREE, sharding.grown(TREE)),
     "op13_lexical_search": lexical.SQL,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from ..sources.io import remove_path
 
 #: At most this many groups can each hold more than 1/HOT_GROUPS of all rows.
 HOT_GROUPS = 10_000
@@ -25,8 +26,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: later plans
     read a table that survives lost executors, not the lineage. The shuffle files
     of the finished write are of no more use and are removed with it."""
+    path = scratch(df.sparkSession, name)
+    _write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _write(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
-    path = scratch(spark, name)
     before = spark.conf.get(CLEANUP, None) if CLEANUP in spark.conf.getAll else None
     spark.conf.set(CLEANUP, "true")
     try:
@@ -36,7 +42,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+class StageTables:
+    """Tables between the steps of one operator run: written like :func:`stored`, deleted together once a
+    later written table has taken their place, or when the run fails."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        self.paths.append(path)
+        _write(df, path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, path: str | None = None) -> None:
+        """Deletes the table at ``path``, or all that are left."""
+        for p in [path] if path else list(self.paths):
+            remove_path(self.spark, p)
+            self.paths.remove(p)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:

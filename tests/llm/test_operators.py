@@ -7,12 +7,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dispute_engine.llm import (binary_output, bpe, exact, jaccard, langid, lm_scoring, packing, quality, rans, shared,
-                                tokens, toxicity, urls)
+from dispute_engine.llm import (binary_output, bpe, exact, jaccard, langid, lm_scoring, packing, quality, queries, rans,
+                                shared, tokens, toxicity, urls)
+from dispute_engine.sources.io import path_exists
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, digest string, key int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -595,6 +597,25 @@ def test_long_words_with_equal_polynomials_stay_apart(spark):
     assert jaccard.keep_one(spark, docs).count() == 2
 
 
+def test_jaccard_leaves_the_tables_of_its_result_alone(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(shared, "scratch", lambda spark, name, make=shared.scratch: (written.append(make(spark, name)),
+                                                                                    written[-1])[1])
+    data = family(3, 12)
+    found = jaccard.similar_components(spark, spark.createDataFrame(data, "doc_id long, text string"))
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in written if path_exists(spark, p)]
+    assert sorted(left) == ["jaccard-components", "jaccard-features"] and len(written) > 8
+    assert Counter(tuple(r) for r in found.collect()) == brute_components(data)
+
+
+def test_jaccard_sql_equals_brute_force():
+    data = family(1, 25) + [(900, "One TWO\tthree"), (901, "one two three"), (902, "\u00a0 x"), (903, " \n"), (904, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in data])
+    assert Counter(con.execute(queries.JACCARD_SQL).fetchall()) == brute_components(data)
+
+
 def test_jaccard_edge_rows(spark, docs, rows, none):
     assert Counter(tuple(r) for r in jaccard.similar_components(spark, docs).collect()) == brute_components(rows)
     assert jaccard.similar_components(spark, none).count() == 0
