@@ -119,7 +119,8 @@ def append_events(df: DataFrame, db: str | None, name: str,
     """Append event rows; ``idempotent`` skips rows whose key is already logged.
 
     The default keeps the plain append (a rerun duplicates events). The
-    idempotent path is a left-anti join on the key columns, a sort-merge join at scale. In a log
+    idempotent path is a left-anti join on the key columns, always sort-merge: a log compresses so well that its
+    file size passes for a broadcast while its keys would fill the driver. In a log
     partitioned by date it reads only the dates of the batch (the key must then hold the event's time).
     """
     spark = df.sparkSession
@@ -129,7 +130,7 @@ def append_events(df: DataFrame, db: str | None, name: str,
         existing = spark.table(target)
         if by_date and "event_ts" in key_cols:
             existing = logged_on_dates_of(df, existing)
-        df = df.join(existing.select(*key_cols), on=list(key_cols), how="left_anti")
+        df = df.join(existing.select(*key_cols).hint("merge"), on=list(key_cols), how="left_anti")
     out = df.select([f.name for f in EVENTS_SCHEMA.fields])
     if by_date:
         out = out.withColumn(EVENT_DATE, F.to_date("event_ts"))
@@ -152,7 +153,7 @@ def append_keyed(df: DataFrame, db: str | None, name: str, keys: Sequence[str],
         fresh = spark.table(stage)
         if spark.catalog.tableExists(target):
             same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-            fresh = fresh.alias("s").join(spark.table(target).select(*keys).alias("t"), same, "left_anti")
+            fresh = fresh.alias("s").join(spark.table(target).select(*keys).alias("t").hint("merge"), same, "left_anti")
         count = fresh.count()
         if count or not spark.catalog.tableExists(target):
             fresh.write.format(fmt).mode("append").saveAsTable(target)

@@ -147,3 +147,24 @@ def test_iso_from_epoch_millis_matches_python(spark):
     got = [r.s for r in df.select(runs.iso_utc_from_millis("ms").alias("s")).collect()]
     want = [datetime.fromtimestamp(m / 1000, tz=timezone.utc).isoformat() if m is not None else None for m in ms]
     assert got == want
+
+
+def test_the_duplicate_guard_never_broadcasts_the_log(spark, db, monkeypatch):
+    frame, plans = type(spark.range(1)), []
+    real = frame.join
+
+    def join(self, other, *args, **kw):
+        out = real(self, other, *args, **kw)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(frame, "join", join)
+    for name in ("guarded", "guarded_keyed"):
+        spark.sql(f"DROP TABLE IF EXISTS {db}.{name}")
+    io.ensure_event_log(spark, db, "guarded")
+    rows = spark.createDataFrame([("a", "CREATED", None, "OPEN", "s", "n", dt.datetime(2024, 1, 1))], io.EVENTS_SCHEMA)
+    for _ in range(2):
+        io.append_events(rows, db, "guarded", idempotent=True)
+        io.append_keyed(rows, db, "guarded_keyed", ["dispute_id"])
+    assert len(plans) >= 3 and not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in plans)
+    assert io.read_events(spark, db, "guarded").count() == spark.table(f"{db}.guarded_keyed").count() == 1
