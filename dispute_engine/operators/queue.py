@@ -23,11 +23,11 @@ QUEUE_COLUMNS = (
 def join_scored_gold(scored: DataFrame, gold: DataFrame) -> DataFrame:
     """scored s LEFT JOIN gold g USING (dispute_id); g projected to business context.
 
-    Both sides are large: a sort-merge join on dispute_id (no shuffle when
+    Both sides are large, however small their files: a sort-merge join on dispute_id (no shuffle when
     both tables are bucketed by dispute_id with equal bucket counts).
     """
     s = scored.alias("s")
-    g = gold.select(*GOLD_QUEUE_COLS).alias("g")
+    g = gold.select(*GOLD_QUEUE_COLS).alias("g").hint("merge")
     return s.join(g, on="dispute_id", how="left")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators import evidence, gold, quality, queue, runs, silver, split
+from ..operators import actions, evidence, gold, quality, queue, runs, silver, split
 from ..sources import io
 from . import oracle as O
 from ..session import checkpoint_dir
@@ -149,8 +149,8 @@ def _dashboard_view(spark, d):
     """The view over the written actionable and enriched tables, as a user reads it."""
     p, db, s = P(spark, d), ensure_database(spark, CHECK_DB), slug(d)
     actionable, enriched, view = (f"{n}_{s}" for n in ("dash_actionable", "dash_enriched", "v_queue_dashboard"))
-    io.write_table(p.actionable, db, actionable)
     io.write_table(p.enriched, db, enriched)
+    io.write_table(actions.build_actions(io.read_table(spark, db, enriched), ts=p.ts), db, actionable)
     io.create_dashboard_view(spark, db, view, actionable, enriched, exact_join=True)
     return spark.table(io.qualified(db, view))
 

@@ -1,8 +1,8 @@
 """The pipeline as lazily composed DataFrames, and a runner that writes tables.
 
 ``Plan`` wires the operators together over one input set (benchmark parquet
-+ fixtures) without running anything; the catalog and the bench pick plans
-from it. ``run_pipeline`` materialises the table DAG in dependency order:
++ fixtures); the catalog and the bench pick plans from it. It runs nothing but the two
+tables that evidence reads more than once, gold and queue, which are written at first use. ``run_pipeline`` materialises the table DAG in dependency order:
 every stage writes a table and the next stage reads it back, so each table
 is computed once and a lost executor re-runs one stage, not the lineage.
 Tables joined on dispute_id are bucketed by it (same bucket count), so
@@ -63,9 +63,20 @@ class Plan:
     def queue(self) -> DataFrame:
         return queue.build_queue(self.routed, self.gold_v2, ts=self.ts)
 
+    @cached_property
+    def written_gold(self) -> DataFrame:
+        """The gold columns that the queue and its evidence read, computed once: written, then read back."""
+        cols = dict.fromkeys(queue.GOLD_QUEUE_COLS + evidence.GOLD_EVIDENCE_COLS)
+        return io.stored(self.gold_v2.select(*cols), "gold-of-queue")
+
+    @cached_property
+    def written_queue(self) -> DataFrame:
+        """``queue`` over the written gold, written too: its evidence and the enriched queue both read it."""
+        return io.stored(queue.build_queue(self.routed, self.written_gold, ts=self.ts), "queue")
+
     @cached_property
     def evidence_base(self) -> DataFrame:
-        return evidence.evidence_base(self.queue, self.gold_v2, self.t.payer_rules, self.t.plan_reference,
+        return evidence.evidence_base(self.written_queue, self.written_gold, self.t.payer_rules, self.t.plan_reference,
                                       self.t.ndc_reference)
 
     @cached_property
@@ -74,7 +85,8 @@ class Plan:
 
     @cached_property
     def top3(self) -> DataFrame:
-        return evidence.top_evidence(self.candidates)
+        return evidence.top_evidence(evidence.evidence_candidates(self.evidence_base, ts=self.ts,
+                                                                  best=C.TOP_EVIDENCE_K))
 
     @cached_property
     def evidence_agg(self) -> DataFrame:
@@ -82,7 +94,7 @@ class Plan:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return evidence.enrich_queue(self.queue, self.evidence_agg)
+        return evidence.enrich_queue(self.written_queue, self.evidence_agg)
 
     @cached_property
     def actionable(self) -> DataFrame:
@@ -180,7 +192,7 @@ def run_pipeline(spark: SparkSession, sf_dir: str, db: str = C.DEFAULT_DB, ts: s
                                   io.optional_table(spark, db, "plan_reference"),
                                   io.optional_table(spark, db, "ndc_reference"))
     cand = write(evidence.evidence_candidates(base, ts=ts), "dispute_evidence_candidates", bucket=True)
-    top = write(evidence.top_evidence(cand), "dispute_evidence_top3", bucket=True)
+    top = write(evidence.top_evidence(cand), "dispute_evidence_top3", bucket=True)  # of all that are written
     enriched = write(evidence.enrich_queue(q, evidence.aggregate_evidence(top)), "dispute_work_queue_enriched",
                      bucket=True)
     act = write(actions.build_actions(enriched, ts=ts), "dispute_work_queue_actionable")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_FORMAT
+from ..session import checkpoint_dir
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("dispute_id", T.StringType()),
@@ -53,6 +54,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written as Parquet to a fresh path of the shared folder and read back: a step computed once."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, db: str | None, name: str) -> DataFrame:
     return spark.table(qualified(db, name))
 
@@ -236,7 +244,7 @@ def create_dashboard_view(spark: SparkSession, db: str | None, view: str = "v_qu
     """CREATE OR REPLACE VIEW over the actionable (and enriched) tables."""
     cols = ",\n  ".join(f"q.{c}" for c in DASHBOARD_COLUMNS)
     if exact_join:
-        body = (f"SELECT {cols},\n  e.evidence_text_block\nFROM {qualified(db, actionable)} q\n"
+        body = (f"SELECT /*+ MERGE(e) */ {cols},\n  e.evidence_text_block\nFROM {qualified(db, actionable)} q\n"
                 f"LEFT JOIN {qualified(db, enriched)} e ON q.dispute_id = e.dispute_id")
     else:
         body = f"SELECT {cols},\n  q.evidence_text_block\nFROM {qualified(db, actionable)} q"

@@ -184,3 +184,18 @@ def test_tie_at_90_variance_vs_kw_340b(spark):
     assert agg.evidence_list == ["[AMOUNT_VARIANCE] v (score=90)", "[KW_340B] k (score=90)",
                                  "[CHANNEL_340B] c (score=88)"]
     assert agg.evidence_text_block == "\n".join(agg.evidence_list)
+
+
+def test_best_of_a_row_equals_the_top_of_all_its_candidates(spark):
+    p = plan_for(spark, SF)
+    base = p.evidence_base
+    twice = base.unionByName(base.where("kw_340b = 1 OR conf_xgb IS NULL"))  # ids that come twice
+    few = evidence.evidence_candidates(twice, ts=TS, best=2)
+    assert few.groupBy("dispute_id").count().agg(F.max("count")).first()[0] == 4
+    a, b = (evidence.top_evidence(c, 2) for c in (few, evidence.evidence_candidates(twice, ts=TS)))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() > 0
+
+
+def test_evidence_reads_gold_and_queue_as_written_and_merges(spark):
+    plan = plan_for(spark, SF).enriched._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan and plan.count("SortMergeJoin [dispute_id") >= 2
