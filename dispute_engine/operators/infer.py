@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.io import ensure_table, qualified
+from ..sources.io import ensure_table, qualified, stored
 
 ModelFn = Callable[[list[str]], list[str | None]]
 
@@ -60,24 +60,27 @@ def respond(df: DataFrame, prompt_col: str, fn_factory: Callable[[], ModelFn], d
     Only distinct prompts that the table lacks reach the model. They go in ``waves`` (by digest), each
     appended when it is done, so what was paid for before a failure is kept, and a
     rerun sends the rest alone. NULL prompts are not sent and give a NULL response; a prompt that the model
-    answers with NULL counts as answered."""
+    answers with NULL counts as answered. The rows are computed once and stored by wave: a wave reads its own part
+    alone, and the answers join the stored rows."""
     spark = df.sparkSession
     target = qualified(db, table)
     ensure_table(spark, db, table, T.StructType.fromDDL(RESPONSES))
     keep = list(keep) if keep is not None else list(df.columns)
     asked = df.select(*[df[c] for c in keep], F.when(F.col(prompt_col).isNotNull(), prompt_digest(prompt_col, model_name))
                       .alias("_digest"), F.col(prompt_col).alias("_prompt"))
-    unseen = asked.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.first("_prompt").alias("_prompt")) \
-                  .join(spark.table(target).select(F.col("prompt_digest").alias("_digest")), "_digest", "left_anti")
+    wave_of = F.pmod(F.xxhash64("_digest"), F.lit(waves)).cast("int")  # a NULL digest has a hash, but is not sent
+    asked = stored(asked.withColumn("_wave", wave_of), "asked", partition_by=["_wave"])
+    unseen = asked.where(F.col("_digest").isNotNull()).groupBy("_wave", "_digest").agg(F.first("_prompt").alias("_prompt")) \
+                  .join(spark.table(target).select(F.col("prompt_digest").alias("_digest")).hint("merge"), "_digest", "left_anti")
     for wave in range(waves):
-        part = unseen.where(F.pmod(F.xxhash64("_digest"), F.lit(waves)) == wave)
+        part = unseen.where(F.col("_wave") == wave)
         done = batch_infer(part, "_prompt", fn_factory, batch_size, "llm_response", ["_digest"])
         done.select(F.col("_digest").alias("prompt_digest"), F.lit(model_name).alias("model"), "llm_response") \
             .write.mode("append").insertInto(target)
         spark.catalog.refreshTable(target)
     answers = spark.table(target).select(F.col("prompt_digest").alias("_digest"), F.col("llm_response").alias(out_col))
     # the first append of a digest wins, should two runs have answered it at once
-    return asked.drop("_prompt").join(answers.groupBy("_digest").agg(F.min(out_col).alias(out_col)), "_digest", "left") \
+    return asked.drop("_prompt", "_wave").join(answers.groupBy("_digest").agg(F.min(out_col).alias(out_col)).hint("merge"), "_digest", "left") \
                 .select(*keep, out_col)
 
 

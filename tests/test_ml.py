@@ -141,3 +141,23 @@ def test_exact_median_refinement_matches_numpy(spark):
         assert got[c] == float(np.median(clean)), c
     approx = {r.feature: r.median for r in ml.fit_median(df, ["y"], exact=False).collect()}
     assert approx["y"] in set(ys)
+
+
+def test_respond_computes_its_rows_once_and_keeps_them(spark):
+    from dispute_engine.operators import infer
+    from dispute_engine.plans.pipeline import ensure_database
+    db, seen = ensure_database(spark, "dispute_engine_unit"), spark.sparkContext.accumulator(0)
+
+    def touched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(f"d{i}", f"- priority: P{i % 3}\n") for i in range(40)] + [("d0", "- priority: P0\n"), (None, "x"), ("n", None)]
+    spark.sql(f"DROP TABLE IF EXISTS {db}.once")
+    src = spark.createDataFrame(rows, "id string, prompt string").mapInArrow(touched, "id string, prompt string")
+    got = infer.respond(src, "prompt", infer.field_echo_model, db, "once", "echo", keep=["id"]).collect()
+    assert seen.value == len(rows)
+    answers = {p: infer.field_echo_model()([p])[0] for _, p in rows if p is not None}
+    assert sorted(map(str, got)) == sorted(str(type(got[0])(id=k, llm_response=answers.get(p))) for k, p in rows)
+    assert spark.table(f"{db}.once").count() == 4
