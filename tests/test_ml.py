@@ -3,12 +3,14 @@
 import json
 import statistics
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from dispute_engine import config as C
-from dispute_engine.operators import infer, metrics, ml, split
+from dispute_engine.operators import infer, logistic, metrics, ml, split
 from dispute_engine.plans.pipeline import plan_for
 
 SF = "/root/testdata/sf0.001"
@@ -161,3 +163,33 @@ def test_respond_computes_its_rows_once_and_keeps_them(spark):
     answers = {p: infer.field_echo_model()([p])[0] for _, p in rows if p is not None}
     assert sorted(map(str, got)) == sorted(str(type(got[0])(id=k, llm_response=answers.get(p))) for k, p in rows)
     assert spark.table(f"{db}.once").count() == 4
+
+
+def test_lr_reaches_the_optimum_of_raw_features_in_few_passes(spark, monkeypatch):
+    """Columns of very different scale, two of them nearly equal: plain L-BFGS needs hundreds of passes here."""
+    rng = np.random.default_rng(3)
+    n = 400
+    big = rng.gamma(2.0, 20_000.0, n)
+    data = [(f"i{i}", float(b), float(b + rng.standard_normal()), float(i % 2), "abc"[i % 3],
+             "xyz"[int(b > 40_000) + int(rng.random() < 0.2)]) for i, b in enumerate(big)]
+    train = spark.createDataFrame(data, "id string, u double, v double, f double, c string, y string")
+    passes, whole = [], logistic.Loss.__call__
+    monkeypatch.setattr(logistic.Loss, "__call__", lambda self, *a: passes.append(1) or whole(self, *a))
+    spec, params = C.FeatureSpec(("u", "v", "f"), ("c",), "y", "id"), C.LRParams(max_iter=2000, tol=1e-6)
+    model = ml.train_lr(train, spec, params)
+    at_fit, at_zero = ml.lr_gradient(model, train, spec, params)
+    assert at_fit <= 0.01 * at_zero and len(passes) <= 60
+    unseen = ml.predict(model, train.limit(3).withColumn("c", F.lit("new")), "pred", "conf").select("conf").collect()
+    assert all(0 < r.conf <= 1 for r in unseen)
+
+
+def test_packed_columns_come_back_exactly():
+    shape = logistic.Shape(3, [300], 2, np.zeros(3), np.ones(3))
+    rows = [np.array([0.1, -2.5, 1e300]), np.array([1.0, 0.0, -3.0]), np.array([0.5, 7.0, 70_000.0])]
+    codes, y, w = np.array([0.0, 299.0, 300.0]), np.array([0.0, 1.0, 1.0]), np.array([0.1, 1.0, 2.0])
+    batch = pa.RecordBatch.from_arrays([pa.array(v) for v in (*rows, codes, y, w)], list("abcdef"))
+    record = next(logistic._pack(shape)([batch]))
+    x, classes, weights = next(logistic._chunks(shape, 3, memoryview(record.column(1)[0].as_buffer())))
+    assert (x[:3] == np.stack(rows)).all() and (x[-1] == 1).all()
+    assert x[3].tolist() == [1, 0, 0] and x[302].tolist() == [0, 1, 0] and x[3:303, 2].sum() == 0  # unseen: zeros
+    assert classes.tolist() == [0, 1, 1] and (weights == w).all()
