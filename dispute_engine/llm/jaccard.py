@@ -531,7 +531,6 @@ def _components_of(spark: SparkSession, docs: DataFrame, tables: StageTables) ->
 
     # round 1: the first member of each group against the others
     side = known.select("key", "digest", "t_doc", "t_hash", "n")
-    points = known.select("key", "digest", "t_doc", "t_hash", "n", "vec")
     pairs = groups.select(F.col("members")[0].alias("p"), F.explode(F.slice("members", F.lit(2), F.size("members")))
                           .alias("q")).distinct()
     a = side.withColumnsRenamed({"key": "p", "digest": "a", "t_doc": "a_doc", "t_hash": "a_hash", "n": "a_n"})
@@ -557,10 +556,12 @@ def _components_of(spark: SparkSession, docs: DataFrame, tables: StageTables) ->
     labels = components(links, tables)
 
     # round 2: groups whose members lie in several components
+    # classes get their component once, and points travel only with the rows of groups that are still open
+    placed_side = side.join(labels.withColumnRenamed("node", "digest").hint("merge"), "digest", "left") \
+                      .withColumn("comp", F.coalesce("comp", "digest"))
     listed = groups.where(F.size("members") > 2).select(
         F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"), F.explode("members").alias("key")) \
-        .join(points, "key").join(labels.withColumnRenamed("node", "digest"), "digest", "left") \
-        .withColumn("comp", F.coalesce("comp", "digest"))
+        .join(placed_side.hint("merge"), "key")
     open_groups = listed.groupBy("g1", "g2").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
                                                  F.count("*").alias("size")).where("low <> high")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
@@ -569,7 +570,8 @@ def _components_of(spark: SparkSession, docs: DataFrame, tables: StageTables) ->
                    .withColumn("block", block) \
                    .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))) \
                    .select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                           "digest", "comp", "t_doc", "t_hash", "n", "vec")
+                           "digest", "comp", "t_doc", "t_hash", "n") \
+                   .join(classes.select("digest", "vec").hint("merge"), "digest")
     # points first: most groups fall apart without a text being moved, and the rest into few distinct lists
     lists = placed.select(F.format_string("%d %d %d %d", "g1", "g2", "i", "j").alias("gid"), "digest", "comp", "t_doc",
                           "t_hash", "n", "vec").repartition("gid").sortWithinPartitions("gid") \
