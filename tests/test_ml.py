@@ -2,6 +2,7 @@
 
 import json
 import statistics
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -193,3 +194,47 @@ def test_packed_columns_come_back_exactly():
     assert (x[:3] == np.stack(rows)).all() and (x[-1] == 1).all()
     assert x[3].tolist() == [1, 0, 0] and x[302].tolist() == [0, 1, 0] and x[3:303, 2].sum() == 0  # unseen: zeros
     assert classes.tolist() == [0, 1, 1] and (weights == w).all()
+
+
+def test_task_sums_add_up_the_same_on_the_driver_and_by_spark(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    shape = logistic.Shape(2, [3], 3, np.zeros(2), np.ones(2))
+    blocks = []
+    for _ in range(5):
+        columns = [*rng.standard_normal((2, 40)), rng.integers(0, 4, 40).astype(float), rng.integers(0, 3, 40).astype(float),
+                   rng.random(40)]
+        batch = pa.RecordBatch.from_arrays([pa.array(v) for v in columns], list("abcde"))
+        record = next(logistic._pack(shape)([batch]))
+        blocks.append((40, record.column(1)[0].as_py()))
+    loss = logistic.Loss(spark.sparkContext.parallelize(blocks, 4), shape, 0.1)
+    theta = rng.standard_normal((3, shape.width))
+    plain, scaled = loss(theta), loss(theta, True)
+    monkeypatch.setattr(logistic, "HELD", 0)
+    for a, b in ((plain, loss(theta)), (scaled, loss(theta, True))):
+        assert a[0] == pytest.approx(b[0]) and np.allclose(a[1], b[1]) and (a[2] is None) == (b[2] is None)
+    assert np.allclose(scaled[2], loss(theta, True)[2])
+
+
+def test_a_bracket_of_one_value_is_the_median_without_another_pass(spark, monkeypatch):
+    rows = [(float(i % 4 == 0), 7, None if i % 5 else float(i), -0.0) for i in range(101)]
+    df = spark.createDataFrame(rows, "flag double, same int, few double, zero double")
+    seen, plain = [], ml._middle
+    monkeypatch.setattr(ml, "_middle", lambda counted, first, ranges, *a: seen.extend(ranges) or plain(counted, first, ranges, *a))
+    got = ml.exact_medians(df, df.columns, accuracy=50)
+    assert got == {"flag": 0.0, "same": 7.0, "few": statistics.median(range(0, 101, 5)), "zero": 0.0}
+    assert seen == ["c2"]
+    assert ml.exact_medians(df, ["same"]) == {"same": 7.0} and ml.exact_medians(df.where("false"), ["same"]) == {}
+
+
+def test_optimum_certificate_hands_its_rows_to_the_fits(spark, monkeypatch):
+    """TRAIN is computed once for the fits of the same labels and their certificates."""
+    from dispute_engine.plans import catalog_ml
+    split_calls, fitted, fit, splits = [], [], catalog_ml._fit, catalog_ml._splits
+    monkeypatch.setattr(catalog_ml, "_MODELS", {})
+    monkeypatch.setattr(catalog_ml, "_fingerprint", lambda *a, once=uuid.uuid4().hex: once)  # no saved model
+    monkeypatch.setattr(catalog_ml, "_splits", lambda *a, **k: split_calls.append(k) or splits(*a, **k))
+    monkeypatch.setattr(catalog_ml, "_fit", lambda s, d, name, path, train=None: (
+        fitted.append((name, train is not None and train.storageLevel.useMemory)), fit(s, d, name, path, train))[1])
+    got = {r["model"]: r["optimal"] for r in catalog_ml._train_lr_optimum(spark, SF).collect()}
+    assert got == {"lr_v1": True, "lr_balanced": True, "lr_collapsed": True}
+    assert len(split_calls) == 2 and fitted == [(n, True) for n in ("lr_v1", "lr_balanced", "lr_collapsed")]
